@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import fingerprint, packing, sharding
+from meridia.llm import fingerprint, packing, quality, sharding
 from meridia.llm.common import table
 
 
@@ -16,6 +16,7 @@ def _over(module, name: str = "documents"):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_perplexity": _over(quality),
         "op8_best_fit_packing": _over(packing),
         "op9_sharding": _over(sharding),
         "op10_fingerprints": _over(fingerprint),
