@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import fingerprint, packing, quality, sharding
+from meridia.llm import fingerprint, jaccard, linededup, mixing, packing, quality, sharding
 from meridia.llm.common import table
 
 
@@ -17,6 +17,9 @@ def _over(module, name: str = "documents"):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_perplexity": _over(quality),
+        "op3_mixing": _over(mixing),
+        "op6_ngram_jaccard": _over(jaccard),
+        "op7_line_templates": _over(linededup),
         "op8_best_fit_packing": _over(packing),
         "op9_sharding": _over(sharding),
         "op10_fingerprints": _over(fingerprint),
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": sharding.oracle()}
+    return {"op3_mixing": mixing.oracle(), "op7_line_templates": linededup.oracle(), "op9_sharding": sharding.oracle()}
