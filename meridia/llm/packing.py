@@ -15,8 +15,10 @@ often as they occur; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -52,21 +54,17 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if SPECIAL in text or UNUSUAL.search(text):
-            return self.whole(text)
-        words, cache = WORDS.findall(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(new) > self.cached:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Words new to the cache are encoded together first."""
+        plain = [SPECIAL not in t and not UNUSUAL.search(t) for t in texts]
+        words = [WORDS.findall(t) if p else () for t, p in zip(texts, plain)]
+        cache = self.cache
+        if len(cache) > self.cached:
             cache.clear()
-            new = list(dict.fromkeys(words))
+        new = list(set().union(*words).difference(cache))
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+            cache[w] = array("I", e.ids).tobytes()
+        return [b"".join(map(cache.__getitem__, w)) if p else self.whole(t) for t, w, p in zip(texts, words, plain)]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -74,11 +72,12 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = Encoder(path)
-        for batch, texts in text_chunks(batches, text_column):
+        for batch, texts in text_chunks(batches, limit=1_000_000):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts):
-                ids = encoder.encode(text) + END_ID.to_bytes(4, "little")
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+                ids = ids + END_ID.to_bytes(4, "little")
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
                     size = (n % capacity or capacity) if k == 0 else capacity
