@@ -37,6 +37,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(stored: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``stored`` (a materialised frame of narrow rows), marked for broadcast if it has at most ``limit`` rows.
+
+    Beyond that the join that uses it shuffles both sides.
+    """
+    return F.broadcast(stored) if stored.count() <= limit else stored
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

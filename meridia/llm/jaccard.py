@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from meridia.llm.common import MULT, code_points, materialise, mix64, shuffle_partitions, text_chunks
+from meridia.llm.common import MULT, code_points, materialise, mix64, shuffle_partitions, small, text_chunks
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -394,5 +394,5 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group stays: the one with the least id."""
-    first = components_of(docs).where("_id = component_id").select(F.col("_id"))
-    return docs.join(first, F.coalesce(docs["doc_id"].cast("long"), F.lit(NONE_ID)) == first["_id"], "left_semi")
+    others = small(materialise(components_of(docs).where("_id <> component_id").select("_id"), "others"))
+    return docs.join(others, F.coalesce(docs["doc_id"].cast("long"), F.lit(NONE_ID)) == others["_id"], "left_anti")

@@ -24,11 +24,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from meridia.llm.common import materialise, sql_unit
+from meridia.llm.common import materialise, small, sql_unit
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 6
-TEMPER = 0.9
+TEMPER = 0.97
 
 # Topics by the plainest sign of a text's form, first match wins.
 TOPICS = (("tabular", "|", 20), ("promotional", "!", 20), ("symbolic", "&", 40), ("numeric", "0", 400))
@@ -87,6 +87,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: in
     chances = raked.join(F.broadcast(top)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("weight").alias("weight"), F.round(F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.col("weight") / F.col("_top")).otherwise(F.lit(1.0))), 9).alias("probability"))
     own = docs.drop("topic", "tokens", "weight", "probability", "kept", "_source", "_lang", "_topic")
     keyed = own.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))})
+    chances = small(materialise(chances, "chances"), 100_000)
     joined = keyed.join(chances, ["_source", "_lang", "_topic"], "left").withColumnRenamed("_topic", "topic").drop("_source", "_lang")
     return joined.withColumn("kept", sql_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("probability"))
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from meridia.llm.common import code_points, materialise, text_chunks
+from meridia.llm.common import code_points, materialise, small, text_chunks
 
 ORDER = 5
 BITS = 12
@@ -337,7 +337,9 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return score(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "logppl", "low", "high")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject (by doc_id; rows with a null id are judged by one another)."""
-    kept = score(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+def stage(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that the rules reject. Rows with one doc_id stay if any of them is good."""
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    good = score(docs).groupBy(key.alias("_id")).agg(F.max("kept").alias("_kept"))
+    bad = small(materialise(good.where(~F.col("_kept")).select("_id"), "rejected"))
+    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == bad["_id"], "left_anti")

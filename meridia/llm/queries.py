@@ -14,6 +14,12 @@ def _over(module, name: str = "documents"):
     return lambda spark, sf_dir: module.query(spark, table(spark, sf_dir, name))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_perplexity": _over(quality),
@@ -22,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_templates": _over(linededup),
         "op8_best_fit_packing": _over(packing),
         "op9_sharding": _over(sharding),
+        "pipeline": _pipeline,
         "op10_fingerprints": _over(fingerprint),
     }
 
