@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import fingerprint, jaccard, linededup, mixing, packing, quality, sharding
+from meridia.llm import fingerprint, jaccard, linededup, mixing, packing, pii, quality, sharding
 from meridia.llm.common import table
 
 
@@ -23,6 +23,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_perplexity": _over(quality),
+        "op2_contextual_pii": _over(pii),
         "op3_mixing": _over(mixing),
         "op6_ngram_jaccard": _over(jaccard),
         "op7_line_templates": _over(linededup),
