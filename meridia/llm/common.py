@@ -82,6 +82,19 @@ def text_chunks(batches, column: str = "text", limit: int = 4_000_000):
             yield batch.slice(start), texts[start:]
 
 
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 21) -> DataFrame:
+    """``df`` without most rows whose ``key`` isn't among ``wanted``'s: a map of 2 ** bits places goes with the
+    scan, so that the join that follows shuffles little. Where keys fill the map, it lets all rows pass."""
+    place = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    at = (place + 1).cast("long")
+    rows = wanted.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()  # 2 ** bits / 32768 rows
+    marks = np.zeros((max(1, (1 << bits) >> 15), 4096), np.uint8)
+    for r in rows:
+        marks[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
+    each = bytearray(np.unpackbits(marks.reshape(-1), bitorder="little").tobytes())
+    return df.where(F.substring(F.lit(each), (place + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01")))
+
+
 def sql_unit(column):
     """A uniform number in [0, 1) from the SHA-256 of a value's text; DuckDB can repeat it."""
     return F.conv(F.substring(F.sha2(column.cast("string"), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from meridia.llm.common import MULT, code_points, materialise, mix64, shuffle_partitions, small, text_chunks
+from meridia.llm.common import MULT, code_points, materialise, maybe_in, mix64, shuffle_partitions, small, text_chunks
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -309,16 +309,6 @@ def link_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _maybe_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose id isn't in ``wanted``: a bit map of fixed size goes with the scan,
-    so that the join that follows shuffles few texts. Where ids fill the map, it lets all rows pass."""
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - SKETCH_BITS).cast("int")
-    at = wanted.select(place.alias("p")).distinct().toArrow().column("p").to_numpy()  # 2 ** SKETCH_BITS numbers at most
-    marks = np.zeros(1 << SKETCH_BITS, np.uint8)
-    marks[at] = 1
-    return docs.where(F.substring(F.lit(bytearray(marks.tobytes())), place + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
-
-
 def linked(docs: DataFrame, candidates: DataFrame, frequent: np.ndarray | None, block: int = BLOCK) -> DataFrame:
     """(a, b): links that span the components of the link graph. ``candidates``: (id, component)."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -332,7 +322,7 @@ def linked(docs: DataFrame, candidates: DataFrame, frequent: np.ndarray | None,
     )
     placed = placed.select("id", "component", F.explode(pairs).alias("pair"))
     placed = materialise(placed, "placed")
-    rows = _maybe_in(docs, placed).join(placed, "id").select("component", "pair", "id", "text")
+    rows = maybe_in(docs, "id", placed).join(placed, "id").select("component", "pair", "id", "text")
     n = shuffle_partitions(docs.sparkSession)
 
     def run(batches):
