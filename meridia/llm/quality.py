@@ -210,23 +210,38 @@ class Model:
         self.arrays, self.order = arrays, order
 
     @classmethod
-    def collect(cls, tables: DataFrame, order: int = ORDER) -> Model:
-        """To the driver; callers have checked the number of entries."""
-        t = tables.toArrow()
-        lang = np.array(t.column("lang").to_pylist(), object)
-        k, gram = t.column("k").to_numpy(), t.column("gram").to_numpy().astype(np.uint64)
-        logp, logb = (np.nan_to_num(t.column(c).to_numpy(), nan=-99.0).astype(np.float32) for c in ("logp", "logb"))
+    def collect(cls, tables: DataFrame, orders: int = ORDER) -> Model:
+        """To the driver, packed by tasks to 16 bytes an entry; callers have checked the number of entries."""
+
+        def pack(batches):
+            for b in batches:
+                lang, k = b.column(0).to_pylist(), b.column(1).to_numpy()
+                gram = b.column(2).to_numpy()
+                logp, logb = (np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False), nan=-99.0).astype("<f4") for c in (3, 4))
+                of = np.array(lang, object)
+                for x in set(lang):
+                    for o in set(k[of == x].tolist()):
+                        at = np.flatnonzero((of == x) & (k == o))
+                        cells = [gram[at].astype("<u8").tobytes(), logp[at].tobytes(), logb[at].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([o], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["lang", "k", "gram", "logp", "logb"])
+
+        parts: dict[tuple[str, int], list] = {}
+        for r in tables.select("lang", "k", "gram", "logp", "logb").mapInArrow(pack, "lang string, k int, gram binary, logp binary, logb binary").toLocalIterator():
+            parts.setdefault((r["lang"], r["k"]), []).append((r["gram"], r["logp"], r["logb"]))
         arrays = {}
-        for x in set(lang.tolist()):
-            for o in range(order + 1):
-                at = np.flatnonzero((lang == x) & (k == o))
-                at = at[np.argsort(gram[at])]
-                arrays[x, o] = gram[at], logp[at], logb[at]
-        return cls(arrays, order)
+        for key in list(parts):
+            cells = list(zip(*parts.pop(key)))
+            gram = np.frombuffer(b"".join(cells[0]), "<u8")
+            order = np.argsort(gram)
+            arrays[key] = gram[order], *(np.frombuffer(b"".join(c), "<f4")[order] for c in cells[1:])
+        none = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+        return cls({(x, o): arrays.get((x, o), none) for x in {x for x, _ in arrays} for o in range(orders + 1)}, orders)
 
     def _find(self, lang: str, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = self.arrays[lang, k][0]
         i = np.searchsorted(own, keys)
+        if not len(own):
+            return i, np.zeros(len(keys), bool)
         i[i == len(own)] = 0
         return i, own[i] == keys
 
