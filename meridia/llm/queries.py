@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import fingerprint, jaccard, linededup, mixing, packing, pii, quality, sharding
+from meridia.llm import fingerprint, jaccard, linededup, mixing, packing, pii, quality, sharding, toxicity
 from meridia.llm.common import table
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_perplexity": _over(quality),
         "op2_contextual_pii": _over(pii),
         "op3_mixing": _over(mixing),
+        "op4_toxicity": toxicity.query,
         "op6_ngram_jaccard": _over(jaccard),
         "op7_line_templates": _over(linededup),
         "op8_best_fit_packing": _over(packing),
