@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import fingerprint, jaccard, linededup, mixing, packing, pii, quality, sharding, toxicity
+from meridia.llm import fingerprint, html_text, jaccard, linededup, mixing, packing, pii, quality, sharding, toxicity
 from meridia.llm.common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_contextual_pii": _over(pii),
         "op3_mixing": _over(mixing),
         "op4_toxicity": toxicity.query,
+        "op5_html_blocks": _over(html_text, "pages"),
         "op6_ngram_jaccard": _over(jaccard),
         "op7_line_templates": _over(linededup),
         "op8_best_fit_packing": _over(packing),
