@@ -28,7 +28,6 @@ possible id within and come back as null.
 from __future__ import annotations
 
 import re
-import sys
 
 import numpy as np
 import pyarrow as pa
@@ -222,89 +221,93 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 class Trie:
-    """Sets in the global order, as a radix tree: a node holds a run of shingles shared by all sets below it.
+    """Sets in the global order, as a radix tree in arrays: a node is a run of shingles shared by all sets below.
 
-    A node is a list: a set with its run, the run's start and end, the least and greatest
-    size below, the sets that end here, its children, and a set below it once all sets
-    below are known to be connected.
+    Runs lie one after another in ``flat`` (as positions in ``codes``), nodes by level, so that a
+    probe's overlap with every run is one sum, and its overlap with a path is carried from
+    parent to child, level by level.
     """
 
-    __slots__ = ("root", "sets", "find")
-
-    def __init__(self, sets: list[np.ndarray], find):
-        self.sets, self.find = sets, find  # big-endian, so that bytes sort as the shingles do
-        ranked = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
-        self.root = self._node(ranked, 0, 0, len(ranked))
-
-    def _node(self, ranked, depth, lo, hi):
-        """The node of ranked[lo:hi], which share their first ``depth`` shingles."""
-        sets = self.sets
-        one, other = sets[ranked[lo]], sets[ranked[hi - 1]]
-        n = min(len(one), len(other))
-        unlike = np.flatnonzero(one[depth:n] != other[depth:n])
-        end = depth + int(unlike[0]) if len(unlike) else n
-        sizes = [len(sets[i]) for i in ranked[lo:hi]]
-        mid, done, children = lo, [], []
-        while mid < hi and len(sets[ranked[mid]]) == end:
-            done.append(ranked[mid])
-            mid += 1
-        while mid < hi:
-            key, at = sets[ranked[mid]][end], mid
-            while mid < hi and sets[ranked[mid]][end] == key:
-                mid += 1
-            children.append(self._node(ranked, end, at, mid))
-        return [ranked[lo], depth, end, min(sizes), max(sizes), done, children, None]
-
-    def _connected(self, node):
-        """A set below if all sets below are connected, else None."""
-        if node[7] is None:
-            below = node[5] + [c[7] for c in node[6]]
-            if None not in below and len({self.find(i) for i in below}) == 1:
-                node[7] = below[0]
-        return node[7]
-
-    def links(self, i: int) -> list[int]:
-        """The sets that link with set i, but for those already connected with it."""
-        probe, find = self.sets[i], self.find
-        own, member = find(i), set(probe.tolist())
-        found, size = [], len(probe)
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = np.split(flat, np.cumsum(self.sizes)[:-1])
+        keys = [s.astype(">u4").tobytes() for s in self.sets]
+        ranked = sorted(range(len(sets)), key=keys.__getitem__)
+        self.node_of = np.zeros(len(sets), np.int64)
+        parents, runs, lows, highs, level = [], [], [], [], [(0, len(ranked), 0, -1)]
+        self.levels: list[slice] = []
+        while level:
+            following, begun = [], len(parents)
+            for lo, hi, depth, parent in level:
+                one, other = self.sets[ranked[lo]], self.sets[ranked[hi - 1]]
+                n = min(len(one), len(other))
+                unlike = np.flatnonzero(one[depth:n] != other[depth:n])
+                end, node, mid = depth + int(unlike[0]) if len(unlike) else n, len(parents), lo
+                sizes = self.sizes[ranked[lo:hi]]
+                parents.append(parent), runs.append(one[depth:end]), lows.append(sizes.min()), highs.append(sizes.max())
+                while mid < hi and self.sizes[ranked[mid]] == end:
+                    self.node_of[ranked[mid]] = node
+                    mid += 1
+                if mid < hi:
+                    heads = np.array([self.sets[k][end] for k in ranked[mid:hi]])
+                    cuts = np.append(np.flatnonzero(np.append(True, heads[1:] != heads[:-1])), hi - mid) + mid
+                    following += [(int(x), int(y), end, node) for x, y in zip(cuts, cuts[1:])]
+            self.levels.append(slice(begun, len(parents)))
+            level = following
+        self.parent, self.low, self.high = np.array(parents), np.array(lows), np.array(highs)
+        ends = np.cumsum([len(r) for r in runs])
+        self.ends, self.starts = ends, ends - [len(r) for r in runs]
+        self.depth = self.starts * 0
+        for at in self.levels:
+            above = np.where(self.parent[at] >= 0, self.depth[self.parent[at]], 0)
+            self.depth[at] = above + self.ends[at] - self.starts[at]
+        self.flat = np.concatenate(runs)
+
+    def links(self, i: int) -> np.ndarray:
+        """The sets that link with set i (itself among them)."""
+        size = int(self.sizes[i])
         least, most = needed(size), size * DENOMINATOR // NUMERATOR
-        stack = [(self.root, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            one, start, end, shortest, longest, done, children, _ = node
-            if longest < least or shortest > most:
-                continue
-            if (known := self._connected(node)) is not None and find(known) == own:
-                continue
-            overlap += len(member.intersection(self.sets[one][start:end].tolist()))
+        member = np.zeros(len(self.codes), np.int32)
+        member[self.sets[i]] = 1
+        sums = np.concatenate([[0], np.cumsum(member[self.flat])])
+        overlap = sums[self.ends] - sums[self.starts]
+        alive = (self.high >= least) & (self.low <= most)
+        wanted = overlap_needed(size, np.maximum(self.low, least))
+        for at in self.levels[:1]:  # the root has no parent
+            alive[at] &= overlap[at] + np.minimum(self.high[at] - self.depth[at], size - overlap[at]) >= wanted[at]
+        for at in self.levels[1:]:
+            up = self.parent[at]
+            overlap[at] += overlap[up]
             # what is still to come below, and what the probe has left, bound the overlap
-            if overlap + min(longest - end, size - overlap) < overlap_needed(size, max(shortest, least)):
-                continue
-            if least <= end <= most and overlap >= overlap_needed(size, end):
-                found += [j for j in done if find(j) != own]
-            stack += [(c, overlap) for c in children]
-        return found
+            alive[at] &= alive[up] & (overlap[at] + np.minimum(self.high[at] - self.depth[at], size - overlap[at]) >= wanted[at])
+            if not alive[at].any():
+                alive[at.stop :] = False
+                break
+        found = overlap[self.node_of]
+        return np.flatnonzero(alive[self.node_of] & (self.sizes >= least) & (self.sizes <= most) & (found >= overlap_needed(size, self.sizes)))
 
 
 def link_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets``: each set walks the trie of all."""
-    parent = list(range(len(sets)))
+    """Links that span the components of ``sets``.
 
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * len(sets) + 1000))
-    trie = Trie([s.astype(">u8") for s in sets], find)
+    Sets whose shingles are the most common walk the trie first, as the middle of a group of
+    copies connects it at once; a set is passed over once all sets of fitting size are
+    connected with it.
+    """
+    trie = Trie(sets)
+    counts = np.bincount(np.concatenate(trie.sets), minlength=len(trie.codes))
+    common = np.array([counts[s].mean() for s in trie.sets])
+    own = np.arange(len(sets))
     out = []
-    for i in range(len(sets)):
-        for j in trie.links(i):
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+    for i in np.argsort(-common, kind="stable"):
+        size = int(trie.sizes[i])
+        fitting = (trie.sizes >= needed(size)) & (trie.sizes <= size * DENOMINATOR // NUMERATOR)
+        if (own[fitting] == own[i]).all():
+            continue
+        for j in trie.links(int(i)):
+            if own[j] != own[i]:
+                own[own == own[j]] = own[i]
                 out.append((ids[i], ids[j]))
     return out
 
