@@ -1,4 +1,596 @@
-"""Driver queries over the star-schema tables and their DuckDB equivalents."""
+"""Driver queries over the star-schema tables and their DuckDB equivalents.
+
+Trades are derived from ``events`` (five event types as venues, three symbols); windows of
+one hour, six hours and a day stand for the usual 1, 10 and 60 seconds. Doubles are
+rounded on both sides.
+"""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from meridia.functions import scalars as S
+from meridia.functions.dsl import Rule, RuleSet, load_rules, parse_condition
+from meridia.operators import asof, backtest as B, normalise as N, rules as R, sequential as Q, serve as V, windows as W
+from meridia.sources import archive as A, tables as T
+
+NS = S.NS
+HOUR, SIX, DAY = 3600, 21_600, 86_400
+SIZES = (HOUR, SIX, DAY)
+LATE = 600 * NS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# -- shared SQL -----------------------------------------------------------------------
+
+RAW = """raw AS (
+  SELECT event_type AS exchange, 'S' || (user_id % 3) || '-USD' AS symbol, CAST(event_id AS VARCHAR) AS trade_id, epoch_us(ts) * 1000 AS t,
+         CAST(value AS DECIMAL(18,8)) AS price, CAST(regexp_extract(props, '([0-9]+)', 1) AS DECIMAL(18,8)) AS size,
+         CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, event_id AS off, CAST(user_id % 3 AS INTEGER) AS part FROM events)"""
+GOOD = f"{RAW}, good AS (SELECT * FROM raw WHERE size > 0 AND price > 0)"
+
+
+def metrics_sql(source: str = "good") -> str:
+    """CTEs each, venue and metrics over the trades ``source`` (exchange, symbol, t, price, size, off)."""
+    return f"""each AS (SELECT *, t - t % (w * {NS}) AS s FROM {source}, (VALUES ({HOUR}::BIGINT), ({SIX}), ({DAY})) v(w)),
+    returns AS (SELECT *, ln(CAST(price AS DOUBLE) / CAST(lag(price) OVER (PARTITION BY symbol, w, s, exchange ORDER BY off) AS DOUBLE)) AS r FROM each),
+    venue AS (
+      SELECT symbol, w, s, exchange, sum(price * size) AS spq, sum(size) AS sq, count(*) AS n, max(price) AS high, min(price) AS low, max(t) AS last_t,
+             arg_max(price, {{'t': t, 'o': off}}) AS last, sum(r * r) AS var, CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE) AS vwap
+      FROM returns GROUP BY symbol, w, s, exchange),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, w, s ORDER BY exchange) AS k FROM venue),
+    metrics AS (
+      SELECT symbol, w AS window_secs, s AS window_start_ns, s + w * {NS} AS window_end_ns, CAST(sum(spq) AS DOUBLE) / CAST(sum(sq) AS DOUBLE) AS vwap, CAST(sum(sq) AS DOUBLE) AS volume, CAST(sum(n) AS BIGINT) AS trade_count,
+             coalesce(sqrt(avg(var)) * sqrt(31536000.0 / w), 0) AS realised_vol, CAST(max(high) AS DOUBLE) AS high, CAST(min(low) AS DOUBLE) AS low, CAST(arg_max(last, last_t) AS DOUBLE) AS last_price,
+             CASE WHEN count(*) < 2 THEN 0 ELSE (max(vwap) FILTER (k = 1) - max(vwap) FILTER (k = 2)) * 10000 / ((max(vwap) FILTER (k = 1) + max(vwap) FILTER (k = 2)) / 2) END AS xex_spread_bps, count(*) AS venues
+      FROM ranked GROUP BY symbol, w, s)"""
+
+
+METRICS = f"{GOOD}, {metrics_sql()}"
+
+
+def trades(spark, d) -> DataFrame:
+    return T.trades_from_events(spark, d)
+
+
+def metrics(spark, d) -> DataFrame:
+    return W.window_metrics(trades(spark, d), SIZES, LATE, flush=True, in_order=True)
+
+
+def flat(m: DataFrame) -> DataFrame:
+    d = lambda c, n=6: F.round(F.col(c).cast("double"), n).alias(c)
+    return m.select("symbol", "window_secs", "window_start_ns", "window_end_ns", d("vwap"), d("volume"), "trade_count", d("realised_vol", 4), d("high"), d("low"), d("last_price"), d("xex_spread_bps", 4))
+
+
+FLAT = "symbol, CAST(window_secs AS INTEGER) AS window_secs, window_start_ns, window_end_ns, round(vwap, 6) AS vwap, round(volume, 6) AS volume, trade_count, round(realised_vol, 4) AS realised_vol, round(high, 6) AS high, round(low, 6) AS low, round(last_price, 6) AS last_price, round(xex_spread_bps, 4) AS xex_spread_bps"
+
+
+# -- sources, projections, validation ---------------------------------------------------
+
+
+@query("src_trades_scan", f"WITH {GOOD} SELECT exchange, symbol, trade_id, t AS event_time_ns, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size, side FROM good")
+def _(spark, d):
+    return trades(spark, d).select("exchange", "symbol", "trade_id", "event_time_ns", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), "side")
+
+
+@query("src_range_scan", f"WITH {GOOD}, lim AS (SELECT min(t) AS a FROM good) SELECT symbol, trade_id, t AS event_time_ns FROM good, lim WHERE symbol IN ('S0-USD', 'S2-USD') AND t >= a + 86400000000000 AND t < a + 5 * 86400000000000")
+def _(spark, d):
+    t = trades(spark, d)
+    start = t.agg(F.min("event_time_ns")).first()[0] or 0
+    return t.where(F.col("symbol").isin("S0-USD", "S2-USD") & (F.col("event_time_ns") >= start + DAY * NS) & (F.col("event_time_ns") < start + 5 * DAY * NS)).select("symbol", "trade_id", "event_time_ns")
+
+
+@query("prj_validate_trades", f"WITH {RAW} SELECT trade_id, CASE WHEN size <= 0 THEN 'size: not a positive decimal' END AS error FROM raw")
+def _(spark, d):
+    r = T.events_as_raw(spark, d)
+    t = F.struct("symbol", "trade_id", "price", "size", "event_time_ns", "side")
+    return r.select("trade_id", N.validation_error(t, F.col("recv_time_ns"), None).alias("error"))
+
+
+@query("prj_dead_letters_by_reason", f"WITH {RAW} SELECT 'validation' AS reason, exchange, count(*) AS n FROM raw WHERE size <= 0 GROUP BY exchange")
+def _(spark, d):
+    r = T.events_as_raw(spark, d)
+    t = F.struct("symbol", "trade_id", "price", "size", "event_time_ns", "side")
+    bad = r.where(N.validation_error(t, F.col("recv_time_ns"), None).isNotNull())
+    return bad.groupBy(F.lit("validation").alias("reason"), "exchange").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "prj_normalise_messages",
+    f"WITH {GOOD} SELECT exchange, symbol, trade_id, t AS event_time_ns, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size, CASE WHEN side = 'buy' THEN 'sell' ELSE 'buy' END AS side FROM (SELECT * REPLACE ('coinbase' AS exchange) FROM good)",
+)
+def _(spark, d):
+    """Events written as venue messages, then decoded, validated and deduplicated; redeliveries go."""
+    r = T.events_as_raw(spark, d)
+    secs = F.timestamp_seconds(F.floor(F.col("event_time_ns") / NS))
+    stamp = F.concat(F.date_format(secs, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad((F.col("event_time_ns") % NS).cast("string"), 9, "0"), F.lit("Z"))
+    m = F.to_json(F.struct(F.lit("match").alias("type"), F.col("trade_id").cast("long").alias("trade_id"), F.col("symbol").alias("product_id"), F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"), "side", stamp.alias("time")))
+    f = r.select(F.lit("raw.trades.coinbase").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), F.col("symbol").alias("key"), m.alias("value"), F.lit("").alias("exchange"), "recv_time_ns")
+    again = f.where("offset % 7 = 0").withColumn("offset", F.col("offset") + 1_000_000)
+    good, _dead = N.normalise(f.unionByName(again))
+    return good.select("exchange", "symbol", "trade_id", "event_time_ns", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), "side")
+
+
+@query("prj_side_mapping", f"WITH {GOOD} SELECT side, CASE side WHEN 'buy' THEN 'sell' ELSE 'buy' END AS taker, count(*) AS n FROM good GROUP BY side")
+def _(spark, d):
+    return trades(spark, d).groupBy("side", F.when(F.col("side") == "buy", "sell").otherwise("buy").alias("taker")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prj_range_bps", f"WITH {METRICS} SELECT symbol, CAST(window_secs AS INTEGER) AS window_secs, window_end_ns, round((high - low) / vwap * 1e4, 4) AS range_bps FROM metrics")
+def _(spark, d):
+    return metrics(spark, d).select("symbol", "window_secs", "window_end_ns", F.round(S.range_bps(F.col("high"), F.col("low"), F.col("vwap")), 4).alias("range_bps"))
+
+
+@query("prj_symbol_format", "SELECT s, regexp_full_match(s, '[A-Z0-9]{1,12}-[A-Z0-9]{1,12}') AS valid, regexp_replace(s, '^([^/]*)/', '\\1-') AS mapped, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'S' || (user_id % 3) || '/USD' WHEN event_id % 3 = 1 THEN 's-' ELSE 'S-U' END AS s FROM events) GROUP BY s")
+def _(spark, d):
+    s = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string"), F.lit("/USD"))).when(F.col("event_id") % 3 == 1, "s-").otherwise("S-U")
+    return T.table(spark, d, "events").select(s.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).select("s", S.valid_symbol(F.col("s")).alias("valid"), S.venue_symbol(F.col("s")).alias("mapped"), "n")
+
+
+# -- functions ----------------------------------------------------------------------------
+
+
+@query("fn_align_windows", f"WITH {GOOD} SELECT w AS secs, t - t % (w * {NS}) AS start_ns, count(*) AS n FROM good, (VALUES ({HOUR}::BIGINT), ({SIX}), ({DAY})) v(w) GROUP BY ALL")
+def _(spark, d):
+    t = trades(spark, d).select("event_time_ns", F.explode(F.array(*map(F.lit, SIZES))).alias("secs"))
+    return t.groupBy("secs", S.align(F.col("event_time_ns"), F.col("secs")).alias("start_ns")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fn_alert_id_sha", f"WITH {GOOD} SELECT trade_id, substr(sha256('rule' || chr(0) || symbol || chr(0) || t), 1, 32) AS plain_id, substr(sha256('rule' || chr(0) || symbol || chr(0) || t || chr(0) || exchange), 1, 32) AS venue_id FROM good")
+def _(spark, d):
+    i = lambda *x: S.alert_id(F.lit("rule"), F.col("symbol"), F.col("event_time_ns"), *x)
+    return trades(spark, d).select("trade_id", i().alias("plain_id"), i(F.col("exchange")).alias("venue_id"))
+
+
+@query("fn_canonical_decimal", f"WITH {GOOD} SELECT trade_id, regexp_replace(CAST(price AS VARCHAR), '\\.?0+$', '') AS price, regexp_replace(CAST(size AS VARCHAR), '\\.?0+$', '') AS size FROM good")
+def _(spark, d):
+    return trades(spark, d).select("trade_id", S.canonical_decimal(F.col("price")).alias("price"), S.canonical_decimal(F.col("size")).alias("size"))
+
+
+@query("fn_alert_sort_key", f"WITH {GOOD} SELECT trade_id, lpad(CAST(t AS VARCHAR), 20, '0') || '#' || trade_id AS sk, '|' AS sep, exchange || '|' || trade_id AS dedup_key FROM good")
+def _(spark, d):
+    return trades(spark, d).select("trade_id", S.alert_sort_key(F.col("event_time_ns"), F.col("trade_id")).alias("sk"), F.lit("|").alias("sep"), S.dedup_key(F.col("exchange"), F.col("trade_id")).alias("dedup_key"))
+
+
+@query("fn_time_parts", f"WITH {GOOD} SELECT trade_id, strftime(make_timestamp(t // 1000), '%Y-%m-%d') AS date, strftime(make_timestamp(t // 1000), '%H') AS hour, strftime(make_timestamp(t // 1000), '%Y-%m-%dT%H:%M:%SZ') AS stamp, t - t % 1000000000 AS parsed_ns FROM good")
+def _(spark, d):
+    date, hour = S.hour_parts(F.col("event_time_ns"))
+    return trades(spark, d).withColumn("stamp", S.rfc3339(F.col("event_time_ns"))).select("trade_id", date.alias("date"), hour.alias("hour"), "stamp", S.rfc3339_ns(F.col("stamp")).alias("parsed_ns"))
+
+
+@query("fn_json_exact", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events")
+def _(spark, d):
+    return T.table(spark, d, "events").select("event_id", F.from_json("props", "k decimal(38,0)")["k"].cast("long").alias("k"))
+
+
+@query("fn_archive_key", f"""WITH {GOOD} SELECT 'trades/exchange=' || exchange || '/symbol=' || symbol || '/date=' || strftime(make_timestamp(t // 1000), '%Y-%m-%d') || '/hour=' || strftime(make_timestamp(t // 1000), '%H') || '/part-' || lpad(CAST(min(off) AS VARCHAR), 20, '0') || '-' || lpad(CAST(max(off) AS VARCHAR), 20, '0') || '.parquet' AS key, count(*) AS n
+FROM good GROUP BY exchange, symbol, strftime(make_timestamp(t // 1000), '%Y-%m-%d'), strftime(make_timestamp(t // 1000), '%H')""")
+def _(spark, d):
+    date, hour = S.hour_parts(F.col("event_time_ns"))
+    g = trades(spark, d).groupBy("exchange", "symbol", date.alias("date"), hour.alias("hour")).agg(F.min("kafka_offset").alias("a"), F.max("kafka_offset").alias("b"), F.count(F.lit(1)).alias("n"))
+    return g.select(F.format_string("trades/exchange=%s/symbol=%s/date=%s/hour=%s/part-%020d-%020d.parquet", "exchange", "symbol", "date", "hour", "a", "b").alias("key"), "n")
+
+
+# -- windows ------------------------------------------------------------------------------
+
+for _secs, _name in ((HOUR, "1h"), (SIX, "6h"), (DAY, "1d")):
+
+    @query(f"win_ohlcv_{_name}", f"WITH {METRICS} SELECT {FLAT} FROM metrics WHERE window_secs = {_secs}")
+    def _(spark, d, secs=_secs):
+        return flat(W.window_metrics(trades(spark, d), (secs,), LATE, flush=True, in_order=True))
+
+
+@query("win_multi_size", f"WITH {METRICS} SELECT {FLAT} FROM metrics")
+def _(spark, d):
+    return flat(metrics(spark, d))
+
+
+@query("win_per_venue_breakdown", f"WITH {METRICS} SELECT symbol, CAST(w AS INTEGER) AS window_secs, s AS window_start_ns, exchange, round(vwap, 6) AS vwap, CAST(sq AS DOUBLE) AS volume, n AS trade_count, last_t AS last_trade_ns FROM venue")
+def _(spark, d):
+    x = metrics(spark, d).select("symbol", "window_secs", "window_start_ns", F.explode("exchanges").alias("x"))
+    return x.select("symbol", "window_secs", "window_start_ns", "x.exchange", F.round(F.col("x.vwap").cast("double"), 6).alias("vwap"), F.col("x.volume").cast("double").alias("volume"), "x.trade_count", "x.last_trade_ns")
+
+
+# a perturbed stream: out of order by up to 22 records, every 20th redelivered
+MESSY = f"""{GOOD}, shifted AS (SELECT * REPLACE (off * 10 + (off * 7919 % 23) * 10 AS off) FROM good),
+  delivered AS (SELECT * REPLACE (off * 100000000 + CAST(trade_id AS BIGINT) AS off) FROM (SELECT * FROM shifted UNION ALL SELECT * REPLACE (off + 5 AS off) FROM shifted WHERE CAST(trade_id AS BIGINT) % 20 = 0)),
+  buckets AS (SELECT *, t - t % ({HOUR * NS}) AS bucket FROM delivered),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY part, exchange, trade_id, bucket ORDER BY off) AS copy, max(t) OVER (PARTITION BY part ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM buckets),
+  judged AS (SELECT *, CASE WHEN coalesce(bucket + {HOUR * NS} <= before - {LATE}, false) THEN 'late' WHEN copy > 1 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM numbered)"""
+MESSY_METRICS = f"{MESSY}, ok AS (SELECT * FROM judged WHERE outcome = 'accepted'), {metrics_sql('ok')}"
+
+
+@query("win_outcome_counts", f"WITH {MESSY} SELECT part AS kafka_partition, outcome, count(*) AS n FROM judged GROUP BY part, outcome")
+def _(spark, d):
+    return W.outcomes(T.messy_trades(spark, d), SIZES, LATE).groupBy("kafka_partition", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("win_late_drop", f"WITH {MESSY_METRICS} SELECT {FLAT} FROM metrics")
+def _(spark, d):
+    return flat(W.window_metrics(T.messy_trades(spark, d), SIZES, LATE, flush=True))
+
+
+@query("win_closed_only", f"WITH {MESSY_METRICS}, mark AS (SELECT symbol, max(t) - {LATE} AS final FROM ok GROUP BY symbol) SELECT {FLAT.replace('symbol,', 'metrics.symbol,', 1)} FROM metrics JOIN mark USING (symbol) WHERE window_end_ns <= final")
+def _(spark, d):
+    return flat(W.window_metrics(T.messy_trades(spark, d), SIZES, LATE))
+
+
+@query("win_emitted_at", f"""WITH {MESSY_METRICS}, peaks AS (SELECT symbol, off, max(t) OVER (PARTITION BY symbol ORDER BY off) AS peak FROM ok),
+ closed AS (SELECT m.symbol, m.window_secs, m.window_end_ns, min(p.peak) - {LATE} AS emitted_at_ns FROM metrics m JOIN peaks p ON p.symbol = m.symbol AND p.peak >= m.window_end_ns + {LATE} GROUP BY ALL)
+ SELECT symbol, CAST(window_secs AS INTEGER) AS window_secs, window_end_ns, emitted_at_ns FROM closed""")
+def _(spark, d):
+    return W.window_metrics(T.messy_trades(spark, d), SIZES, LATE).select("symbol", "window_secs", "window_end_ns", "emitted_at_ns")
+
+
+@query("win_dedup_bucket", f"WITH {MESSY} SELECT part AS kafka_partition, count(*) AS n, count(DISTINCT trade_id) AS ids FROM numbered WHERE copy = 1 GROUP BY part")
+def _(spark, d):
+    return W.dedup_bucket(T.messy_trades(spark, d), HOUR).where("copy = 1").groupBy("kafka_partition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trade_id").alias("ids"))
+
+
+@query("win_event_time", f"WITH {GOOD} SELECT symbol, {HOUR} AS window_secs, t - t % ({HOUR * NS}) AS window_start_ns, round(CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 6) AS vwap, count(*) AS trade_count FROM good GROUP BY ALL")
+def _(spark, d):
+    """Spark's own event-time windows, as the approximate streaming mode uses them."""
+    t = trades(spark, d).withColumn("ts", F.timestamp_micros((F.col("event_time_ns") / 1000).cast("long")))
+    w = W.watermark_windows(t, HOUR, "600 seconds")
+    return w.select("symbol", "window_secs", (F.unix_micros("window_start") * 1000).alias("window_start_ns"), F.round(F.col("vwap").cast("double"), 6).alias("vwap"), "trade_count")
+
+
+# -- rules --------------------------------------------------------------------------------
+
+
+def rule(name: str, condition: str, secs: int = HOUR, cooldown: int = 0, severity: str = "WARN") -> Rule:
+    return Rule(name, parse_condition(condition), severity, secs, cooldown)
+
+
+ZSCORE = rule("price_jump", "abs(zscore(last_price, lookback=12)) > 2", HOUR, 4 * HOUR)
+MEDIAN = rule("volume_spike", "median_ratio(volume, lookback=10) > 2.5", HOUR, 6 * HOUR)
+SPREAD = rule("divergence", "abs(xex_spread_bps) > 9000", HOUR, 3 * HOUR, "CRITICAL")
+STALE = rule("stale_feed", "seconds_since_last_trade > 10800", HOUR, 6 * HOUR, "CRITICAL")
+RULES = RuleSet((ZSCORE, MEDIAN, SPREAD, STALE), ("click", "ghost"))
+
+BASE = f"base AS (SELECT * FROM metrics WHERE window_secs = {HOUR})"
+Z_CTE = f"""{BASE}, z AS (SELECT symbol, window_end_ns AS end_ns, last_price AS cur, avg(last_price) OVER p AS m, stddev_samp(last_price) OVER p AS sd, count(last_price) OVER p AS c FROM base
+  WINDOW p AS (PARTITION BY symbol ORDER BY window_end_ns ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+  zs AS (SELECT symbol, end_ns, CASE WHEN c = 12 AND sd > 1e-12 * abs(m) THEN abs((cur - m) / sd) END AS value FROM z)"""
+M_CTE = f"""{BASE}, q AS (SELECT symbol, window_end_ns AS end_ns, volume AS cur, quantile_cont(volume, 0.5) OVER p AS m, count(volume) OVER p AS c FROM base
+  WINDOW p AS (PARTITION BY symbol ORDER BY window_end_ns ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+  ms AS (SELECT symbol, end_ns, CASE WHEN c = 10 AND m > 0 THEN cur / m END AS value FROM q)"""
+
+
+def evals_of(spark, d, r: Rule) -> DataFrame:
+    e = R.evaluate_rule(metrics(spark, d), r, RULES.expected_exchanges)
+    return e.select("symbol", "end_ns", F.round("value", 4).alias("value"), "defined", "crossed")
+
+
+def evals_sql(table: str, test: str) -> str:
+    return f"SELECT symbol, end_ns, round(value, 4) AS value, value IS NOT NULL AS defined, coalesce({test}, false) AS crossed FROM {table}"
+
+
+@query("rule_zscore", f"WITH {METRICS}, {Z_CTE} {evals_sql('zs', 'value > 2')}")
+def _(spark, d):
+    return evals_of(spark, d, ZSCORE)
+
+
+@query("rule_median_ratio", f"WITH {METRICS}, {M_CTE} {evals_sql('ms', 'value > 2.5')}")
+def _(spark, d):
+    return evals_of(spark, d, MEDIAN)
+
+
+@query("rule_abs_spread", f"WITH {METRICS}, {BASE}, v AS (SELECT symbol, window_end_ns AS end_ns, CASE WHEN venues >= 2 THEN abs(xex_spread_bps) END AS value FROM base) {evals_sql('v', 'value > 9000')}")
+def _(spark, d):
+    return evals_of(spark, d, SPREAD)
+
+
+@query("rule_staleness", f"""WITH {METRICS}, {BASE}, firsts AS (SELECT symbol, min(window_start_ns) AS seen, min(window_end_ns) AS end_ns FROM base GROUP BY symbol),
+  known AS (SELECT symbol, exchange, s + w * {NS} AS end_ns, last_t AS seen FROM venue WHERE w = {HOUR} UNION ALL SELECT symbol, x, end_ns, seen FROM firsts, (VALUES ('click'), ('ghost')) e(x)),
+  since AS (SELECT symbol, exchange, min(end_ns) AS since FROM known GROUP BY ALL), at AS (SELECT symbol, exchange, end_ns, max(seen) AS seen FROM known GROUP BY ALL),
+  joined AS (SELECT b.symbol, b.window_end_ns AS end_ns, s.exchange, a.seen FROM base b JOIN since s ON s.symbol = b.symbol AND b.window_end_ns >= s.since LEFT JOIN at a ON a.symbol = b.symbol AND a.exchange = s.exchange AND a.end_ns = b.window_end_ns),
+  v AS (SELECT symbol, exchange, end_ns, (end_ns - max(seen) OVER (PARTITION BY symbol, exchange ORDER BY end_ns)) / 1e9 AS value FROM joined)
+  SELECT symbol, exchange, end_ns, round(value, 4) AS value, value > 10800 AS crossed FROM v""".replace(" at AS", " ats AS").replace("JOIN at a", "JOIN ats a"))
+def _(spark, d):
+    e = R.evaluate_rule(metrics(spark, d), STALE, RULES.expected_exchanges)
+    return e.select("symbol", "exchange", "end_ns", F.round("value", 4).alias("value"), "crossed")
+
+
+@query("rule_threshold_ops", f"WITH {METRICS}, {BASE} SELECT symbol, window_end_ns AS end_ns, trade_count > 4 AS gt, trade_count >= 4 AS ge, trade_count < 4 AS lt, trade_count <= 4 AS le FROM base")
+def _(spark, d):
+    m = metrics(spark, d).where(F.col("window_secs") == HOUR)
+    v = R.field_value("trade_count")
+    return m.select("symbol", F.col("window_end_ns").alias("end_ns"), *[R.compare(v, o, 4.0).alias(n) for o, n in ((">", "gt"), (">=", "ge"), ("<", "lt"), ("<=", "le"))])
+
+
+def cooldown_sql(table: str, test: str, secs: int) -> str:
+    """CTE fired(symbol, end_ns, value): the greedy cooldown, one recursive step a firing."""
+    return f"""crossed AS (SELECT symbol, end_ns, value FROM {table} WHERE {test}),
+  fired AS (SELECT c.symbol, c.end_ns, c.value FROM crossed c JOIN (SELECT symbol, min(end_ns) AS end_ns FROM crossed GROUP BY symbol) f ON f.symbol = c.symbol AND f.end_ns = c.end_ns
+    UNION ALL (SELECT n.symbol, n.end_ns, n.value FROM (SELECT c.symbol, c.end_ns, c.value, row_number() OVER (PARTITION BY c.symbol ORDER BY c.end_ns) AS k FROM crossed c JOIN fired f ON c.symbol = f.symbol AND c.end_ns - f.end_ns >= {secs * NS}) n WHERE k = 1))"""
+
+
+@query("rule_alerts_with_cooldown", f"""WITH RECURSIVE {METRICS}, {Z_CTE}, {cooldown_sql('zs', 'value > 2', 4 * HOUR)}
+ SELECT substr(sha256('price_jump' || chr(0) || symbol || chr(0) || end_ns), 1, 32) AS alert_id, symbol, 'WARN' AS severity, end_ns AS window_end_ns, round(value, 4) AS value FROM fired""")
+def _(spark, d):
+    a = R.fire(R.evaluate_rule(metrics(spark, d), ZSCORE), ZSCORE)
+    return a.select("alert_id", "symbol", "severity", "window_end_ns", F.round(F.col("values")["value"], 4).alias("value"))
+
+
+@query("alert_values_flat", f"""WITH RECURSIVE {METRICS}, {M_CTE}, {cooldown_sql('ms', 'value > 2.5', 6 * HOUR)}
+ SELECT f.symbol, f.end_ns AS window_end_ns, round(f.value, 4) AS value, 2.5::DOUBLE AS threshold, round(q.m, 6) AS median, round(q.cur, 6) AS current, round(b.last_price, 6) AS last_price,
+   'volume_spike ' || f.symbol || ': median_ratio(volume, lookback=10) = ' || printf('%.2f', f.value) || ' > 2.5 ({HOUR}s window ending ' || strftime(make_timestamp(f.end_ns // 1000), '%Y-%m-%dT%H:%M:%SZ') || ')' AS message
+ FROM fired f JOIN q ON q.symbol = f.symbol AND q.end_ns = f.end_ns JOIN base b ON b.symbol = f.symbol AND b.window_end_ns = f.end_ns""")
+def _(spark, d):
+    a = R.fire(R.evaluate_rule(metrics(spark, d), MEDIAN), MEDIAN)
+    v = lambda k, n=6: F.round(F.col("values")[k], n).alias(k)
+    return a.select("symbol", "window_end_ns", v("value", 4), v("threshold"), v("median"), v("current"), v("last_price"), "message")
+
+
+@query("rule_all_alerts_count")
+def _(spark, d):
+    return R.alerts(metrics(spark, d), RULES).groupBy("rule_name", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- as-of, labels, backtest ----------------------------------------------------------------
+
+PRICES = f"prices AS (SELECT symbol, window_end_ns AS end_ns, last_price AS price FROM metrics WHERE window_secs = {HOUR})"
+
+
+@query("asof_backward_price", f"WITH {METRICS}, {PRICES} SELECT g.trade_id, p.end_ns, p.price FROM good g ASOF LEFT JOIN prices p ON g.symbol = p.symbol AND g.t >= p.end_ns")
+def _(spark, d):
+    p = B.prices(metrics(spark, d), HOUR)
+    return asof.asof_backward(trades(spark, d).select("symbol", "trade_id", "event_time_ns"), p, ["symbol"], "event_time_ns", "end_ns", {"end_ns": "end_ns", "price": "price"}).select("trade_id", "end_ns", "price")
+
+
+@query("asof_forward_exit", f"WITH {METRICS}, {PRICES} SELECT g.trade_id, p.end_ns FROM good g ASOF LEFT JOIN prices p ON g.symbol = p.symbol AND g.t + {2 * HOUR * NS} <= p.end_ns")
+def _(spark, d):
+    p = B.prices(metrics(spark, d), HOUR)
+    probes = trades(spark, d).select("symbol", "trade_id", (F.col("event_time_ns") + 2 * HOUR * NS).alias("at"))
+    return asof.asof_forward(probes, p, ["symbol"], "at", "end_ns", {"end_ns": "end_ns"}).select("trade_id", "end_ns")
+
+
+HORIZON, EVENT_BPS = 6 * HOUR * NS, 5000.0
+LABELS = f"""{PRICES}, tops AS (SELECT symbol, max(end_ns) AS top FROM prices GROUP BY symbol),
+  p0 AS (SELECT z.symbol, z.end_ns, z.value, p.price AS a FROM zs z ASOF JOIN prices p ON z.symbol = p.symbol AND z.end_ns >= p.end_ns WHERE z.value IS NOT NULL),
+  p1 AS (SELECT p0.*, p.price AS b FROM (SELECT *, end_ns + {HORIZON} AS later FROM p0) p0 ASOF JOIN prices p ON p0.symbol = p.symbol AND p0.later >= p.end_ns),
+  labelled AS (SELECT p1.symbol, p1.end_ns, p1.value, abs(b - a) / a * 1e4 AS move_bps, abs(b - a) / a * 1e4 >= {EVENT_BPS} AS event FROM p1 JOIN tops USING (symbol) WHERE p1.later <= top)"""
+
+
+@query("asof_future_move", f"WITH {METRICS}, {Z_CTE}, {LABELS} SELECT symbol, end_ns, round(move_bps, 4) AS move_bps FROM labelled")
+def _(spark, d):
+    m = metrics(spark, d)
+    e = R.evaluate_rule(m, ZSCORE).where("defined").select("symbol", "end_ns", "value")
+    return asof.future_move_bps(e, B.prices(m, HOUR), "end_ns", HORIZON).where("move_bps IS NOT NULL").select("symbol", "end_ns", F.round("move_bps", 4).alias("move_bps"))
+
+
+@query("label_events", f"WITH {METRICS}, {Z_CTE}, {LABELS} SELECT symbol, event, count(*) AS n FROM labelled GROUP BY ALL")
+def _(spark, d):
+    return _points(spark, d).groupBy("symbol", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _range(spark, d) -> tuple[int, int]:
+    r = trades(spark, d).agg(F.min("event_time_ns").alias("a"), F.max("event_time_ns").alias("b")).first()
+    return (r["a"] or 0) // (DAY * NS) * (DAY * NS), ((r["b"] or 0) // (DAY * NS) + 1) * (DAY * NS)
+
+
+def _options(spark, d) -> B.Options:
+    a, b = _range(spark, d)
+    return B.Options(a, b, folds=5, train_blocks=2, horizon_ns=HORIZON, event_bps=EVENT_BPS, cost_bps=5.0, lookback=6, hold_ns=3 * HOUR * NS, price_secs=HOUR, bar_secs=HOUR)
+
+
+def _points(spark, d) -> DataFrame:
+    return B.label_points(metrics(spark, d), ZSCORE, _options(spark, d))
+
+
+SPAN = f"span AS (SELECT min(t) // {DAY * NS} * {DAY * NS} AS a, (max(t) // {DAY * NS} + 1) * {DAY * NS} AS b FROM good), blocks AS (SELECT a, (b - a) // 5 AS len FROM span)"
+FOLDS = f"{SPAN}, folds AS (SELECT CAST(i + 1 AS INTEGER) AS fold, a + (i - 2) * len AS train_from, a + i * len AS test_from, a + (i + 1) * len AS test_to FROM blocks, range(2, 5) r(i))"
+
+
+@query("walk_forward_folds", f"WITH {GOOD}, {FOLDS} SELECT fold, train_from, test_from, test_to FROM folds")
+def _(spark, d):
+    return B.folds(spark, _options(spark, d))
+
+
+def scored_sql(rows: str, keys: str) -> str:
+    """CTE scored over ``rows`` (keys, symbol, end_ns, event, crossed): greedy cooldown, counts, rounded F1."""
+    r6 = lambda x: f"round({x}, 6)"
+    on = " AND ".join(f"c.{k} = f.{k}" for k in [*filter(None, keys.split(", ")), "symbol"])
+    part = ", ".join(f"c.{k}" for k in [*filter(None, keys.split(", ")), "symbol"])
+    head = ", ".join([*filter(None, keys.split(", ")), "symbol"])
+    group = f"GROUP BY {keys}" if keys else ""
+    lead = f"{keys}, " if keys else ""
+    return f"""hits AS (SELECT * FROM {rows} WHERE crossed), fired AS (SELECT {head}, min(end_ns) AS end_ns FROM hits GROUP BY {head}
+    UNION ALL (SELECT {head}, end_ns FROM (SELECT {part}, c.end_ns, row_number() OVER (PARTITION BY {part} ORDER BY c.end_ns) AS k FROM hits c JOIN fired f ON {on} AND c.end_ns - f.end_ns >= {4 * HOUR * NS}) n WHERE k = 1)),
+  marked AS (SELECT r.*, f.end_ns IS NOT NULL AND r.crossed AS fires FROM {rows} r LEFT JOIN fired f ON {on.replace('c.', 'r.')} AND r.end_ns = f.end_ns),
+  counted AS (SELECT {lead}count(*) FILTER (fires AND event) AS tp, count(*) FILTER (fires AND NOT event) AS fp, count(*) FILTER (NOT fires AND event) AS fn FROM marked {group}),
+  rated AS (SELECT *, {r6('CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END')} AS "precision", {r6('CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END')} AS recall FROM counted),
+  scored AS (SELECT *, {r6('CASE WHEN "precision" + recall = 0 THEN 0 ELSE 2 * "precision" * recall / ("precision" + recall) END')} AS f1 FROM rated)"""
+
+
+@query("score_confusion", f"WITH RECURSIVE {METRICS}, {Z_CTE}, {LABELS}, pts AS (SELECT symbol, end_ns, event, value > 2 AS crossed FROM labelled), {scored_sql('pts', '')} SELECT tp, fp, fn, CAST(\"precision\" AS DOUBLE) AS \"precision\", CAST(recall AS DOUBLE) AS recall, CAST(f1 AS DOUBLE) AS f1 FROM scored")
+def _(spark, d):
+    p = _points(spark, d).withColumn("crossed", F.col("value") > 2).withColumn("_all", F.lit(1))
+    return B.confusion(p, ["_all"], 4 * HOUR * NS).drop("_all")
+
+
+TUNE = f"""grid AS (SELECT fold, x AS threshold, symbol, end_ns, event, value > x AS crossed FROM labelled JOIN folds ON end_ns >= train_from AND end_ns < test_from, (VALUES (1.0::DOUBLE), (1.5), (2.0), (2.5), (3.0), (4.0), (6.0)) g(x)),
+ {scored_sql('grid', 'fold, threshold')}"""
+
+
+@query("tune_threshold", f"WITH RECURSIVE {METRICS}, {Z_CTE}, {LABELS}, {FOLDS}, {TUNE} SELECT fold, arg_max(threshold, {{'f': f1, 't': threshold}}) AS tuned, max(f1) AS train_f1 FROM scored GROUP BY fold")
+def _(spark, d):
+    return B.walk_forward(metrics(spark, d), ZSCORE, _options(spark, d)).select("fold", "tuned", "train_f1")
+
+
+@query("walk_forward_total")
+def _(spark, d):
+    return B.total(B.walk_forward(metrics(spark, d), ZSCORE, _options(spark, d)))
+
+
+BARS = f"""bars AS (SELECT symbol, window_end_ns AS end_ns, vwap, last_price AS last FROM metrics WHERE window_secs = {HOUR}),
+  based AS (SELECT *, avg(vwap) OVER p AS base, count(*) OVER p AS c FROM bars WINDOW p AS (PARTITION BY symbol ORDER BY end_ns ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+  cands AS (SELECT b.symbol, b.end_ns AS entry_ns, x.end_ns AS exit_ns, (b.last - b.base) / b.base * 1e4 AS dev, CASE WHEN b.last < b.base THEN 1 ELSE -1 END AS side, (CASE WHEN b.last < b.base THEN 1 ELSE -1 END) * (x.last - b.last) / b.last - 0.001 AS net_return
+    FROM (SELECT *, end_ns + {3 * HOUR * NS} AS due FROM based WHERE c = 6) b ASOF JOIN bars x ON b.symbol = x.symbol AND b.due <= x.end_ns)"""
+K = 3000.0
+TAKEN = f"""wide AS (SELECT * FROM cands WHERE abs(dev) >= {K}), taken AS (SELECT w.* FROM wide w JOIN (SELECT symbol, min(entry_ns) AS e FROM wide GROUP BY symbol) f ON f.symbol = w.symbol AND f.e = w.entry_ns
+    UNION ALL (SELECT symbol, entry_ns, exit_ns, dev, side, net_return FROM (SELECT w.*, row_number() OVER (PARTITION BY w.symbol ORDER BY w.entry_ns) AS k FROM wide w JOIN taken t ON w.symbol = t.symbol AND w.entry_ns > t.exit_ns) n WHERE k = 1))"""
+
+
+def taken(spark, d) -> DataFrame:
+    return B.simulate(B.signal_candidates(metrics(spark, d), _options(spark, d)).where(F.abs("dev") >= K), [])
+
+
+@query("signal_baseline", f"WITH {METRICS}, {BARS} SELECT symbol, entry_ns, exit_ns, round(dev, 3) AS dev, CAST(side AS INTEGER) AS side, round(net_return, 6) AS net_return FROM cands")
+def _(spark, d):
+    return B.signal_candidates(metrics(spark, d), _options(spark, d)).select("symbol", "entry_ns", "exit_ns", F.round("dev", 3).alias("dev"), "side", F.round("net_return", 6).alias("net_return"))
+
+
+@query("signal_trades", f"WITH RECURSIVE {METRICS}, {BARS}, {TAKEN} SELECT symbol, entry_ns, exit_ns, CAST(side AS INTEGER) AS side, round(net_return, 6) AS net_return FROM taken")
+def _(spark, d):
+    return taken(spark, d).select("symbol", "entry_ns", "exit_ns", "side", F.round("net_return", 6).alias("net_return"))
+
+
+@query("signal_stats", f"""WITH RECURSIVE {METRICS}, {BARS}, {TAKEN}, {SPAN} SELECT symbol, count(*) AS trades, round(avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(net_return) * 1e4, 3) AS mean_return_bps, round(coalesce(stddev_samp(net_return), 0) * 1e4, 3) AS std_return_bps,
+  round(CASE WHEN coalesce(stddev_samp(net_return), 0) > 0 THEN avg(net_return) / stddev_samp(net_return) ELSE 0 END, 5) AS sharpe_per_trade, round(count(*) / ((max(b) - max(span.a)) / {float(DAY * NS)}), 6) AS trades_per_day FROM taken, span GROUP BY symbol""")
+def _(spark, d):
+    a, b = _range(spark, d)
+    s = B.trade_stats(taken(spark, d), ["symbol"], b - a)
+    r = lambda c, n: F.round(c, n).alias(c)
+    return s.select("symbol", "trades", r("hit_rate", 6), r("mean_return_bps", 3), r("std_return_bps", 3), r("sharpe_per_trade", 5), r("trades_per_day", 6))
+
+
+SMALL_RETURN = "least(greatest(net_return, -0.5), 0.5) / 10"
+
+
+@query("equity_curve", f"""WITH RECURSIVE {METRICS}, {BARS}, {TAKEN}, run AS (SELECT symbol, exit_ns, exp(sum(ln(1 + {SMALL_RETURN})) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS equity FROM taken),
+  peaks AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS peak FROM run) SELECT symbol, exit_ns, round(equity, 5) AS equity, round(1 - equity / peak, 5) AS drawdown FROM peaks""")
+def _(spark, d):
+    t = taken(spark, d).withColumn("net_return", F.least(F.greatest("net_return", F.lit(-0.5)), F.lit(0.5)) / 10)
+    return B.equity_curve(t.withColumn("run", F.col("symbol")), ["run"]).select("symbol", "exit_ns", F.round("equity", 5).alias("equity"), F.round("drawdown", 5).alias("drawdown"))
+
+
+@query("equity_downsample", f"""WITH {METRICS}, {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY end_ns) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS len FROM bars),
+  picks AS (SELECT symbol, len, CAST(floor(k * (len - 1) / 49) AS BIGINT) AS i FROM (SELECT DISTINCT symbol, len FROM n), range(0, 50) r(k)) SELECT DISTINCT n.symbol, n.end_ns FROM n JOIN picks p ON n.symbol = p.symbol AND n.i = p.i WHERE n.len > 50 UNION SELECT symbol, end_ns FROM n WHERE len <= 50""")
+def _(spark, d):
+    b = metrics(spark, d).where(F.col("window_secs") == HOUR).select("symbol", F.col("window_end_ns").alias("end_ns"))
+    return B.downsample(b, ["symbol"], ["end_ns"], 50)
+
+
+# -- sets, sorts, serving ---------------------------------------------------------------------
+
+
+@query("set_union_venues", f"WITH {GOOD} SELECT exchange, count(*) AS n FROM (SELECT * FROM good WHERE exchange = 'click' UNION ALL SELECT * FROM good WHERE exchange <> 'click') GROUP BY exchange")
+def _(spark, d):
+    t = trades(spark, d)
+    return t.where("exchange = 'click'").unionByName(t.where("exchange <> 'click'")).groupBy("exchange").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("set_dedup_first", f"WITH {MESSY} SELECT exchange, trade_id, min(off) AS kafka_offset FROM delivered GROUP BY ALL")
+def _(spark, d):
+    return Q.bounded_fifo_dedup(T.messy_trades(spark, d), ["exchange", "trade_id"], "kafka_offset").select("exchange", "trade_id", "kafka_offset")
+
+
+@query("set_anti_new_alerts", f"WITH {GOOD} SELECT trade_id AS alert_id FROM good WHERE off % 3 = 0 AND off % 6 <> 0")
+def _(spark, d):
+    t = trades(spark, d).select(F.col("trade_id").alias("alert_id"), "kafka_offset")
+    return V.insert_absent(t.where("kafka_offset % 6 = 0").select("alert_id"), t.where("kafka_offset % 3 = 0").select("alert_id"))
+
+
+@query("srt_replay_order_topk", f"WITH {MESSY} SELECT exchange, trade_id, t AS event_time_ns FROM (SELECT DISTINCT exchange, trade_id, t FROM delivered) ORDER BY t, exchange, trade_id LIMIT 200")
+def _(spark, d):
+    return A.replay(T.messy_trades(spark, d).select("event_time_ns", "exchange", "trade_id")).limit(200).select("exchange", "trade_id", "event_time_ns")
+
+
+ITEMS = f"items AS (SELECT symbol, trade_id AS alert_id, t AS window_end_ns, lpad(CAST(t AS VARCHAR), 20, '0') || '#' || trade_id AS sk FROM good)"
+
+
+def items(spark, d) -> DataFrame:
+    return V.alert_items(trades(spark, d).select("symbol", F.col("trade_id").alias("alert_id"), F.col("event_time_ns").alias("window_end_ns")))
+
+
+@query("srt_alerts_topk", f"WITH {GOOD}, {ITEMS} SELECT symbol, alert_id, sk FROM items ORDER BY sk DESC LIMIT 50")
+def _(spark, d):
+    return V.alert_page(items(spark, d)).select("symbol", "alert_id", "sk")
+
+
+@query("srt_keyset_page", f"WITH {GOOD}, {ITEMS}, cut AS (SELECT min(sk) AS c FROM (SELECT sk FROM items WHERE symbol = 'S1-USD' ORDER BY sk DESC LIMIT 100)) SELECT alert_id, sk FROM items, cut WHERE symbol = 'S1-USD' AND sk < c ORDER BY sk DESC LIMIT 100")
+def _(spark, d):
+    i = items(spark, d)
+    last = V.alert_page(i, "S1-USD", limit=100).agg(F.min("sk")).first()[0] or ""
+    return V.alert_page(i, "S1-USD", limit=100, cursor=V.encode_cursor("S1-USD", last)).select("alert_id", "sk")
+
+
+@query("srv_latest_by_key", f"WITH {METRICS} SELECT symbol, CAST(window_secs AS INTEGER) AS window_secs, max(window_end_ns) AS window_end_ns, round(arg_max(vwap, window_end_ns), 6) AS vwap FROM metrics GROUP BY ALL")
+def _(spark, d):
+    return V.newest(metrics(spark, d).select("symbol", "window_secs", "window_end_ns", "vwap"), ["symbol", "window_secs"], "window_end_ns").withColumn("vwap", F.round(F.col("vwap").cast("double"), 6))
+
+
+@query("srv_upsert_newer", f"WITH {GOOD} SELECT symbol, exchange, max(t) AS event_time_ns, arg_max(trade_id, t) AS trade_id FROM good GROUP BY symbol, exchange")
+def _(spark, d):
+    t = trades(spark, d).select("symbol", "exchange", "event_time_ns", "trade_id")
+    old = V.newest(t.where("CAST(trade_id AS BIGINT) % 2 = 0"), ["symbol", "exchange"], "event_time_ns")
+    return V.upsert_newer(old, t.where("CAST(trade_id AS BIGINT) % 2 = 1"), ["symbol", "exchange"], "event_time_ns")
+
+
+@query("srv_history_last_n", f"WITH {METRICS} SELECT symbol, window_end_ns FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY window_end_ns DESC) AS k FROM metrics WHERE window_secs = {SIX}) WHERE k <= 20")
+def _(spark, d):
+    return V.last_n(metrics(spark, d).where(F.col("window_secs") == SIX).select("symbol", "window_end_ns"), ["symbol"], "window_end_ns", 20)
+
+
+@query("srv_symbols_left_join", f"WITH {GOOD}, feeds AS (SELECT symbol, exchange, max(t) AS t FROM good GROUP BY ALL), lists AS (SELECT symbol, string_agg(exchange, ',' ORDER BY exchange) AS feeds, max(t) AS newest FROM feeds GROUP BY symbol) SELECT s.symbol, coalesce(feeds, '') AS feeds, newest FROM (VALUES ('S0-USD'), ('S1-USD'), ('S2-USD'), ('X-USD')) s(symbol) LEFT JOIN lists USING (symbol)")
+def _(spark, d):
+    names = spark.createDataFrame([("S0-USD",), ("S1-USD",), ("S2-USD",), ("X-USD",)], "symbol string")
+    h = R.feed_health(trades(spark, d).withColumn("recv_time_ns", F.col("event_time_ns")), F.lit(0).cast("long"))
+    out = V.symbols_with_health(names, h)
+    return out.select("symbol", F.array_join(F.transform("feeds", lambda x: x["exchange"]), ",").alias("feeds"), F.array_max(F.transform("feeds", lambda x: x["last_trade_ns"])).alias("newest"))
+
+
+@query("srv_feed_health_status", f"WITH {GOOD}, final AS (SELECT max(t) AS now FROM good), feeds AS (SELECT exchange, symbol, max(t) AS last_trade_ns FROM good GROUP BY ALL) SELECT exchange, symbol, last_trade_ns, CASE WHEN now - last_trade_ns > 7200000000000 THEN 'stale' ELSE 'connected' END AS status FROM feeds, final")
+def _(spark, d):
+    t = trades(spark, d).withColumn("recv_time_ns", F.col("event_time_ns"))
+    now = t.agg(F.max("event_time_ns")).first()[0] or 0
+    return R.feed_health(t, F.lit(now), 7200 * NS).select("exchange", "symbol", "last_trade_ns", "status")
+
+
+@query("feed_gap_alerts", f"""WITH {GOOD}, gaps AS (SELECT exchange, t, t - lag(t) OVER (PARTITION BY exchange ORDER BY t) AS gap FROM good) SELECT exchange, symbol, t AS window_end_ns, round(gap / 1e9, 4) AS gap_secs, substr(sha256('feed_gap' || chr(0) || symbol || chr(0) || t || chr(0) || exchange), 1, 32) AS alert_id
+ FROM gaps, (VALUES ('S0-USD'), ('S1-USD')) s(symbol) WHERE gap >= 5400000000000""")
+def _(spark, d):
+    f = trades(spark, d).select("exchange", F.col("event_time_ns").alias("recv_time_ns"))
+    g = R.feed_gaps(f, ["S0-USD", "S1-USD"], 5400 * NS)
+    return g.select("exchange", "symbol", "window_end_ns", F.round(F.col("values")["gap_secs"], 4).alias("gap_secs"), "alert_id")
+
+
+@query("srv_monotone_history", f"WITH {MESSY}, n AS (SELECT symbol, off, t, max(t) OVER (PARTITION BY symbol ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM delivered) SELECT symbol, off AS kafka_offset, t AS event_time_ns FROM n WHERE before IS NULL OR t > before")
+def _(spark, d):
+    return V.monotone(T.messy_trades(spark, d).select("symbol", "kafka_offset", "event_time_ns"), ["symbol"], "kafka_offset", "event_time_ns")
+
+
+@query("agg_latency_quantiles", f"WITH {GOOD}, g AS (SELECT exchange, t - lag(t) OVER (PARTITION BY exchange ORDER BY t) AS gap FROM good) SELECT exchange, CAST(floor(log2(gap / 1e9)) AS BIGINT) AS bucket, count(*) AS n FROM g WHERE gap > 0 GROUP BY ALL")
+def _(spark, d):
+    w = Window.partitionBy("exchange").orderBy("event_time_ns")
+    g = trades(spark, d).select("exchange", (F.col("event_time_ns") - F.lag("event_time_ns").over(w)).alias("gap")).where("gap > 0")
+    return g.groupBy("exchange", F.floor(F.log2(F.col("gap") / F.lit(1e9))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fingerprint_windows", f"""WITH {METRICS}, lines AS (SELECT window_end_ns, window_secs, symbol, window_end_ns // {DAY * NS} AS b, window_secs || ' ' || symbol || ' ' || trade_count AS line FROM metrics),
+ days AS (SELECT b, sha256(string_agg(line, chr(10) ORDER BY window_end_ns, window_secs, symbol)) AS digest FROM lines GROUP BY b) SELECT sha256(string_agg(digest, chr(10) ORDER BY b)) AS fingerprint FROM days""")
+def _(spark, d):
+    line = F.concat_ws(" ", F.col("window_secs").cast("string"), "symbol", F.col("trade_count").cast("string"))
+    return B.fingerprint(metrics(spark, d), line, F.struct("window_end_ns", "window_secs", "symbol"), F.floor(F.col("window_end_ns") / F.lit(DAY * NS)))
+
+
+@query("win_lineitem_daily", f"""WITH t AS (SELECT 'S' || (l_suppkey % 50) || '-USD' AS symbol, (epoch(l_shipdate)::BIGINT + l_orderkey * 7 % 86400 + l_linenumber) * {NS} AS t, CAST(l_extendedprice / l_quantity AS DECIMAL(18,8)) AS price, CAST(l_quantity AS DECIMAL(18,8)) AS size FROM lineitem)
+ SELECT symbol, t - t % ({10 * DAY * NS}) AS window_start_ns, count(*) AS trade_count, CAST(sum(size) AS DOUBLE) AS volume, round(CAST(max(price) AS DOUBLE), 4) AS high, round(CAST(min(price) AS DOUBLE), 4) AS low FROM t GROUP BY ALL""")
+def _(spark, d):
+    m = W.window_metrics(T.trades_from_lineitem(spark, d), (10 * DAY,), LATE, flush=True, in_order=True)
+    return m.select("symbol", "window_start_ns", "trade_count", F.col("volume").cast("double").alias("volume"), F.round(F.col("high").cast("double"), 4).alias("high"), F.round(F.col("low").cast("double"), 4).alias("low"))
