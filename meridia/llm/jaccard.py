@@ -139,7 +139,7 @@ def set_digests(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, d1, d2): sizes and digests of the sets."""
 
     def run(batches):
-        for batch, texts in text_chunks(batches, limit=2_000_000):
+        for batch, texts in text_chunks(batches, limit=1_000_000):
             all_, offsets = shingles(texts)
             found = [_digest_columns(all_[a:b]) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array([d[0] for d in found], pa.int64()), pa.array([d[1] for d in found], pa.int64())], ["id", "n_shingles", "d1", "d2"])
@@ -156,7 +156,7 @@ def sketch_frequent(docs: DataFrame) -> np.ndarray | None:
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, texts in text_chunks(batches, limit=2_000_000):
+        for _, texts in text_chunks(batches, limit=1_000_000):
             all_, _ = shingles(texts)
             total += np.bincount((all_ >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         if total.any():
@@ -185,7 +185,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # 2 MB
 
     def run(batches):
-        for batch, texts in text_chunks(batches, limit=2_000_000):
+        for batch, texts in text_chunks(batches, limit=1_000_000):
             all_, offsets = shingles(texts)
             parts, ids = [], []
             for doc, a, b in zip(batch.column(0).to_pylist(), offsets, offsets[1:]):
@@ -334,9 +334,15 @@ def linked(docs: DataFrame, candidates: DataFrame, frequent: np.ndarray | None,
         def done():
             if len(ids) > 1:
                 sets = []
-                for i in range(0, len(texts), 2000):
-                    all_, offsets = shingles(texts[i : i + 2000])
-                    sets += [reordered(all_[a:b], held.value) for a, b in zip(offsets, offsets[1:])]
+                chunk, size = [], 0
+                for k, t in enumerate(texts):
+                    chunk.append(t)
+                    size += len(t)
+                    if size > 500_000 or k == len(texts) - 1:  # the arrays behind shingles take 60 bytes a character
+                        all_, offsets = shingles(chunk)
+                        sets += [reordered(all_[a:b], held.value) for a, b in zip(offsets, offsets[1:])]
+                        chunk, size = [], 0
+                texts.clear()
                 yield from link_sets(ids, sets)
 
         def batch_of(found):
