@@ -34,9 +34,11 @@ SPECIAL = "<|endoftext|>"
 GROUP_ROWS = 20_000  # pieces of one length ranked by one task
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-# Words in the tokenizer's own sense. The first pattern says the same with the standard
-# library for texts of the characters that UNUSUAL leaves; other texts take the tokenizer.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+# Words in the tokenizer's own sense, the commonest kinds first (no other kind can start as they do).
+# The patterns say the same with the standard library for ASCII texts, and for texts of the
+# characters that UNUSUAL leaves; other texts take the tokenizer.
+ASCII_WORDS = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+WORDS = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿Ͱ-ͳͶͷͻ-ͽΆ-ϿЀ-ҁҊ-ԯ]")
 
 
@@ -56,8 +58,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Words new to the cache are encoded together first."""
-        plain = [SPECIAL not in t and not UNUSUAL.search(t) for t in texts]
-        words = [WORDS.findall(t) if p else () for t, p in zip(texts, plain)]
+        plain = [SPECIAL not in t and (t.isascii() or not UNUSUAL.search(t)) for t in texts]
+        words = [(ASCII_WORDS if t.isascii() else WORDS).findall(t) if p else () for t, p in zip(texts, plain)]
         cache = self.cache
         if len(cache) > self.cached:
             cache.clear()
