@@ -42,8 +42,10 @@ SEPARATORS = "._-*~/\\ '`^,;:#%&="
 COST = {"same": 0.0, "leet": -1.0, "skip": -0.7, "repeat": -0.5}
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = "\"'.,;:?()[]{}<>*#%&|~-_=/\\"
-# a letter, then a sign or digit, then a letter or sign again; a letter three times; spaced letters
-SUSPECT = re.compile(r"\S*[^\W\d_][\d@$!|+(€£¡._*~/\\^-]+[^\W\d_]\S*|(?<!\S)[\d@$!|+(€£¡]+[^\W\d_]\S*|\S*([^\W\d_])\1\1\S*|(?<!\S)(?:\S ){3,}\S(?!\S)|(?<!\S)\S+[^\W\d_][$@!|+\d]+(?!\S)")
+# A suspect token has signs or digits between letters, before or after them, or a letter three times.
+SUSPECT = re.compile(r"[^\W\d_][\d@$!|+(€£¡._*~/\\^-]+[^\W\d_]|^[\d@$!|+(€£¡]+[^\W\d_]|[^\W\d_][$@!|+\d]+$|([^\W\d_])\1\1")
+SPACED_HINT = re.compile(r"(?:^|\s)\S \S \S ")
+SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 SIZE = 28  # boundary, a-z, any other letter
 
 
@@ -115,8 +117,11 @@ class Decoder:
         """All words of a text, and the readings of its suspect tokens."""
         text = text.lower()
         found = set(LETTERS.findall(text))
-        for m in SUSPECT.finditer(text):
-            token = m.group().strip(EDGE)
+        tokens = [t for t in set(text.split()) if SUSPECT.search(t)]
+        if SPACED_HINT.search(text):
+            tokens += SPACED.findall(text)
+        for t in tokens:
+            token = t.strip(EDGE)
             if 3 <= len(token) <= LONGEST:
                 found.update(self.read(token))
         return found
