@@ -82,8 +82,8 @@ def text_chunks(batches, column: str = "text", limit: int = 4_000_000):
             yield batch.slice(start), texts[start:]
 
 
-def maybe_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 21) -> DataFrame:
-    """``df`` without most rows whose ``key`` isn't among ``wanted``'s: a map of 2 ** bits places goes with the
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 20) -> DataFrame:
+    """``df`` without most rows whose ``key`` isn't among ``wanted``'s: a map of 2 ** bits bits goes with the
     scan, so that the join that follows shuffles little. Where keys fill the map, it lets all rows pass."""
     place = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     at = (place + 1).cast("long")
@@ -91,8 +91,9 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 21) -> Data
     marks = np.zeros((max(1, (1 << bits) >> 15), 4096), np.uint8)
     for r in rows:
         marks[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
-    each = bytearray(np.unpackbits(marks.reshape(-1), bitorder="little").tobytes())
-    return df.where(F.substring(F.lit(each), (place + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01")))
+    byte = F.substring(F.lit(bytearray(marks.tobytes())), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), ((place % 8) + 1).cast("int"))
+    return df.where(F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(bit) != 0)
 
 
 def sql_unit(column):

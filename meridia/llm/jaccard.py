@@ -14,8 +14,9 @@ least ``NUMERATOR / DENOMINATOR``. The join is exact:
    pairs); the stars' components are closed under linking, and most sets are in none.
    Copies leave here.
 4. Each component's sets go, once, to one task, or in blocks if there are more than
-   ``BLOCK`` of them (then every pair of blocks goes to a task). There they are stored in
-   a trie in the global order; each set walks the trie, its overlap with a path shared by
+   ``BLOCK`` of them (then every pair of blocks goes to a task). There the sets are ordered
+   anew, rarest shingles first, and parted by shared prefixes once more; what is left is
+   stored in tries; each set walks the trie, its overlap with a path shared by
    all sets below, and leaves a subtree when the length still to come cannot reach the
    overlap needed. Sets already known to be connected are not compared again.
 
@@ -288,8 +289,52 @@ class Trie:
         return np.flatnonzero(alive[self.node_of] & (self.sizes >= least) & (self.sizes <= most) & (found >= overlap_needed(size, self.sizes)))
 
 
+def narrowed(codes: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Sets held together in the order of their own document frequencies, and the groups within which links can be.
+
+    ``codes``: the sets one after another, as numbers. Rarest first is a total order too, and
+    a sharp one: a shingle that no other set here has fills a place of the prefix.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    df = np.bincount(codes)
+    order = np.lexsort((codes, df[codes], owner))
+    codes = codes[order]  # owner is in order already
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = (place < (sizes + NUMERATOR * -sizes // DENOMINATOR + 1)[owner]) & (df[codes] > 1)
+    marks, at = codes[prefix], owner[prefix]
+    by = np.lexsort((at, marks))
+    marks, at = marks[by], at[by]
+    first = np.append(True, marks[1:] != marks[:-1]) if len(marks) else np.zeros(0, bool)
+    head = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))] if len(at) else at
+    parent = list(range(len(sizes)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    pairs = np.unique(head.astype(np.int64) * len(sizes) + at)
+    for x, y in zip((pairs // len(sizes)).tolist(), (pairs % len(sizes)).tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(sizes)):
+        groups.setdefault(find(i), []).append(i)
+    return np.split(codes, np.cumsum(sizes)[:-1]), [g for g in groups.values() if len(g) > 1]
+
+
 def link_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets``.
+    """Links that span the components of ``sets``, group by group of those that can link at all."""
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ordered, groups = narrowed(codes, sizes)
+    return [x for g in groups for x in link_group([ids[i] for i in g], [ordered[i] for i in g])]
+
+
+def link_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of a group.
 
     Sets whose shingles are the most common walk the trie first, as the middle of a group of
     copies connects it at once; a set is passed over once all sets of fitting size are
@@ -312,9 +357,8 @@ def link_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def linked(docs: DataFrame, candidates: DataFrame, frequent: np.ndarray | None, block: int = BLOCK) -> DataFrame:
+def linked(docs: DataFrame, candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links that span the components of the link graph. ``candidates``: (id, component)."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     placed = candidates.join(sizes, "component").withColumn("blocks", blocks)
@@ -340,7 +384,7 @@ def linked(docs: DataFrame, candidates: DataFrame, frequent: np.ndarray | None,
                     size += len(t)
                     if size > 500_000 or k == len(texts) - 1:  # the arrays behind shingles take 60 bytes a character
                         all_, offsets = shingles(chunk)
-                        sets += [reordered(all_[a:b], held.value) for a, b in zip(offsets, offsets[1:])]
+                        sets += [all_[a:b] for a, b in zip(offsets, offsets[1:])]
                         chunk, size = [], 0
                 texts.clear()
                 yield from link_sets(ids, sets)
@@ -375,7 +419,7 @@ def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     by_shingle = Window.partitionBy("shingle").orderBy("id")  # a running frame: no group is held
     stars = prefixes(keyed, frequent).select("id", F.first("id").over(by_shingle).alias("a")).where("a <> id").select("a", F.col("id").alias("b")).distinct()
     candidates = components(stars).join(reps, "id", "left_semi")
-    links = linked(keyed, materialise(candidates, "candidates"), frequent, block)
+    links = linked(keyed, materialise(candidates, "candidates"), block)
     same_id = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # an id with two texts joins two classes
     found = materialise(links.unionByName(same_id), "links")
     top = components(found).withColumnRenamed("component", "top")
