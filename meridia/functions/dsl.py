@@ -173,6 +173,7 @@ def load_rules(text: str) -> RuleSet:
     return RuleSet(rules, tuple(raw.get("expected_exchanges") or ()))
 
 
+# The rules shipped by default.
 DEFAULT_RULES = """
 expected_exchanges: [coinbase, kraken]
 rules:
