@@ -168,7 +168,8 @@ def model_tables(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        lower_counts = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels[k] = materialise(lower_counts, f"counts{k}")  # read four times below
     lower, parts = None, []
     for k in range(1, order + 1):
         c = levels[k]
