@@ -473,10 +473,10 @@ SMALL_RETURN = "least(greatest(net_return, -0.5), 0.5) / 10"
 
 
 @query("equity_curve", f"""WITH RECURSIVE {METRICS}, {BARS}, {TAKEN}, run AS (SELECT symbol, exit_ns, exp(sum(ln(1 + {SMALL_RETURN})) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS equity FROM taken),
-  peaks AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS peak FROM run) SELECT symbol, exit_ns, round(equity, 3) AS equity, round(1 - equity / peak, 3) AS drawdown FROM peaks""")
+  peaks AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS peak FROM run) SELECT symbol, exit_ns, round(equity + 1e-6, 3) AS equity, round(1 - equity / peak + 1e-6, 3) AS drawdown FROM peaks""")
 def _(spark, d):
     t = taken(spark, d).withColumn("net_return", F.least(F.greatest("net_return", F.lit(-0.5)), F.lit(0.5)) / 10)
-    return B.equity_curve(t.withColumn("run", F.col("symbol")), ["run"]).select("symbol", "exit_ns", F.round("equity", 3).alias("equity"), F.round("drawdown", 3).alias("drawdown"))
+    return B.equity_curve(t.withColumn("run", F.col("symbol")), ["run"]).select("symbol", "exit_ns", F.round(F.col("equity") + 1e-6, 3).alias("equity"), F.round(F.col("drawdown") + 1e-6, 3).alias("drawdown"))
 
 
 @query("equity_downsample", f"""WITH {METRICS}, {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY end_ns) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS len FROM bars),
@@ -547,12 +547,12 @@ def _(spark, d):
     return V.last_n(metrics(spark, d).where(F.col("window_secs") == SIX).select("symbol", "window_end_ns"), ["symbol"], "window_end_ns", 20)
 
 
-@query("srv_symbols_left_join", f"WITH {GOOD}, feeds AS (SELECT symbol, exchange, max(t) AS t FROM good GROUP BY ALL), lists AS (SELECT symbol, string_agg(exchange, ',' ORDER BY exchange) AS feeds, max(t) AS newest FROM feeds GROUP BY symbol) SELECT s.symbol, coalesce(feeds, '') AS feeds, newest FROM (VALUES ('S0-USD'), ('S1-USD'), ('S2-USD'), ('X-USD')) s(symbol) LEFT JOIN lists USING (symbol)")
+@query("srv_symbols_left_join", f"WITH {GOOD}, feeds AS (SELECT symbol, exchange, max(t) AS t FROM good GROUP BY ALL), lists AS (SELECT symbol, string_agg(exchange, ',' ORDER BY exchange) AS feeds, max(t) AS newest FROM feeds GROUP BY symbol) SELECT s.symbol, coalesce(feeds, '') AS feeds, coalesce(newest, 0) AS newest FROM (VALUES ('S0-USD'), ('S1-USD'), ('S2-USD'), ('X-USD')) s(symbol) LEFT JOIN lists USING (symbol)")
 def _(spark, d):
     names = spark.createDataFrame([("S0-USD",), ("S1-USD",), ("S2-USD",), ("X-USD",)], "symbol string")
     h = R.feed_health(trades(spark, d).withColumn("recv_time_ns", F.col("event_time_ns")), F.lit(0).cast("long"))
     out = V.symbols_with_health(names, h)
-    return out.select("symbol", F.array_join(F.transform("feeds", lambda x: x["exchange"]), ",").alias("feeds"), F.array_max(F.transform("feeds", lambda x: x["last_trade_ns"])).alias("newest"))
+    return out.select("symbol", F.array_join(F.transform("feeds", lambda x: x["exchange"]), ",").alias("feeds"), F.coalesce(F.array_max(F.transform("feeds", lambda x: x["last_trade_ns"])), F.lit(0)).alias("newest"))
 
 
 @query("srv_feed_health_status", f"WITH {GOOD}, final AS (SELECT max(t) AS now FROM good), feeds AS (SELECT exchange, symbol, max(t) AS last_trade_ns FROM good GROUP BY ALL) SELECT exchange, symbol, last_trade_ns, CASE WHEN now - last_trade_ns > 7200000000000 THEN 'stale' ELSE 'connected' END AS status FROM feeds, final")
