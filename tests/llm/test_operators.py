@@ -154,6 +154,16 @@ def test_recurring_lines(spark, odd, nothing):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == texts and "shard" in kept.columns
 
 
+def test_lines_that_two_documents_share(spark):
+    passage = "The committee met in the old town hall and agreed that the bridge over the river should be mended before winter came"
+    near = passage.replace("old", "new")
+    exact, dated = "All of these words are shared", "Sold {} pairs of shoes here"
+    texts = [f"{OWN[0]}\n{passage}", f"{OWN[1]}\n{exact}\n{dated.format(3)}", f"{OWN[2]}\n{near}", f"{OWN[3]}\n{exact}\n{dated.format(4)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in linededup.stage(docs).collect()}
+    assert out == {0: texts[0], 1: texts[1], 2: OWN[2], 3: f"{OWN[3]}\n{dated.format(4)}"}
+
+
 def test_mixing_meets_margins(spark, documents, odd, nothing):
     mixed = mixing.mix(documents, temper=0.5, rounds=12).select("source", "lang", "tokens", "weight", "probability", "kept").toPandas()
     w = mixed.tokens * mixed.weight
