@@ -164,6 +164,33 @@ def test_lines_that_two_documents_share(spark):
     assert out == {0: texts[0], 1: texts[1], 2: OWN[2], 3: f"{OWN[3]}\n{dated.format(4)}"}
 
 
+def test_leaf_with_several_families(spark, monkeypatch):
+    names = "Ann Bob Cem Dee Eva Fay Gus Hal".split()
+    texts = [f"{OWN[i]}\nthis page was sent to you by {x}" + (f"\nthis page was made for all who {x}" if i < 6 else "") for i, x in enumerate(names)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for top in (32, 1):  # 1: a round for each family
+        monkeypatch.setattr(linededup, "TOP", top)
+        assert {r.doc_id: r.text for r in linededup.stage(docs).collect()} == {i: t if i == 0 else OWN[i] for i, t in enumerate(texts)}
+
+
+def test_groups_equal_greedy_assignment(spark):
+    rng = np.random.default_rng(3)
+    lines = {(int(rng.integers(3)), int(n), " ".join(rng.choice(["a", "b", "c"], n, p=[0.8, 0.1, 0.1]))) for n in rng.choice([5, 10], 400)}
+    rows = [(leaf * 100 + n, i, x, int(rng.integers(1, 9))) for i, (leaf, n, x) in enumerate(sorted(lines))]
+    want, heads = {}, defaultdict(list)
+    for leaf, i, x, _ in sorted(rows, key=lambda r: (r[3], r[2]), reverse=True):
+        w = x.split()
+        near = [h for h, v in heads[leaf] if sum(a == b for a, b in zip(v, w)) >= 0.8 * len(w)]
+        want[i] = near[0] if near else i
+        heads[leaf] += [] if near else [(i, w)]
+    assert max(map(len, heads.values())) > 3
+    for top in (2, 32):
+        linededup.TOP, kept = top, linededup.TOP
+        got = {r.line_hash: r.template for r in linededup.all_groups(spark.createDataFrame(rows, "leaf long, line_hash long, masked string, uses long")).collect()}
+        linededup.TOP = kept
+        assert got == {i: h for i, h in want.items() if i != h}
+
+
 def test_mixing_meets_margins(spark, documents, odd, nothing):
     mixed = mixing.mix(documents, temper=0.5, rounds=12).select("source", "lang", "tokens", "weight", "probability", "kept").toPandas()
     w = mixed.tokens * mixed.weight
