@@ -2,17 +2,21 @@
 
 Documents are counted into cells (source, language, topic) by tokens. Raking then scales
 the cells' weights so that the weighted tokens match target shares of the sources, of the
-languages and of the topics in turn, until the margins hold. A document's probability of
+languages and of the topics in turn: ``ROUNDS`` times in the query, whose SQL says so, and in
+the pipeline's stage until the largest error of a margin's shares is at most ``TOLERANCE``
+(or, for targets that no weights meet together, until three rounds lower it by less than a
+thousandth). A document's probability of
 being kept is its cell's weight over the largest weight, so that all of the cell with the
 largest weight stays; documents are sampled by a hash of their id, so a run repeats.
 
 Targets by default temper the corpus' own margins: a share in proportion to the tokens to
-the power ``TEMPER`` (1 leaves the mixture as it is, 0 makes all parts equal). Explicit
+the power ``TEMPER``, in the stage ``STAGE_TEMPER`` (1 leaves the mixture as it is, 0 makes
+all parts equal). Explicit
 targets may be given for any margin; parts without a target keep none of their weight.
 
 Cells are aggregated with partial sums before any shuffle, so a source with a third of all
 rows costs a row a task and cell. Raking runs over the cells only, and as DataFrame
-windows; nothing is gathered by the driver.
+windows; the driver gets one number, the largest error, each three rounds.
 
 Edge cases: null source, language or text count as '', '' and no tokens; documents without
 tokens follow their cell; a cell without tokens has weight 1; repeated rows with one
@@ -22,6 +26,9 @@ that clash with those added are replaced.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meridia.llm.common import materialise, small, sql_unit
@@ -29,6 +36,8 @@ from meridia.llm.common import materialise, small, sql_unit
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 6
 TEMPER = 0.97
+STAGE_TEMPER = 0.9
+TOLERANCE = 1e-6
 
 # Topics by the plainest sign of a text's form, first match wins.
 TOPICS = (("tabular", "|", 20), ("promotional", "!", 20), ("symbolic", "&", 40), ("numeric", "0", 400))
@@ -63,26 +72,42 @@ def targets_of(cells: DataFrame, margin: str, temper: float = TEMPER) -> DataFra
     return own.join(F.broadcast(everything)).select(margin, (F.col("_t") / F.when(F.col("_all") > 0, F.col("_all"))).alias(f"target_{margin}"))  # one row is broadcast
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """``cells`` (a stored table) with ``weight``: a document's tokens count that many times."""
+def margin_error(raked: DataFrame) -> float:
+    """The largest difference between a part's weighted share and its target, over all margins."""
+    share = F.sum(F.col("tokens") * F.col("weight")) / F.when(F.max("_total") > 0, F.max("_total"))
+    errors = [raked.groupBy(m).agg(F.abs(share - F.max(f"target_{m}")).alias("e")).agg(F.max("e").alias("e")) for m in MARGINS]
+    return reduce(DataFrame.union, errors).agg(F.max("e")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, tolerance: float | None = None) -> DataFrame:
+    """``cells`` (a stored table) with ``weight``: a document's tokens count that many times.
+
+    With ``tolerance``, as many rounds as the margins need to hold; else ``rounds``.
+    """
     total = cells.agg(F.sum("tokens").cast("double").alias("_total"))
     raked = cells.join(F.broadcast(total))  # one row
     for m in MARGINS:
         raked = raked.join((targets or {}).get(m) or targets_of(cells, m, temper), m, "left").fillna({f"target_{m}": 0.0})
     raked = materialise(raked.withColumn("weight", F.lit(1.0)), "cells")
-    for k in range(rounds):
+    k, error = 0, math.inf
+    while tolerance is not None or k < rounds:
         for m in MARGINS:
             have = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(m))
             raked = raked.withColumn("_have", have).withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.col(f"target_{m}") * F.col("_total") / F.col("_have")).otherwise(F.col("weight"))).drop("_have")
-        if k % 3 == 2:
+        k += 1
+        if k % 3 == 0:
             raked = materialise(raked, "raked")
+            if tolerance is not None:
+                before, error = error, margin_error(raked)
+                if error <= tolerance or error > 0.999 * before:
+                    break
     return raked
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, tolerance: float | None = None) -> DataFrame:
     """``docs`` with topic, tokens, weight, probability and kept."""
     cells = materialise(cells_of(docs), "cells")
-    raked = rake(cells, targets, rounds, temper)
+    raked = rake(cells, targets, rounds, temper, tolerance)
     top = raked.where("tokens > 0").agg(F.max("weight").alias("_top"))
     chances = raked.join(F.broadcast(top)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("weight").alias("weight"), F.round(F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.col("weight") / F.col("_top")).otherwise(F.lit(1.0))), 9).alias("probability"))
     own = docs.drop("topic", "tokens", "weight", "probability", "kept", "_source", "_lang", "_topic")
@@ -93,7 +118,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: in
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    return mix(docs).where("kept").select(*docs.columns)
+    return mix(docs, temper=STAGE_TEMPER, tolerance=TOLERANCE).where("kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meridia.llm import html_text, jaccard, linededup, mixing, pii, toxicity
 
@@ -201,6 +202,27 @@ def test_mixing_meets_margins(spark, documents, odd, nothing):
     assert mixing.query(spark, odd).count() == odd.count() and mixing.query(spark, nothing).count() == 0
 
 
+def test_stage_meets_its_own_targets(spark, documents):
+    hot = documents.where("doc_id % 3 = 0").withColumn("source", F.lit("hot"))
+    docs = documents.where("doc_id % 3 <> 0").unionByName(hot)
+    mixed = mixing.mix(docs, temper=mixing.STAGE_TEMPER, tolerance=mixing.TOLERANCE).toPandas().fillna({"source": "", "lang": ""})
+    w = mixed.tokens * mixed.weight
+    for m in mixing.MARGINS:
+        own = mixed.groupby(m).tokens.sum()
+        share = own**mixing.STAGE_TEMPER
+        assert abs(w.groupby(mixed[m]).sum() / w.sum() - share / share.sum()).max() < 2 * mixing.TOLERANCE
+    before = mixed.tokens[mixed.source == "hot"].sum() / mixed.tokens.sum()
+    assert w[mixed.source == "hot"].sum() / w.sum() < before - 0.02
+    assert sorted(r.doc_id for r in mixing.stage(docs).select("doc_id").collect()) == sorted(mixed.doc_id[mixed.kept])
+
+
+def test_raking_ends_where_targets_clash(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10, 1), ("b", "y", "t", 10, 1)], "source string, lang string, topic string, tokens long, docs long")
+    share = lambda m, p, q, n: spark.createDataFrame([(p, n), (q, 1 - n)], f"{m} string, target_{m} double")
+    raked = mixing.rake(cells, {"source": share("source", "a", "b", 0.9), "lang": share("lang", "x", "y", 0.5)}, tolerance=1e-6)
+    assert raked.count() == 2 and mixing.margin_error(raked) > 0.1
+
+
 # -- toxicity, pages ---------------------------------------------------------------------------
 
 
