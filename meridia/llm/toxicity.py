@@ -9,8 +9,9 @@ restored, that labelled rows associate with toxic texts.
 
 Fitting uses a bounded sample of labelled rows: at most about ``TRAIN_ROWS`` documents,
 chosen by a hash of doc_id among those with crc32(doc_id) mod 5 <> 0; repeated texts count
-once. Words and trigrams are counted by Spark; the driver gets ``FEATURES`` words, one
-fixed-size trigram table and the sampled rows' feature numbers. Scoring reads every whole
+once. The trigrams come from all documents, labelled or not: each task counts a table of
+fixed size, which Spark sums. Words are counted by Spark over the sample; the driver gets
+``FEATURES`` words, the trigram table and the sampled rows' feature numbers. Scoring reads every whole
 text and holds nothing that grows with the corpus.
 
 Edge cases: null and empty texts get the intercept's score; a null id is held out (its
@@ -21,13 +22,15 @@ give repeated results; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meridia.llm.common import materialise, table, text_chunks
+from meridia.llm.common import code_points, materialise, table, text_chunks
 
 TRAIN_ROWS = 20_000
 FEATURES = 400
@@ -54,16 +57,16 @@ def symbol(c: str) -> int:
 
 
 def trigram_counts(words) -> np.ndarray:
-    out = np.zeros(SIZE**3, np.int64)
-    codes: list[int] = []
-    for w in words:
-        a = b = 0
-        for c in (*map(symbol, w), 0):
-            codes.append((a * SIZE + b) * SIZE + c)
-            a, b = b, c
-    if codes:
-        out += np.bincount(np.array(codes), minlength=SIZE**3)
-    return out
+    """Counts of (two symbols before, symbol) over words, with two boundaries before each and one after."""
+    known = Counter(words)
+    if not known:
+        return np.zeros(SIZE**3, np.int64)
+    points, offsets = code_points(["\n\n", *(w + "\n\n" for w in known)])
+    symbols = np.where((points >= 97) & (points <= 122), points.astype(np.int64) - 96, np.where(points == 10, 0, 27))
+    times = np.repeat(np.fromiter(known.values(), float, len(known)), np.diff(offsets)[1:])
+    codes = (symbols[:-2] * SIZE + symbols[1:-1]) * SIZE + symbols[2:]
+    times[(symbols[1:-1] == 0) & (symbols[2:] == 0)] = 0  # the second boundary after a word
+    return np.bincount(codes, times, SIZE**3).astype(np.int64)
 
 
 class CharacterModel:
@@ -140,17 +143,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS)
     return materialise(texts.where(F.length("text") > 0).dropDuplicates(["text"]), "labelled")
 
 
-def character_model(sample: DataFrame) -> CharacterModel:
+def character_model(docs: DataFrame) -> CharacterModel:
+    """Trigrams of all texts, each text's different words once."""
+
     def count(batches):
         total = np.zeros(SIZE**3, np.int64)
         for _, texts in text_chunks(batches):
-            for t in texts:
-                total += trigram_counts(set(LETTERS.findall(t.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()])], ["counts"])
+            total += trigram_counts(chain.from_iterable(set(LETTERS.findall(t.lower())) for t in texts))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["code", "n"])
 
     total = np.zeros(SIZE**3, np.int64)
-    for r in sample.select("text").mapInArrow(count, "counts binary").toLocalIterator():  # one fixed-size table a task of the bounded sample
-        total += np.frombuffer(r["counts"], "<i8")
+    for r in docs.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # SIZE**3 rows at most
+        total[r["code"]] = r["n"]
     return CharacterModel(total)
 
 
@@ -166,7 +171,7 @@ def _word_rows(sample: DataFrame, model: CharacterModel) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[CharacterModel, dict[str, float], float]:
     """The character model, word weights and the intercept."""
     sample = labelled_sample(docs, labels, bound)
-    model = character_model(sample)
+    model = character_model(docs)
     rows = materialise(_word_rows(sample, model), "words")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = int(totals["n"]), int(totals["t"])

@@ -233,6 +233,21 @@ def test_decoder_restores_words():
         assert word in d.words(text), text
 
 
+def test_character_model_counts_all_documents(spark):
+    texts = ["You moron are a fool", "a plain text of words", None, "", "żółć świeża i gęś", "xylem xylem qwerty über"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 6 == 0) for i in range(18) if i % 6 < 2], "doc_id long, toxic boolean").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    want = Counter()
+    for x in texts * 3:
+        for w in set(toxicity.LETTERS.findall((x or "").lower())):
+            symbols = [0, 0, *map(toxicity.symbol, w), 0]
+            want.update(zip(symbols, symbols[1:], symbols[2:]))
+    counts = np.zeros((toxicity.SIZE,) * 3, np.int64)
+    for at, n in want.items():
+        counts[at] = n
+    assert toxicity.fit(docs, labels)[0].logp == toxicity.CharacterModel(counts.ravel()).logp
+
+
 def test_toxicity_on_held_out_rows(spark, odd, nothing):
     from meridia.llm.common import table
 
