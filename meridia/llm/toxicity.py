@@ -1,10 +1,11 @@
 """Toxicity of documents behind a noisy-channel deobfuscator.
 
 Writers disguise words: digits and signs for letters (leetspeak), signs or spaces between
-letters, repeated letters. A suspect token spans a lattice of the letters each character
-may stand for, with a channel cost for each kind of change; the likeliest readings under a
-character trigram model are found by Viterbi search (a beam over the last two letters) and
-join the text's words. The score is a logistic regression over the words, plain and
+letters, repeated letters. A suspect token or spaced-out run, however long, spans a lattice
+of the letters each character may stand for, with a channel cost for each kind of change; a
+sign or space may also part words. The ``READINGS`` likeliest readings under a character
+trigram model are found by exact Viterbi search (states: position and last two letters, each
+with its best different readings as back-pointers), and their words join the text's. The score is a logistic regression over the words, plain and
 restored, that labelled rows associate with toxic texts.
 
 Fitting uses a bounded sample of labelled rows: at most about ``TRAIN_ROWS`` documents,
@@ -21,6 +22,7 @@ give repeated results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import lru_cache
@@ -36,17 +38,17 @@ TRAIN_ROWS = 20_000
 FEATURES = 400
 LEAST_TOXIC = 3
 READINGS = 4
-BEAM = 24
-LONGEST = 40  # characters of a suspect token; longer ones are keys or addresses, not words
+CACHED = 40  # characters; readings of longer tokens are not kept
 
 # The letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = "._-*~/\\ '`^,;:#%&="
-COST = {"same": 0.0, "leet": -1.0, "skip": -0.7, "repeat": -0.5}
+COST = {"same": 0.0, "leet": -1.0, "skip": -0.7, "repeat": -0.5, "break": -0.7}
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = "\"'.,;:?()[]{}<>*#%&|~-_=/\\"
 # A suspect token has signs or digits between letters, before or after them, or a letter three times.
-SUSPECT = re.compile(r"[^\W\d_][\d@$!|+(€£¡._*~/\\^-]+[^\W\d_]|^[\d@$!|+(€£¡]+[^\W\d_]|[^\W\d_][$@!|+\d]+$|([^\W\d_])\1\1")
+SIGNS = re.escape("".join(c for c in dict.fromkeys([*LEET, *SEPARATORS]) if c != " " and not c.isdigit()))
+SUSPECT = re.compile(rf"[^\W\d_][\d{SIGNS}]+[^\W\d_]|^[\d@$!|+(€£¡]+[^\W\d_]|[^\W\d_][$@!|+\d]+$|([^\W\d_])\1\1")
 SPACED_HINT = re.compile(r"(?:^|\s)\S \S \S ")
 SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 SIZE = 28  # boundary, a-z, any other letter
@@ -82,8 +84,11 @@ class CharacterModel:
 
 class Decoder:
     def __init__(self, model: CharacterModel):
-        self.logp = model.logp
-        self.read = lru_cache(200_000)(self._read)
+        self.logp = [row for table in model.logp for row in table]  # by the last two symbols
+        self._cached = lru_cache(200_000)(self._read)
+
+    def read(self, token: str) -> tuple[str, ...]:
+        return self._cached(token) if len(token) <= CACHED else self._read(token)
 
     def _options(self, token: str, i: int):
         """(letters, cost) that character i may stand for; '' means nothing."""
@@ -100,21 +105,46 @@ class Decoder:
             yield "", 2 * COST["skip"]
 
     def _read(self, token: str) -> tuple[str, ...]:
-        logp, beam = self.logp, {("", 0, 0): 0.0}
-        for i in range(len(token)):
-            following: dict[tuple[str, int, int], float] = {}
-            for (out, a, b), p in beam.items():
-                for x, cost in self._options(token, i):
-                    if x:
-                        s = symbol(x)
-                        key, q = (out + x, b, s), p + cost + logp[a][b][s]
-                    else:
-                        key, q = (out, a, b), p + cost
-                    if q > following.get(key, -1e9):
-                        following[key] = q
-            beam = dict(sorted(following.items(), key=lambda t: -t[1])[:BEAM])
-        ends = sorted(((p + logp[a][b][0], out) for (out, a, b), p in beam.items() if out), reverse=True)
-        return tuple(dict.fromkeys(out for _, out in ends))[:READINGS]
+        """The likeliest readings; words of one reading are parted by spaces."""
+        logp = self.logp
+        nodes: list[tuple[int, str]] = [(0, "")]  # (node before, letter); equal readings are one node
+        known: dict[tuple[int, str], int] = {}
+        last = max((i for i, c in enumerate(token) if c not in SEPARATORS), default=0)
+        layer = {0: {0: 0.0}}  # state -> node -> score
+        for i, c in enumerate(token):
+            options = [(x, symbol(x) if x else 0, cost) for x, cost in self._options(token, i)]
+            if c in SEPARATORS and i < last:
+                options.append((" ", 0, COST["break"]))
+            following: dict[int, dict[int, float]] = {}
+            for state, readings in layer.items():
+                row, b = logp[state], state % SIZE
+                for x, s, cost in options:
+                    if x == " " and not b:
+                        continue  # no empty words
+                    to = state if not x else 0 if x == " " else b * SIZE + s
+                    into = following.setdefault(to, {})
+                    step = cost + row[s] if x else cost
+                    for node, p in readings.items():
+                        if x:
+                            at = known.get((node, x))
+                            if at is None:
+                                at = known[node, x] = len(nodes)
+                                nodes.append((node, x))
+                            node = at
+                        q = p + step
+                        if q > into.get(node, -math.inf):
+                            into[node] = q
+            layer = {k: r if len(r) <= READINGS else dict(sorted(r.items(), key=lambda t: -t[1])[:READINGS]) for k, r in following.items()}
+        ends = sorted(((p + (logp[state][0] if state % SIZE else 0.0), node) for state, r in layer.items() for node, p in r.items() if node), reverse=True)
+        return tuple(dict.fromkeys(self._text(nodes, node) for _, node in ends[: 2 * READINGS]))[:READINGS]
+
+    @staticmethod
+    def _text(nodes: list[tuple[int, str]], node: int) -> str:
+        out = []
+        while node:
+            node, x = nodes[node]
+            out.append(x)
+        return "".join(reversed(out)).strip()
 
     def words(self, text: str) -> set[str]:
         """All words of a text, and the readings of its suspect tokens."""
@@ -125,8 +155,8 @@ class Decoder:
             tokens += SPACED.findall(text)
         for t in tokens:
             token = t.strip(EDGE)
-            if 3 <= len(token) <= LONGEST:
-                found.update(self.read(token))
+            if len(token) >= 3:
+                found.update(w for reading in self.read(token) for w in reading.split())
         return found
 
 

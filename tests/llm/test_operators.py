@@ -233,6 +233,43 @@ def test_decoder_restores_words():
         assert word in d.words(text), text
 
 
+def test_decoder_reads_long_and_spaced_runs():
+    model = toxicity.CharacterModel(toxicity.trigram_counts(["you", "are", "a", "stupid", "moron", "idiot", "this", "that", "the"] * 20))
+    d = toxicity.Decoder(model)
+    run = " ".join("youarestupidyouareamoron")
+    assert len(run) > 40 and {"you", "are", "stupid", "moron"} <= d.words(f"so {run}")
+    assert "stupid" in d.words("this-that-this-that-this-that-this-that-s.t.u.p.i.d")
+    for sign in toxicity.SEPARATORS.replace(" ", ""):
+        assert "idiot" in d.words(f"an {sign.join('idiot')} here"), sign
+
+
+def test_readings_are_the_likeliest():
+    rng = np.random.default_rng(5)
+    model = toxicity.CharacterModel(rng.integers(0, 40, toxicity.SIZE**3))
+    d, logp = toxicity.Decoder(model), model.logp
+    for _ in range(150):
+        token = "".join(rng.choice(list("aabc1058.* "), int(rng.integers(2, 7)))).strip()
+        last = max((i for i, c in enumerate(token) if c not in toxicity.SEPARATORS), default=0)
+        paths = {((), 0, 0): 0.0}
+        for i, c in enumerate(token):
+            options = [*d._options(token, i), *([(" ", toxicity.COST["break"])] if c in toxicity.SEPARATORS and i < last else [])]
+            step = {}
+            for (out, a, b), p in paths.items():
+                for x, cost in options:
+                    if x == " " and not b:
+                        continue
+                    s = toxicity.symbol(x) if x.strip() else 0
+                    key = (out, a, b) if not x else ((*out, x), 0, 0) if x == " " else ((*out, x), b, s)
+                    step[key] = max(step.get(key, -1e9), p + cost + (logp[a][b][s] if x else 0))
+            paths = step
+        ends = defaultdict(lambda: -1e9)
+        for (out, a, b), p in paths.items():
+            if out:
+                text = "".join(out).strip()
+                ends[text] = max(ends[text], p + (logp[a][b][0] if b else 0))
+        assert d.read(token) == tuple(sorted(ends, key=lambda x: -ends[x])[: toxicity.READINGS]), token
+
+
 def test_character_model_counts_all_documents(spark):
     texts = ["You moron are a fool", "a plain text of words", None, "", "żółć świeża i gęś", "xylem xylem qwerty über"]
     docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
