@@ -2,7 +2,7 @@
 
 A page becomes its sequence of leaf blocks (runs of text between block-level tags). Each
 block has a tag-path vector (hashed tags, classes, ids and roles of the open elements), a
-hashed bag of its words and a few numbers (length, share of link text, place). A
+hashed bag of all its words and a few numbers (length, share of link text, place). A
 bidirectional LSTM in numpy reads the whole sequence, so that every block is labelled in
 the context of the document, and the blocks labelled content make the text.
 
@@ -120,7 +120,7 @@ def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], int]]:
                 pop_to(tuple(SIBLINGS[tag].split()), ("ul", "ol", "dl", "table", "select"))
             entries = [tag]
             for a in ATTRIBUTE.finditer(m.group(4) or ""):
-                entries += [f".{w}" for w in WORDS.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())][:12]
+                entries += [f".{w}" for w in WORDS.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())]
             stack.append((tag, tuple(entries)))
     put(html[at:])
     flush()
@@ -142,9 +142,8 @@ def vectors(blocks, caches: tuple[dict, dict]) -> np.ndarray:
     for i, (text, path, linked) in enumerate(blocks):
         for e in path:
             x[i, _place(e, PATH_DIMS, caches[0])] += 1.0
-        words = text.split(None, 40)[:40]
-        for w in words:
-            x[i, PATH_DIMS + _place(w, WORD_DIMS, caches[1])] += 1.0 / len(words)
+        places = [_place(w, WORD_DIMS, caches[1]) for w in text.split()]
+        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(places, minlength=WORD_DIMS) / len(places)
         x[i, -8:] = (np.log1p(len(text)) / 5, linked / (len(text) + 1), i / n, (n - i) / n, len(path) / 8, text[-1] in ".!?…", text.count(" ") / (len(text) + 1) * 4, 1.0)
     return x
 

@@ -320,6 +320,18 @@ def test_blocks_and_training(spark):
         assert got[p.page_id].text == "\n".join(filter(None, want)) and got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
+def test_vectors_see_all_words_and_classes():
+    many = " ".join(f"u{i}" for i in range(12))
+    (block,) = html_text.blocks_of(f"<div class='{many} cookie'>some text</div>")
+    assert ".cookie" in block[1] and html_text.convention(block[1], block[0], block[2]) == 0
+    words = [f"w{i}" for i in range(300)]
+    (row,) = html_text.vectors([(" ".join(words), (), 0)], ({}, {}))
+    want = np.zeros(html_text.WORD_DIMS)
+    for w in words:
+        want[html_text._place(w, html_text.WORD_DIMS, {})] += 1 / 300
+    assert row[html_text.PATH_DIMS : html_text.PATH_DIMS + html_text.WORD_DIMS] == pytest.approx(want, abs=1e-6)
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(2)
     net = html_text.Labeller.new(dims=5, hidden=3)
