@@ -3,7 +3,9 @@
 Seeds are the matches of fixed patterns: e-mail addresses, IPv4 addresses, card numbers
 (Luhn) and telephone numbers, as base spans; and long hexadecimal keys, which only seed.
 Extraction then looks at *candidates*: white-space delimited tokens that hold a digit or
-``@``, stripped of brackets and punctuation. A candidate's *patterns* are the two words
+``@``, stripped of brackets and punctuation; adjacent groups of digits and signs, or of
+capitals and digits, that only spaces part (and single signs or short words in capitals
+between two of them) are one candidate, as in ``(555) 123 4567``. A candidate's *patterns* are the two words
 before it, the word before and after it, and the last word before it with the candidate's
 shape (letters, digits and signs by class and length band). Patterns and candidate
 instances form a bipartite graph, whose edges Spark weighs by documents. Scoring repeats:
@@ -31,7 +33,7 @@ from meridia.llm.common import materialise, small
 ROUNDS = 3
 RELIABLE = 0.8
 MIN_INSTANCES = 3
-PRIOR_FALSE = 1.0  # unlikely instances that every pattern is held to have besides its own
+PRIOR_FALSE = MIN_INSTANCES * (1 / RELIABLE - 1)  # unlikely instances that every pattern is held to have: MIN_INSTANCES certain ones just do
 
 # Fixed patterns. The base patterns are anchored where a run starts (or the last match
 # ended) and possessive, which gives the same leftmost matches in linear time.
@@ -43,6 +45,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_DOT = r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])"  # no part of a domain name
 LOOSE_GAP = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"  # not between two digits
 TOKEN = r"[^\x20\x09-\x0D]++"
+# Runs of groups that are one identifier; possessive, and each group is a whole token but for closing signs.
+GROUP_END = r"(?=[^\x20\x09-\x0D\p{L}\p{N}@]*+(?:[\x20\x09-\x0D]|\z))"
+GROUP = rf"(?:[(.-]*+[0-9](?:[0-9()+./-]*[0-9)])?|(?=[A-Z]*[0-9])[A-Z0-9]{{2,8}}){GROUP_END}"
+RUN = rf"(?<![^\x20\x09-\x0D])\+?+{GROUP}(?:\x20++(?:(?:[A-Z]{{1,4}}|[-/])\x20++)?{GROUP})++[^\x20\x09-\x0D\p{{L}}\p{{N}}@]*+"
+CANDIDATE = rf"{RUN}|{TOKEN}"
 KEY = r"^[0-9A-Fa-f]{32,}$"
 EDGE = r"[\[\](){}<>\"'`,;:!?.*#$%&|=]"
 
@@ -103,8 +110,8 @@ def _shape(x):
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(row, start, end, instance, pattern hashes) of candidate tokens; ``rows``: (row, text)."""
-    tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    gaps = F.split("text", TOKEN, -1)
+    tokens = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    gaps = F.split("text", CANDIDATE, -1)
     cut = rows.where(F.col("text").rlike("[0-9@]")).select("row", tokens.alias("t"), gaps.alias("g"))
     # token lengths add up to positions; only tokens with a digit or @ are kept
     with_at = F.aggregate(
@@ -119,10 +126,14 @@ def candidates(rows: DataFrame) -> DataFrame:
     hits = cut.withColumn("hit", F.explode(with_at))
     word = lambda k: F.lower(F.coalesce(F.get("t", F.col("hit.i") + k), F.lit("^")))
     token = F.get("t", F.col("hit.i"))
-    lead = F.length(F.regexp_replace(token, rf"(?s)^({EDGE}*).*$", "$1"))
-    core = F.regexp_replace(F.regexp_replace(token, rf"^{EDGE}+", ""), rf"{EDGE}+$", "")
-    out = hits.select("row", (F.col("hit.start") + lead).alias("start"), core.alias("instance"), word(-1).alias("w1"), word(-2).alias("w2"), word(1).alias("next"))
-    out = out.where(F.length("instance") >= 4)
+    run = F.contains(token, F.lit(" "))
+    # a run keeps a group in brackets at either end
+    lead = F.when(run & token.rlike(r"^\([^() ]*\)"), 0).otherwise(F.length(F.regexp_replace(token, rf"(?s)^({EDGE}*).*$", "$1")))
+    core = F.expr("substring(token, lead + 1)")
+    core = F.when(run & core.rlike(r"\([^() ]*\)$"), core).otherwise(F.regexp_replace(core, rf"{EDGE}+$", ""))
+    hits = hits.withColumn("token", token).withColumn("lead", lead)
+    out = hits.select("row", (F.col("hit.start") + F.col("lead")).alias("start"), core.alias("instance"), word(-1).alias("w1"), word(-2).alias("w2"), word(1).alias("next"))
+    out = out.where((F.length("instance") >= 4) | F.contains("instance", F.lit(" ")))
     shape = _shape(F.col("instance"))
     patterns = F.array(F.xxhash64(F.lit("two"), "w2", "w1"), F.xxhash64(F.lit("around"), "w1", "next"), F.xxhash64(F.lit("shape"), "w1", shape))
     return out.select("row", "start", (F.col("start") + F.length("instance")).alias("end"), F.xxhash64("instance").alias("instance"), F.col("instance").rlike(KEY).alias("key"), patterns.alias("patterns"))

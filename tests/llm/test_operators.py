@@ -64,6 +64,25 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[100] == "then password = <ctx> was used" and masked[101] == unseen[1][1]
 
 
+def test_identifiers_of_several_tokens(spark):
+    seeds = [(i, f"my phone number is +1 (017) 555-77{i:02} thank you") for i in range(20)]
+    texts = ["my phone number is (555) 123 4567, thank you", "my phone number is GB82 WEST 1234 5698 thank you", "my phone number is 555 - 123 (44) thank you", "items: 300, 400 and 500\n600 more"]
+    docs = spark.createDataFrame(seeds + [(100 + i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[100] == "my phone number is <ctx>, thank you"
+    assert masked[101] == masked[102] == "my phone number is <ctx> thank you"
+    assert masked[103] == texts[3]
+    found = pii.candidates(docs.where("doc_id = 103").selectExpr("doc_id AS row", "text")).count()
+    assert found == 0  # no run goes over a comma, word or line
+    assert pii.candidates(spark.createDataFrame([(1, "1 " * 20_000)], "row long, text string")).select("start", "end").collect() == [(0, 39_999)]
+
+
+def test_three_certain_instances_are_reliable(spark):
+    rows = [(i, i, [7], True) for i in range(pii.MIN_INSTANCES)] + [(i, i, [8], True) for i in range(pii.MIN_INSTANCES - 1)]
+    found = spark.createDataFrame(rows, "row long, instance long, patterns array<long>, seed boolean")
+    assert [r.pattern for r in pii.reliable_patterns(found).collect()] == [7]
+
+
 # -- near duplicates -----------------------------------------------------------------------
 
 
