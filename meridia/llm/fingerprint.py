@@ -8,7 +8,8 @@ symbols. Names of one level are the symbols of the next. A boundary depends on a
 neighbours only, so equal substrings share their interior phrases wherever they stand.
 
 The fingerprint keeps, in each of ``BINS`` classes, the least hash of the names of levels
-two and up (one-permutation min-hash), as four hex digits, ``ffff`` where a class has no
+two and up, or the name of a text that is one phrase at level one (one-permutation
+min-hash), as four hex digits, ``ffff`` where a class has no
 name. The likeness of two fingerprints is the share of equal entries among classes that
 either fills; it estimates the Jaccard likeness of the two name sets.
 
@@ -103,10 +104,10 @@ def sketches(texts: list[str]) -> np.ndarray:
     symbols = points.astype(np.uint64)
     for level in range(1, LEVELS + 1):
         symbols, owner = parse_level(symbols, owner)
-        if level > 1:
-            np.minimum.at(least, owner * BINS + (symbols >> np.uint64(58)).astype(np.int64), symbols & np.uint64((1 << 58) - 1))
         more = np.bincount(owner, minlength=len(texts)) > 1  # a text that is one phrase is done
         going_on = more[owner]
+        named = ~going_on if level == 1 else slice(None)  # at level one, of texts that have no higher level
+        np.minimum.at(least, owner[named] * BINS + (symbols[named] >> np.uint64(58)).astype(np.int64), symbols[named] & np.uint64((1 << 58) - 1))
         symbols, owner = symbols[going_on], owner[going_on]
         if not len(symbols):
             break

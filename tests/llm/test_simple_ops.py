@@ -129,6 +129,14 @@ def test_fingerprints(spark, documents, odd, nothing):
     assert fingerprint.query(spark, nothing).count() == 0
 
 
+def test_short_texts_have_names():
+    texts = ["", "A.", "Re.", "a", "b", "a" * 2, "a" * 5000, "word"]
+    own = fingerprint.sketches(texts)
+    assert len({x.tobytes() for x in own}) == len(texts)
+    assert (own[0] == fingerprint.EMPTY).all() and (fingerprint.sketches(["Re.", ""])[0] == own[2]).all()
+    assert fingerprint.likeness(own[:-1], own[1:]).max() == 0
+
+
 def test_equal_substrings_share_phrases():
     rng = np.random.default_rng(1)
     core = "".join(rng.choice(list("abcdefgh "), 4000))
