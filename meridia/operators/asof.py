@@ -1,29 +1,38 @@
-"""As-of look-ups by union and window: one shuffle on the key, no range join."""
+"""As-of look-ups by union and running extremes: one shuffle on key and time span, no range join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from meridia.functions.scalars import NS
+from meridia.operators.spans import running
 
-def _union(probes: DataFrame, series: DataFrame, by: list[str], at: str, on: str, values: list[str]) -> DataFrame:
-    values = list(dict.fromkeys([on, *values]))
-    left = probes.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.struct(*probes.columns).alias("_row"), F.lit(None).cast(series.select(F.struct(*values).alias("x")).schema["x"].dataType).alias("_hit"))
-    right = series.select(*by, F.col(on).alias("_t"), F.lit(0).alias("_probe"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(*values).alias("_hit"))
-    return left.unionByName(right)
+SPAN = 3600 * NS  # time of a key's rows that one task orders
 
 
-def asof_backward(probes: DataFrame, series: DataFrame, by: list[str], at: str, on: str, values: dict[str, str]) -> DataFrame:
-    """Each probe with the values of the latest series row with ``on`` <= ``at``; ``values``: column to output name."""
-    w = Window.partitionBy(*by).orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _union(probes, series, by, at, on, list(values)).withColumn("_found", F.last("_hit", ignorenulls=True).over(w)).where("_probe = 1")
-    return out.select("_row.*", *[F.col(f"_found.{c}").alias(n) for c, n in values.items()])
+def _found(probes: DataFrame, series: DataFrame, by: list[str], at: str, on: str, values: dict[str, str], after: bool, span: int) -> DataFrame:
+    """Probes and series rows along one time axis; a probe takes the nearest series row on its side, a tie included."""
+    hit = F.struct(F.col(on).alias("_t"), F.struct(*[c for c in dict.fromkeys(values) if c != on]).alias("_rest")) if set(values) - {on} else F.struct(F.col(on).alias("_t"))
+    right = series.where(F.col(on).isNotNull()).select(*by, F.col(on).alias("_at"), F.lit(0).alias("_probe"), hit.alias("_hit"))
+    left = probes.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_probe"), F.struct(*probes.columns).alias("_row"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    order = [F.col("_at").desc() if after else F.col("_at"), F.col("_probe")]  # series rows first: ties count
+    out = running(both, by, order, F.floor(F.col("_at") / F.lit(span)), F.col("_hit"), "_best", inclusive=True, after=after).where("_probe = 1")
+    cell = lambda c: "_best._t" if c == on else f"_best._rest.{c}"
+    return out.select("_row.*", *[F.when(F.col("_at").isNotNull(), F.col(cell(c))).alias(n) for c, n in values.items()])
 
 
-def asof_forward(probes: DataFrame, series: DataFrame, by: list[str], at: str, on: str, values: dict[str, str]) -> DataFrame:
-    """Each probe with the values of the first series row with ``on`` >= ``at``."""
-    w = Window.partitionBy(*by).orderBy(F.col("_t"), F.col("_probe").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = _union(probes, series, by, at, on, list(values)).withColumn("_found", F.first("_hit", ignorenulls=True).over(w)).where("_probe = 1")
-    return out.select("_row.*", *[F.col(f"_found.{c}").alias(n) for c, n in values.items()])
+def asof_backward(probes: DataFrame, series: DataFrame, by: list[str], at: str, on: str, values: dict[str, str], span: int = SPAN) -> DataFrame:
+    """Each probe with the values of the latest series row with ``on`` <= ``at``; ``values``: column to output name.
+
+    Of series rows at one time the one with the greatest values counts.
+    """
+    return _found(probes, series, by, at, on, values, False, span)
+
+
+def asof_forward(probes: DataFrame, series: DataFrame, by: list[str], at: str, on: str, values: dict[str, str], span: int = SPAN) -> DataFrame:
+    """Each probe with the values of the first series row with ``on`` >= ``at``; of rows at one time, the least values."""
+    return _found(probes, series, by, at, on, values, True, span)
 
 
 def future_move_bps(points: DataFrame, prices: DataFrame, at: str, horizon_ns: int, out: str = "move_bps") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from meridia.functions.dsl import Rule, RuleSet
 from meridia.functions.scalars import NS, ratio, round6
 from meridia.operators import rules as R
 from meridia.operators.asof import asof_forward, labelled, previous_mean
 from meridia.operators.sequential import greedy_cooldown, non_overlapping
+from meridia.sources.staging import stored
 
 # The grids that tuning tries.
 THRESHOLD_SCALES = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)
@@ -76,7 +77,7 @@ def label_points(metrics: DataFrame, rule: Rule, o: Options) -> DataFrame:
 
 def walk_forward(metrics: DataFrame, rule: Rule, o: Options) -> DataFrame:
     """A row a fold: the tuned threshold, its training F1, and out-of-sample counts tuned and fixed."""
-    points = label_points(metrics, rule, o)
+    points = stored(label_points(metrics, rule, o), "points")  # read for training and for testing
     base = rule.condition.threshold
     fold = F.broadcast(folds(metrics.sparkSession, o))  # a few rows
     grid = F.explode(F.array(*[F.lit(base * s) for s in THRESHOLD_SCALES])).alias("threshold")
@@ -121,6 +122,16 @@ def signal_candidates(metrics: DataFrame, o: Options) -> DataFrame:
     return out.select("symbol", F.col("end_ns").alias("entry_ns"), "exit_ns", "dev", "side", net.alias("net_return"))
 
 
+def compounded(returns: Column, over=None) -> Column:
+    """The product of 1 + return, aggregated or over a window; returns of -1 and below count as the product has them."""
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    factor = 1 + returns
+    size = F.exp(at(F.sum(F.log(F.when(factor != 0, F.abs(factor))))))  # the log of no factor at all is null
+    odd = at(F.sum((factor < 0).cast("int"))) % 2 == 1
+    ruined = at(F.max((factor == 0).cast("int"))) == 1
+    return F.when(ruined, F.lit(0.0)).otherwise(F.when(odd, -size).otherwise(size))
+
+
 def simulate(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """One position a symbol at a time within ``keys``."""
     return non_overlapping(candidates, [*keys, "symbol"], "entry_ns", "exit_ns")
@@ -129,7 +140,7 @@ def simulate(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def trade_stats(trades: DataFrame, keys: list[str], span_ns) -> DataFrame:
     """Count, hit rate, mean, spread, Sharpe and return of trades by ``keys``."""
     mean, std = F.avg("net_return"), F.coalesce(F.stddev_samp("net_return"), F.lit(0.0))
-    out = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.avg((F.col("net_return") > 0).cast("double")).alias("hit_rate"), mean.alias("_mean"), std.alias("_std"), (F.exp(F.sum(F.log1p("net_return"))) - 1).alias("total_return"))
+    out = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.avg((F.col("net_return") > 0).cast("double")).alias("hit_rate"), mean.alias("_mean"), std.alias("_std"), (compounded(F.col("net_return")) - 1).alias("total_return"))
     sharpe = F.when(F.col("_std") > 0, F.col("_mean") / F.when(F.col("_std") > 0, F.col("_std"))).otherwise(F.lit(0.0))
     days = (span_ns if not isinstance(span_ns, (int, float)) else F.lit(float(span_ns))) / F.lit(float(86_400 * NS))
     return out.withColumn("sharpe_per_trade", sharpe).withColumn("mean_return_bps", F.col("_mean") * 1e4).withColumn("std_return_bps", F.col("_std") * 1e4).withColumn("trades_per_day", F.col("trades") / days).withColumn(
@@ -139,7 +150,7 @@ def trade_stats(trades: DataFrame, keys: list[str], span_ns) -> DataFrame:
 
 def tune_signal(metrics: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """(folds with the tuned k, out-of-sample trades). A fold without a trusted setting has k = 0."""
-    base = signal_candidates(metrics, o)
+    base = stored(signal_candidates(metrics, o), "candidates")
     fold = F.broadcast(folds(metrics.sparkSession, o))
     grid = F.explode(F.array(*map(F.lit, SIGNAL_GRID))).alias("k")
     within = lambda a, b: (F.col("entry_ns") >= F.col(a)) & (F.col("entry_ns") < F.col(b))
@@ -155,11 +166,11 @@ def tune_signal(metrics: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
 def equity_curve(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Compounded equity, running peak and drawdown after each exit, by ``keys``.
 
-    Trades of one run are few (positions do not overlap); running sums of log returns order them once.
+    Trades of one run are few (positions do not overlap); a running product orders them once.
     """
     w = Window.partitionBy(*keys).orderBy("exit_ns", "symbol")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = trades.withColumn("equity", F.exp(F.sum(F.log1p("net_return")).over(run)))
+    e = trades.withColumn("equity", compounded(F.col("net_return"), run))
     e = e.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(run)))
     return e.select(*keys, "exit_ns", "symbol", "equity", "peak", (1 - F.col("equity") / F.col("peak")).alias("drawdown"))
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meridia.functions.scalars import NS, positive_decimal, rfc3339_ns, valid_symbol, venue_symbol
-from meridia.operators.sequential import bounded_fifo_dedup
+from meridia.operators.sequential import bounded_fifo_dedup, first_delivery
 
 RAW = "array<struct<symbol:string,trade_id:string,price:decimal(38,18),size:decimal(38,18),event_time_ns:long,side:string>>"
 MAX_AHEAD_NS = 5 * NS
@@ -114,8 +114,11 @@ def validation_error(t: Column, recv: Column, allowed: list[str] | None) -> Colu
     )
 
 
-def normalise(frames: DataFrame, allowed: list[str] | None = None, venues: dict[str, Venue] = VENUES, service: str = "normaliser", dedup: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(trades, dead letters) of raw frames. Works on tables; on streams pass ``dedup=False``."""
+def normalise(frames: DataFrame, allowed: list[str] | None = None, venues: dict[str, Venue] = VENUES, service: str = "normaliser", dedup: bool | int = True) -> tuple[DataFrame, DataFrame]:
+    """(trades, dead letters) of raw frames. Works on tables; on streams pass ``dedup=False``.
+
+    ``dedup``: a number bounds how many recent trade keys of a log partition are remembered.
+    """
     f = resolve_exchange(frames)
     raw = F.lit(None).cast(RAW)
     for v in venues.values():
@@ -131,7 +134,8 @@ def normalise(frames: DataFrame, allowed: list[str] | None = None, venues: dict[
     )
     rows = marked.where("error IS NULL").select("exchange", "recv_time_ns", F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.posexplode("raw").alias("pos", "t"))
     if dedup:
-        rows = bounded_fifo_dedup(rows.withColumn("_id", F.col("t.trade_id")).withColumn("_at", F.struct("kafka_partition", "kafka_offset", "pos")), ["exchange", "_id"], "_at")
+        rows = rows.withColumn("_id", F.col("t.trade_id")).withColumn("_at", F.struct("kafka_partition", "kafka_offset", "pos"))
+        rows = first_delivery(rows, ["exchange", "_id"], "_at") if dedup is True else bounded_fifo_dedup(rows, ["exchange", "_id"], "kafka_partition", "_at", dedup)
     good = rows.select(
         "exchange", "t.symbol", "t.trade_id", "t.event_time_ns", "recv_time_ns", F.col("t.price").cast("decimal(18,8)").alias("price"), F.col("t.size").cast("decimal(18,8)").alias("size"), "t.side", "kafka_partition", "kafka_offset"
     )

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meridia.functions.dsl import STALENESS, Condition, Expr, Rule, RuleSet, number_text
 from meridia.functions.scalars import NS, alert_id, range_bps, rfc3339
+from meridia.operators.asof import SPAN
 from meridia.operators.sequential import greedy_cooldown
+from meridia.operators.spans import running
 
 DEGENERATE = 1e-12  # a spread this small against the mean is a constant baseline
 
@@ -108,8 +110,9 @@ def alerts(metrics: DataFrame, rules: RuleSet) -> DataFrame:
 
 def feed_gaps(frames: DataFrame, symbols: list[str], least_ns: int = 2 * NS) -> DataFrame:
     """One ``feed_gap`` alert a symbol where an exchange's receive times leave a gap."""
-    w = Window.partitionBy("exchange").orderBy("recv_time_ns")
-    gaps = frames.withColumn("gap", F.col("recv_time_ns") - F.lag("recv_time_ns").over(w)).where(F.col("gap") >= least_ns)
+    at = F.col("recv_time_ns")
+    seen = running(frames.select("exchange", "recv_time_ns"), ["exchange"], [at], F.floor(at / F.lit(SPAN)), at, "_before")
+    gaps = seen.withColumn("gap", at - F.col("_before")).where(F.col("gap") >= least_ns)
     each = gaps.withColumn("symbol", F.explode(F.array(*map(F.lit, symbols)))).withColumn("rule_name", F.lit("feed_gap"))
     return each.select(alert_id(F.col("rule_name"), F.col("symbol"), F.col("recv_time_ns"), F.col("exchange")).alias("alert_id"), "rule_name", "symbol", F.lit("WARN").alias("severity"), F.col("recv_time_ns").alias("window_end_ns"), F.create_map(F.lit("gap_secs"), F.col("gap") / F.lit(float(NS))).alias("values"), "exchange")
 

@@ -1,13 +1,43 @@
-"""Greedy sequential decisions without gathering a key's whole history.
+"""Greedy sequential decisions in one walk over sorted rows.
 
-A fold is needed only between rows that can influence each other. A candidate farther
-from its predecessor than the blocking span is decided alone, so histories fall apart into
-sessions there, and folds run within sessions, in parallel.
+Whether a row is taken depends on the last one taken, so a key's candidates are walked in
+order. Keys are spread over tasks; a task holds the last decision of one key and nothing
+else, so a long history costs time in proportion and no memory. Candidates are windows of
+a symbol: there is at most one a window, however many trades a busy symbol has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+
+def _walk(rows: DataFrame, keys: list[str], at: str, busy_until: Column, strict: bool, out: str) -> DataFrame:
+    """``rows`` with ``out``: those taken greedily of each key by ``at``.
+
+    A taken row blocks until its ``busy_until``; the next one starts there at the earliest, or with ``strict`` after it.
+    """
+    key = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    ready = rows.withColumns({"_key": key, "_from": F.col(at).cast("long"), "_until": busy_until.cast("long")})
+    schema = StructType([*rows.schema.fields, StructField(out, BooleanType())])
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = until = None
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            taken = []
+            for k, start, end in zip(*(column(c).to_pylist() for c in ("_key", "_from", "_until"))):
+                free = k != here or (start > until if strict else start >= until)
+                if free:
+                    here, until = k, end
+                taken.append(free)
+            yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(taken, pa.bool_())], [*names, out])
+
+    return ready.repartition("_key").sortWithinPartitions("_key", "_from", "_until").mapInArrow(run, schema)
 
 
 def greedy_cooldown(candidates: DataFrame, keys: list[str], at: str, cooldown_ns: int | str) -> DataFrame:
@@ -16,35 +46,40 @@ def greedy_cooldown(candidates: DataFrame, keys: list[str], at: str, cooldown_ns
     ``cooldown_ns`` may name a column (the same for all rows of a key).
     """
     cool = F.col(cooldown_ns) if isinstance(cooldown_ns, str) else F.lit(cooldown_ns)
-    w = Window.partitionBy(*keys).orderBy(at)
-    gap = F.col(at) - F.lag(at).over(w)
-    sessions = candidates.withColumn("_cool", cool).withColumn("_new", F.when(gap < F.col("_cool"), 0).otherwise(1))
-    sessions = sessions.withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    times = sessions.groupBy(*keys, "_session").agg(F.array_sort(F.collect_list(at)).alias("_times"), F.max("_cool").alias("_cool"))
-    fold = F.aggregate(
-        "_times",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept")),
-        lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= F.col("_cool")), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc),
-    )
-    kept = times.select(*keys, "_session", F.explode(fold["kept"]).alias(at)).withColumn("_fires", F.lit(True))
-    return sessions.join(kept, [*keys, "_session", at], "left").withColumn("fires", F.coalesce("_fires", F.lit(False))).drop("_cool", "_new", "_session", "_fires")
+    return _walk(candidates, keys, at, F.col(at) + cool, False, "fires")
 
 
 def non_overlapping(entries: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Entries taken one after another: one is skipped while ``start`` <= the ``end`` of the last taken."""
-    w = Window.partitionBy(*keys).orderBy(start)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    sessions = entries.withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1)).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    grouped = sessions.groupBy(*keys, "_session").agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("_rows"))
-    fold = F.aggregate(
-        "_rows",
-        F.struct(F.lit(None).cast("long").alias("busy"), F.array().cast("array<long>").alias("kept")),
-        lambda acc, x: F.when(acc["busy"].isNull() | (x["s"] > acc["busy"]), F.struct(x["e"].alias("busy"), F.concat(acc["kept"], F.array(x["s"])).alias("kept"))).otherwise(acc),
-    )
-    kept = grouped.select(*keys, "_session", F.explode(fold["kept"]).alias(start))
-    return sessions.join(kept, [*keys, "_session", start], "left_semi").drop("_new", "_session")
-
-
-def bounded_fifo_dedup(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """First delivery of each key in ``order``: what a ring of recent keys keeps while it is not full."""
+    return _walk(entries, keys, start, F.col(end), True, "_taken").where("_taken").drop("_taken")
+
+
+def first_delivery(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """First delivery of each key in ``order``: what a set of recent keys without a bound keeps."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def bounded_fifo_dedup(rows: DataFrame, keys: list[str], partition: str, order: str, capacity: int = 100_000) -> DataFrame:
+    """Rows whose key is not among the last ``capacity`` keys let through before them, by ``partition`` in ``order``.
+
+    A partition of the log is walked once by one task, as its consumer would, holding ``capacity`` keys
+    and no rows. ``first_delivery`` needs no walk and is the same while no key comes back after so many others.
+    """
+    capacity = max(capacity, 1)
+    ready = rows.withColumn("_key", F.to_json(F.struct(*keys)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, {}  # a dictionary keeps the order of insertion
+        for batch in batches:
+            at, kept = batch.schema.get_field_index, []
+            for p, k in zip(batch.column(at(partition)).to_pylist(), batch.column(at("_key")).to_pylist()):
+                if p != here:
+                    here, held = p, {}
+                kept.append(k not in held)
+                if kept[-1]:
+                    if len(held) == capacity:
+                        del held[next(iter(held))]
+                    held[k] = None
+            yield batch.filter(pa.array(kept, pa.bool_())).drop_columns(["_key"])
+
+    return ready.repartition(partition).sortWithinPartitions(partition, order).mapInArrow(run, rows.schema)

@@ -7,13 +7,18 @@ window size, and keeps the windows that such an engine would have closed.
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meridia.functions.scalars import NS, align, annualised_vol, log_return, spread_bps, vwap
+from meridia.operators.spans import running
+from meridia.sources.staging import stored
 
 SIZES = (1, 10, 60)
 LATENESS_NS = 500_000_000
 CHUNK = 1_000_000  # offsets of a partition that one task orders
+SPAN = 100_000  # stretches of the smallest size that one task orders
 
 
 def check_sizes(sizes) -> tuple[int, ...]:
@@ -31,18 +36,9 @@ def dedup_bucket(trades: DataFrame, size: int, include_symbol: bool = False) ->
 
 
 def running_max_before(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``max_before``: the greatest event time at earlier offsets of the partition.
-
-    Two levels, so that no task orders a whole partition: running maxima within chunks of
-    offsets, and a running maximum over the chunks' maxima.
-    """
-    df = df.withColumn("chunk", F.floor(F.col("kafka_offset") / F.lit(chunk)))
-    within = Window.partitionBy("kafka_partition", "chunk").orderBy("kafka_offset").rowsBetween(Window.unboundedPreceding, -1)
-    tops = df.groupBy("kafka_partition", "chunk").agg(F.max("event_time_ns").alias("top"))
-    over = Window.partitionBy("kafka_partition").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = tops.select("kafka_partition", "chunk", F.max("top").over(over).alias("chunks_before"))
-    out = df.withColumn("here", F.max("event_time_ns").over(within)).join(before, ["kafka_partition", "chunk"])
-    return out.withColumn("max_before", F.greatest("here", "chunks_before")).drop("here", "chunks_before", "chunk")
+    """``max_before``: the greatest event time of first deliveries at earlier offsets of the partition."""
+    first = F.when(F.col("copy") == 1, F.col("event_time_ns"))
+    return running(df, ["kafka_partition"], [F.col("kafka_offset")], F.floor(F.col("kafka_offset") / F.lit(chunk)), first, "max_before")
 
 
 def outcomes(trades: DataFrame, sizes=SIZES, lateness_ns: int = LATENESS_NS, include_symbol: bool = False) -> DataFrame:
@@ -60,23 +56,63 @@ def accepted(trades: DataFrame, sizes=SIZES, lateness_ns: int = LATENESS_NS, in_
     return outcomes(trades, sizes, lateness_ns, include_symbol).where("outcome = 'accepted'").drop("outcome", "copy")
 
 
+def _with_returns(good: DataFrame, sizes: tuple[int, ...], in_order: bool) -> DataFrame:
+    """``good`` with ``r<secs>``: each trade's log return within its window of that size and its venue.
+
+    All sizes share one exchange, by venue and the span that holds whole windows of every
+    size. In-order trades need one look back for all sizes, as a window's trades are neighbours.
+    """
+    whole = lcm(*sizes)
+    spanned = good.withColumn("_span", align(F.col("event_time_ns"), whole))
+    for s in sizes:
+        spanned = spanned.withColumn(f"_s{s}", align(F.col("event_time_ns"), s))
+    keys, arrival = ["symbol", "exchange", "_span"], ["kafka_partition", "kafka_offset"]
+    if in_order:
+        w = Window.partitionBy(*keys).orderBy(*arrival)
+        spanned = spanned.withColumns({"_p": F.lag("price").over(w), **{f"_b{s}": F.lag(f"_s{s}").over(w) for s in sizes}})
+        spanned = spanned.withColumn("_r", log_return(F.col("_p"), F.col("price")))
+        return spanned.withColumns({f"r{s}": F.when(F.col(f"_b{s}") == F.col(f"_s{s}"), F.col("_r")) for s in sizes})
+    for s in sizes:
+        w = Window.partitionBy(*keys, f"_s{s}").orderBy(*arrival)
+        spanned = spanned.withColumn(f"r{s}", log_return(F.lag("price").over(w), F.col("price")))
+    return spanned
+
+
 def window_metrics(trades: DataFrame, sizes=SIZES, lateness_ns: int = LATENESS_NS, flush: bool = False, in_order: bool = False, include_symbol: bool = False) -> DataFrame:
     """One row per (symbol, window_secs, window); with ``flush`` open windows are emitted too."""
     sizes = check_sizes(sizes)
     good = accepted(trades, sizes, lateness_ns, in_order, include_symbol)
-    each = good.select("kafka_partition", "kafka_offset", "symbol", "exchange", "event_time_ns", "price", "size", F.explode(F.array(*map(F.lit, sizes))).alias("window_secs"))
-    each = each.withColumn("window_start_ns", align(F.col("event_time_ns"), F.col("window_secs")))
-    arrival = Window.partitionBy("symbol", "window_secs", "window_start_ns", "exchange").orderBy("kafka_partition", "kafka_offset")
-    each = each.withColumn("r", log_return(F.lag("price").over(arrival), F.col("price")))
-    keys = ["symbol", "window_secs", "window_start_ns"]
-    by_venue = each.groupBy(*keys, "exchange").agg(
+    smallest, square = sizes[0], lambda s: F.sum(F.col(f"r{s}") * F.col(f"r{s}"))
+    rows = _with_returns(good, sizes, in_order)
+    # running maxima of the partition's event times, by the part of the smallest window that the lateness parts off
+    peak = F.col("event_time_ns")
+    if not in_order:  # in-order trades are their own running maxima
+        peak = F.when(F.col("max_before").isNull() | (peak > F.col("max_before")), peak)
+    early = F.col("event_time_ns") - F.col(f"_s{smallest}") < lateness_ns % (smallest * NS)
+    # by venue and smallest window, in the partitioning that the returns came in; all that follows reads this table
+    parts = rows.groupBy("symbol", "exchange", "_span", F.col(f"_s{smallest}").alias("_start")).agg(
         F.sum(F.col("price") * F.col("size")).alias("spq"),
         F.sum("size").alias("sq"),
         F.count(F.lit(1)).alias("n"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max(F.struct("event_time_ns", "kafka_partition", "kafka_offset", "price")).alias("last"),
-        F.sum(F.col("r") * F.col("r")).alias("var"),  # null: no return
+        F.max("kafka_partition").alias("kafka_partition"),
+        *[square(s).alias(f"var{s}") for s in sizes],  # null: no return
+        F.min(F.when(early, peak)).alias("early_peak"),
+        F.min(F.when(~early, peak)).alias("late_peak"),
+    )
+    parts = stored(parts, "venue_windows")
+    each = parts.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("window_secs"), align(F.col("_start"), s).alias("window_start_ns"), F.col(f"var{s}").alias("var")) for s in sizes])).alias("w"))
+    keys = ["symbol", "window_secs", "window_start_ns"]
+    by_venue = each.select("symbol", "exchange", "spq", "sq", "n", "high", "low", "last", "kafka_partition", "w.*").groupBy(*keys, "exchange").agg(
+        F.sum("spq").alias("spq"),
+        F.sum("sq").alias("sq"),
+        F.sum("n").alias("n"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max("last").alias("last"),
+        F.sum("var").alias("var"),
         F.max("kafka_partition").alias("kafka_partition"),
     )
     venue = F.struct(
@@ -114,34 +150,31 @@ def window_metrics(trades: DataFrame, sizes=SIZES, lateness_ns: int = LATENESS_N
         "exchanges",
         "kafka_partition",
     )
-    return _closed(out, good, lateness_ns, flush).drop("kafka_partition")
+    return _closed(out, parts, smallest, lateness_ns, flush).drop("kafka_partition")
 
 
-def _closed(windows: DataFrame, trades: DataFrame, lateness_ns: int, flush: bool) -> DataFrame:
+def _closed(windows: DataFrame, parts: DataFrame, smallest: int, lateness_ns: int, flush: bool) -> DataFrame:
     """Windows that the watermark passed, with ``emitted_at_ns``: the watermark that closed them.
 
     A window closes at the first trade of its partition whose event time, the greatest so
     far, reaches its end plus the lateness; that is the least running maximum at or above
-    it. Per second of the partition's running maxima one candidate is enough to carry on.
+    it. Ends are multiples of the smallest size, so one running maximum, the least, of each
+    stretch of that size (shifted by the lateness) is enough to carry on.
     """
-    peaks = running_max_before(trades.select("kafka_partition", "kafka_offset", "event_time_ns"))
-    peaks = peaks.where(F.col("max_before").isNull() | (F.col("event_time_ns") > F.col("max_before"))).select("kafka_partition", F.col("event_time_ns").alias("t"))
-    ends = windows.select("kafka_partition", (F.col("window_end_ns") + F.lit(lateness_ns)).alias("t")).distinct()
-    both = ends.withColumn("peak", F.lit(None).cast("long")).unionByName(peaks.withColumn("peak", F.col("t")))
-    # as-of forwards, two levels like running_max_before: by spans of time
-    span = F.floor(F.col("t") / F.lit(3600 * NS))
-    both = both.withColumn("span", span)
-    later = Window.partitionBy("kafka_partition", "span").orderBy(F.col("t"), F.col("peak").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    least = both.groupBy("kafka_partition", "span").agg(F.min("peak").alias("least"), F.max("peak").alias("most"))
-    after = Window.partitionBy("kafka_partition").orderBy("span").rowsBetween(1, Window.unboundedFollowing)
-    top = Window.partitionBy("kafka_partition")
-    spans = least.select("kafka_partition", "span", F.min("least").over(after).alias("next"), F.max("most").over(top).alias("final"))
-    found = both.withColumn("here", F.min("peak").over(later)).where("peak IS NULL").join(spans, ["kafka_partition", "span"])
-    closing = found.select("kafka_partition", (F.col("t") - F.lit(lateness_ns)).alias("window_end_ns"), F.coalesce("here", "next").alias("closer"), "final").distinct()
-    out = windows.join(closing, ["kafka_partition", "window_end_ns"], "left")
+    size = F.lit(smallest * NS)
+    stretch = F.floor(F.col("_start") / size) - F.lit(lateness_ns // (smallest * NS))
+    each = F.array(F.struct((stretch - 1).alias("k"), F.col("early_peak").alias("peak")), F.struct(stretch.alias("k"), F.col("late_peak").alias("peak")))
+    peaks = parts.select("kafka_partition", F.inline(each)).where("peak IS NOT NULL").groupBy("kafka_partition", "k").agg(F.min("peak").alias("peak"))
+    ends = windows.select("kafka_partition", F.floor(F.col("window_end_ns") / size).alias("k")).distinct()
+    both = ends.withColumn("end", F.lit(True)).unionByName(peaks, allowMissingColumns=True)
+    # an end's own stretch counts: its running maxima reach the end plus the lateness
+    found = running(both, ["kafka_partition"], [F.col("k").desc(), F.col("peak").asc_nulls_last()], F.floor(F.col("k") / F.lit(SPAN)), F.col("peak"), "closer", inclusive=True, after=True).where("end")
+    closing = found.select("kafka_partition", (F.col("k") * size).alias("window_end_ns"), "closer")
+    out = windows.join(closing, ["kafka_partition", "window_end_ns"])
     if not flush:
-        out = out.where(F.col("closer").isNotNull())
-    return out.withColumn("emitted_at_ns", F.coalesce("closer", "final") - F.lit(lateness_ns)).drop("closer", "final")
+        return out.where(F.col("closer").isNotNull()).withColumn("emitted_at_ns", F.col("closer") - F.lit(lateness_ns)).drop("closer")
+    final = parts.groupBy("kafka_partition").agg(F.max("last.event_time_ns").alias("final"))  # a row a partition of the log
+    return out.join(final, "kafka_partition").withColumn("emitted_at_ns", F.coalesce("closer", "final") - F.lit(lateness_ns)).drop("closer", "final")
 
 
 def watermark_windows(stream: DataFrame, secs: int, lateness: str = "500 milliseconds") -> DataFrame:

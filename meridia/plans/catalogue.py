@@ -14,6 +14,7 @@ from meridia.functions import scalars as S
 from meridia.functions.dsl import Rule, RuleSet, load_rules, parse_condition
 from meridia.operators import asof, backtest as B, normalise as N, rules as R, sequential as Q, serve as V, windows as W
 from meridia.sources import archive as A, tables as T
+from meridia.sources.staging import stored
 
 NS = S.NS
 HOUR, SIX, DAY = 3600, 21_600, 86_400
@@ -67,7 +68,8 @@ def trades(spark, d) -> DataFrame:
 
 
 def metrics(spark, d) -> DataFrame:
-    return W.window_metrics(trades(spark, d), SIZES, LATE, flush=True, in_order=True)
+    """Stored, as rules and backtests read it several times."""
+    return stored(W.window_metrics(trades(spark, d), SIZES, LATE, flush=True, in_order=True), "metrics")
 
 
 def flat(m: DataFrame) -> DataFrame:
@@ -497,7 +499,7 @@ def _(spark, d):
 
 @query("set_dedup_first", f"WITH {MESSY} SELECT exchange, trade_id, min(off) AS kafka_offset FROM delivered GROUP BY ALL")
 def _(spark, d):
-    return Q.bounded_fifo_dedup(T.messy_trades(spark, d), ["exchange", "trade_id"], "kafka_offset").select("exchange", "trade_id", "kafka_offset")
+    return Q.first_delivery(T.messy_trades(spark, d), ["exchange", "trade_id"], "kafka_offset").select("exchange", "trade_id", "kafka_offset")
 
 
 @query("set_anti_new_alerts", f"WITH {GOOD} SELECT trade_id AS alert_id FROM good WHERE off % 3 = 0 AND off % 6 <> 0")

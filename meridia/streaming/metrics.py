@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from math import log, sqrt
@@ -16,8 +18,10 @@ from meridia.operators.windows import LATENESS_NS, SIZES, check_sizes
 NS = 1_000_000_000
 OUTPUT = (
     "kafka_partition int, symbol string, window_secs int, window_start_ns long, window_end_ns long, vwap decimal(28,10), volume decimal(28,8), trade_count long, realised_vol double, "
-    "high decimal(18,8), low decimal(18,8), last_price decimal(18,8), xex_spread_bps double, emitted_at_ns long"
+    "high decimal(18,8), low decimal(18,8), last_price decimal(18,8), xex_spread_bps double, emitted_at_ns long, "
+    "exchanges array<struct<exchange:string,vwap:decimal(28,10),volume:decimal(28,8),trade_count:long,last_trade_ns:long>>"
 )
+COLUMNS = [c.split()[0] for c in OUTPUT.partition(", exchanges")[0].split(", ")] + ["exchanges"]
 TEN, SIX = Decimal(1).scaleb(-10), Decimal(1).scaleb(-6)
 
 
@@ -28,33 +32,43 @@ def _quotient(a: Decimal, b: Decimal, unit: Decimal) -> Decimal:
 class WindowState:
     """Open windows, recent keys and the watermark of one partition, as plain values.
 
-    ``windows`` maps (symbol, size, start) to venue -> [spq, sq, n, high, low, last time, last
-    price, last arrival price, sum of squared returns, returns].
+    ``seen`` has a set of (exchange, trade id) for each smallest window. ``windows`` maps (symbol,
+    size, start) to venue -> [spq, sq, n, high, low, last time, last price, last arrival price,
+    sum of squared returns, returns, arrival of the last price].
     """
 
     def __init__(self, sizes=SIZES, lateness_ns=LATENESS_NS):
         self.sizes, self.lateness = check_sizes(sizes), lateness_ns
         self.high: int | None = None
-        self.seen: dict[tuple[str, str], int] = {}
+        self.arrivals = 0
+        self.seen: dict[int, set[tuple[str, str]]] = {}
         self.windows: dict[tuple[str, int, int], dict[str, list]] = {}
+        self.counts: Counter = Counter()
 
     @property
     def watermark(self) -> int | None:
         return None if self.high is None else self.high - self.lateness
 
     def add(self, exchange: str, symbol: str, trade_id: str, t: int, price: Decimal, size: Decimal) -> str:
+        outcome = self._add(exchange, symbol, trade_id, t, price, size)
+        self.counts[outcome] += 1
+        return outcome
+
+    def _add(self, exchange, symbol, trade_id, t, price, size) -> str:
         smallest = self.sizes[0] * NS
-        end = t - t % smallest + smallest
-        if self.high is not None and end <= self.watermark:
+        start = t - t % smallest
+        if self.high is not None and start + smallest <= self.watermark:
             return "late"
-        if self.seen.get((exchange, trade_id)) == end:
+        bucket = self.seen.setdefault(start, set())
+        if (exchange, trade_id) in bucket:
             return "duplicate"
-        self.seen[exchange, trade_id] = end
+        bucket.add((exchange, trade_id))
+        self.arrivals += 1
         for s in self.sizes:
             venues = self.windows.setdefault((symbol, s, t - t % (s * NS)), {})
             v = venues.get(exchange)
             if v is None:
-                venues[exchange] = [price * size, size, 1, price, price, t, price, price, 0.0, 0]
+                venues[exchange] = [price * size, size, 1, price, price, t, price, price, 0.0, 0, self.arrivals]
                 continue
             r = log(float(price) / float(v[7]))
             v[0] += price * size
@@ -62,7 +76,7 @@ class WindowState:
             v[2] += 1
             v[3], v[4] = max(v[3], price), min(v[4], price)
             if t >= v[5]:
-                v[5], v[6] = t, price
+                v[5], v[6], v[10] = t, price, self.arrivals
             v[7] = price
             v[8] += r * r
             v[9] += 1
@@ -77,7 +91,7 @@ class WindowState:
         done = sorted((k for k in self.windows if k[2] + k[1] * NS <= mark), key=lambda k: (k[2] + k[1] * NS, k[1], k[0]))
         out = [self._row(k, self.windows.pop(k), mark) for k in done]
         if done:
-            self.seen = {k: e for k, e in self.seen.items() if e > mark}
+            self.seen = {start: keys for start, keys in self.seen.items() if start + self.sizes[0] * NS > mark}
         return out
 
     @staticmethod
@@ -90,15 +104,22 @@ class WindowState:
             spread = float(((means[0][1] - means[1][1]) * 10_000 / mid).quantize(SIX, rounding=ROUND_HALF_UP))
         variances = [v[8] for v in venues.values() if v[9]]
         variance = sum(variances) / len(variances) if variances else 0.0
-        last = max(venues.values(), key=lambda v: v[5])
-        return (symbol, secs, start, start + secs * NS, _quotient(spq, sq, TEN), sq, sum(v[2] for v in venues.values()), sqrt(variance) * sqrt(31_536_000 / secs) if variance > 0 else 0.0, max(v[3] for v in venues.values()), min(v[4] for v in venues.values()), last[6], spread, mark)
+        last = max(venues.values(), key=lambda v: (v[5], v[10]))  # of equal times the later arrival
+        each = [{"exchange": name, "vwap": mean, "volume": venues[name][1], "trade_count": venues[name][2], "last_trade_ns": venues[name][5]} for name, mean in means]
+        return (symbol, secs, start, start + secs * NS, _quotient(spq, sq, TEN), sq, sum(v[2] for v in venues.values()), sqrt(variance) * sqrt(31_536_000 / secs) if variance > 0 else 0.0, max(v[3] for v in venues.values()), min(v[4] for v in venues.values()), last[6], spread, mark, each)
+
+
+def _marks(venues: dict[str, list]) -> int:
+    """Changes with every trade that a window takes."""
+    return sum(v[2] for v in venues.values())
 
 
 class MetricsProcessor(StatefulProcessor):
     """Per-record watermarks and closing, one partition of the log a key.
 
-    Rows of a micro-batch are put in offset order first. State is kept as one row per open
-    window and venue, and restored by the engine's own checkpoint after a failure.
+    Rows of a micro-batch are put in offset order first. State is a row for each open window,
+    one for the keys of each smallest window still open, and one for the watermark; a batch writes
+    the rows that it changed and deletes those it closed. The engine's checkpoint restores them.
     """
 
     def __init__(self, sizes=SIZES, lateness_ns: int = LATENESS_NS, idle_ns: int = 0):
@@ -106,25 +127,38 @@ class MetricsProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("engine", "blob binary")
+        self.mark = handle.getValueState("mark", "high long, arrivals long")
+        self.open = handle.getMapState("open", "symbol string, secs int, start long", "venues binary")
+        self.keys = handle.getMapState("keys", "start long", "keys binary")
 
     def _load(self) -> WindowState:
-        import pickle
-
         s = WindowState(self.sizes, self.lateness)
-        if self.state.exists():
-            s.high, s.seen, s.windows = pickle.loads(self.state.get()[0])
+        if self.mark.exists():
+            s.high, s.arrivals = self.mark.get()
+        s.windows = {tuple(k): pickle.loads(v[0]) for k, v in self.open.iterator()}
+        s.seen = {k[0]: pickle.loads(v[0]) for k, v in self.keys.iterator()}
+        self.before = {**{k: _marks(v) for k, v in s.windows.items()}, **{k: len(v) for k, v in s.seen.items()}}
         return s
 
     def _save(self, s: WindowState) -> None:
-        import pickle
-
-        self.state.update((pickle.dumps((s.high, s.seen, s.windows)),))
+        if s.high is not None:
+            self.mark.update((s.high, s.arrivals))
+        for k, venues in s.windows.items():
+            if self.before.get(k) != _marks(venues):
+                self.open.updateValue(k, (pickle.dumps(venues),))
+        for k, keys in s.seen.items():
+            if self.before.get(k) != len(keys):
+                self.keys.updateValue((k,), (pickle.dumps(keys),))
+        for k in self.before:
+            if isinstance(k, tuple):
+                if k not in s.windows:
+                    self.open.removeKey(k)
+            elif k not in s.seen:
+                self.keys.removeKey((k,))
 
     def _frame(self, key, rows) -> Iterator[pd.DataFrame]:
         if rows:
-            names = [c.split()[0] for c in OUTPUT.split(", ")]
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=COLUMNS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s, out = self._load(), []

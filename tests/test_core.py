@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from meridia.functions import dsl, scalars as S
-from meridia.operators import normalise as N, rules as R, sequential as Q, serve as V, windows as W
+from meridia.operators import backtest as B, normalise as N, rules as R, sequential as Q, serve as V, windows as W
 from meridia.sources import archive as A, schemas, tables as T
 from meridia.streaming.metrics import WindowState
 
@@ -35,7 +35,7 @@ def test_hand_computed_window(spark):
 ROWS = st.lists(st.tuples(st.sampled_from(["a", "b"]), st.sampled_from(["X-USD", "Y-USD"]), st.integers(0, 25), st.integers(0, 30_000), st.integers(1, 500), st.integers(1, 90)), min_size=1, max_size=60)
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(ROWS)
 def test_plan_equals_record_by_record_engine(spark, rows):
     given_rows = [(e, s, f"{s}{i}", ms, f"{p}.37", f"{q}.5") for e, s, i, ms, p, q in rows]
@@ -56,6 +56,69 @@ def test_plan_equals_record_by_record_engine(spark, rows):
         assert r.realised_vol == pytest.approx(v, rel=1e-9) and r.xex_spread_bps == pytest.approx(x, abs=1e-6)
 
 
+def reference_engine(rows, sizes, lateness):
+    """(outcomes, {(symbol, secs, start): (count, last price)}) by the plainest bookkeeping."""
+    high, seen, open_, closed, outcomes = None, set(), {}, {}, []
+    for n, (e, s, i, t, p) in enumerate(rows):
+        start = t - t % (sizes[0] * NS)
+        if high is not None and start + sizes[0] * NS <= high - lateness:
+            outcomes.append("late")
+        elif (e, i, start) in seen:
+            outcomes.append("duplicate")
+        else:
+            outcomes.append("accepted")
+            seen.add((e, i, start))
+            for w in sizes:
+                open_.setdefault((s, w, t - t % (w * NS)), []).append((t, n, p))
+            high = t if high is None else max(high, t)
+            for k in [k for k in open_ if k[2] + k[1] * NS <= high - lateness]:
+                closed[k] = (len(open_[k]), max(open_.pop(k))[2])
+    return outcomes, closed
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.sampled_from(["X-USD", "Y-USD"]), st.integers(0, 6), st.integers(0, 50), st.integers(1, 500)), min_size=1, max_size=60))
+def test_record_by_record_engine(rows):
+    rows = [(e, s, f"{s}{i}", T0 + 100 * ms * 1_000_000, Decimal(p)) for e, s, i, ms, p in rows]
+    state, outcomes, closed = WindowState((1, 10), 500_000_000), [], {}
+    for e, s, i, t, p in rows:
+        outcomes.append(state.add(e, s, i, t, p, Decimal(1)))
+        closed |= {(w[0], w[1], w[2]): (w[6], w[10]) for w in state.close()}
+    assert (outcomes, closed) == reference_engine(rows, (1, 10), 500_000_000)
+    assert sum(state.counts.values()) == len(rows)
+
+
+def test_closing_grows_in_proportion(spark):
+    """Frames that start at the first row: no plan recomputes a span for each of its rows."""
+    trades = T.generate_trades(spark, minutes=5, per_second=200)
+    plan = W.window_metrics(trades, flush=True)._jdf.queryExecution().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    assert W.window_metrics(trades, flush=True, in_order=True).agg(F.sum("trade_count")).first()[0] == 3 * 60_000
+
+
+def test_products_of_ruinous_returns(spark):
+    for returns in ([0.5, -1.5, 0.2], [-2.0, -3.0], [0.1, -1.0, 0.3], [0.25]):
+        rows = spark.createDataFrame([("r", i, "s", float(x)) for i, x in enumerate(returns)], "run string, exit_ns long, symbol string, net_return double")
+        want = []
+        for x in returns:
+            want.append((want[-1] if want else 1.0) * (1 + x))
+        got = [r.equity for r in B.equity_curve(rows, ["run"]).orderBy("exit_ns").collect()]
+        assert got == pytest.approx(want)
+        assert B.trade_stats(rows, ["run"], 1).first().total_return == pytest.approx(want[-1] - 1)
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 100])
+def test_bounded_dedup(spark, capacity):
+    ids = [1, 2, 1, 3, 4, 1, 5, 2, 2, 6, 7, 8, 1]
+    ring, want = [], []
+    for n, i in enumerate(ids):
+        if i not in ring:
+            want.append(n)
+            ring = [*ring, i][-capacity:]
+    rows = spark.createDataFrame([(0, n, i) for n, i in enumerate(ids)], "part int, off int, id int")
+    assert sorted(r.off for r in Q.bounded_fifo_dedup(rows, ["id"], "part", "off", capacity).collect()) == want
+
+
 def test_exact_vwap(spark):
     pairs = [("10000.005", "3"), ("1", "3"), ("2", "3"), ("0.00000001", "7"), ("123456.78901234", "9.87654321")]
     rows = spark.createDataFrame([(Decimal(a), Decimal(b)) for a, b in pairs], "a decimal(38,16), b decimal(28,8)").select("a", "b", S.vwap(F.col("a"), F.col("b")).alias("v")).collect()
@@ -179,6 +242,7 @@ def test_stream_equals_batch(spark, tmp_path):
     src = spark.readStream.schema(schemas.TRADES).parquet(str(tmp_path / "in"))
     q = stream_metrics(src, (1, 10)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {(r.symbol, r.window_secs, r.window_start_ns): (r.vwap, r.trade_count, r.emitted_at_ns) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {(r.symbol, r.window_secs, r.window_start_ns): (r.vwap, r.trade_count, r.emitted_at_ns) for r in W.window_metrics(spark.read.parquet(str(tmp_path / "in")), (1, 10)).collect()}
+    row = lambda r: ((r.symbol, r.window_secs, r.window_start_ns), (r.vwap, r.trade_count, r.emitted_at_ns, r.last_price, r.exchanges))
+    got = dict(row(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = dict(row(r) for r in W.window_metrics(spark.read.parquet(str(tmp_path / "in")), (1, 10)).collect())
     assert got == want and want
