@@ -2,47 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from meridia.sources.staging import discard, shared_dir, stored
+
+__all__ = ["MULT", "code_points", "discard", "materialise", "maybe_in", "mix64", "shared_dir", "shuffle_partitions", "small", "sql_unit", "table", "text_chunks"]
 MULT = np.uint64(0x9E3779B97F4A7C15)
-_own_dir: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); an own one only where none is set."""
-    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="meridia-"))
-    return _own_dir[0]
-
-
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a copy that every executor can read, so a lost executor
-    costs its running tasks only.
+    costs its running tasks only. ``discard`` deletes it, the application's end at the latest.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meridia-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, what)
 
 
-def small(stored: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """``stored`` (a materialised frame of narrow rows), marked for broadcast if it has at most ``limit`` rows.
+def small(table: DataFrame, limit: int = 8_000_000) -> DataFrame:
+    """``table`` (a materialised frame of narrow rows), marked for broadcast if its rows take at most ``limit`` bytes.
 
     Beyond that the join that uses it shuffles both sides.
     """
-    return F.broadcast(stored) if stored.count() <= limit else stored
+    width = 16 + sum(8 if f.dataType.typeName() not in ("string", "binary", "array") else 0 for f in table.schema)
+    size = F.count(F.lit(1)) * width
+    for f in table.schema:
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0))
+        elif f.dataType.typeName() == "array":
+            size = size + F.coalesce(F.sum(F.size(f.name)), F.lit(0)) * 16 + F.count(F.lit(1)) * 16
+    return F.broadcast(table) if (table.agg(size.alias("n")).first()["n"] or 0) <= limit else table
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

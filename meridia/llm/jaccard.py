@@ -3,26 +3,25 @@
 Two documents link when their sets of five-word shingles have a Jaccard likeness of at
 least ``NUMERATOR / DENOMINATOR``. The join is exact:
 
-1. Every text becomes its set of 64-bit shingle hashes. Texts with equal sets form a class
-   at once (by a 128-bit digest of the set); only one member of a class is
-   compared.
-2. Sets are put in one global order: shingles that a counting sketch of fixed size finds
-   unusually frequent come last, the rest by hash. Any total order is right; this one keeps
-   passages that many documents share out of the prefixes. A set's prefix is its first
-   ``n - ceil(n * t) + 1`` shingles; two sets that link share a shingle of both prefixes.
-3. Sets that share a prefix shingle are joined to the least of its sharers (a star, not all
-   pairs); the stars' components are closed under linking, and most sets are in none.
-   Copies leave here.
-4. Each component's sets go, once, to one task, or in blocks if there are more than
-   ``BLOCK`` of them (then every pair of blocks goes to a task). There the sets are ordered
-   anew, rarest shingles first, and parted by shared prefixes once more; what is left is
-   stored in tries; each set walks the trie, its overlap with a path shared by
-   all sets below, and leaves a subtree when the length still to come cannot reach the
-   overlap needed. Sets already known to be connected are not compared again.
+1. Every text becomes its set of 64-bit shingle hashes and, from it, its size, a 128-bit
+   digest and its *profile*: the least hashes, so many that two linked sets have a tenth of
+   their shingles in common there. Of texts with equal sets only one is compared.
+2. Profiles are counted by shingle; a set goes on only if it shares enough of its profile with
+   others to link with any of them. Documents with a shared passage or two leave here.
+3. The sets that are left are put in the order of how many sets have a shingle, rarest first. A
+   set's prefix is its first ``n - ceil(n * t) + 1`` shingles; two sets that link share a
+   shingle of both prefixes. Sets are joined to the least of a shingle's sharers (a star, not all
+   pairs), and the stars' components are closed under linking.
+4. Each component's sets go to one task, or in blocks of bounded size to several. There
+   they are ordered anew and parted by shared prefixes once more; what is left is stored in a
+   trie. Each set walks it with its overlap so far, and leaves a subtree, unread, when the
+   lengths still to come (of the subtree and of the set's own rest) cannot reach the overlap
+   needed. Sets already known to be connected are not compared again.
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing and are
 their own component; texts with fewer than five words have one shingle, their whole word
-sequence; repeated rows with one doc_id are one document; null ids count as the least
+sequence; rows with one doc_id are one document, which has the links of all its texts and the
+size of its largest set; null ids count as the least
 possible id within and come back as null.
 """
 
@@ -32,15 +31,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meridia.llm.common import MULT, code_points, materialise, maybe_in, mix64, shuffle_partitions, small, text_chunks
+from meridia.llm.common import MULT, code_points, discard, materialise, maybe_in, mix64, shuffle_partitions, small, text_chunks
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
-BLOCK = 6_000  # sets that one task holds of a component
-SKETCH_BITS = 21
-FREQUENT = 16  # times the sketch's mean count (and at least so often) makes a shingle frequent
+BLOCK_CHARS = 8_000_000  # characters of a component that one task holds
+SHARE = 10  # one in so many shingles of a set must be shared in its profile
 NONE_ID = -(2**63)
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,14 +116,6 @@ def overlap_needed(a, b):
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-def reordered(s: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
-    """A set in the global order: frequent shingles last."""
-    if frequent is None or not len(s):
-        return s
-    late = frequent[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return np.concatenate([s[~late], s[late]]) if late.any() else s
-
-
 def _digest_columns(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a sorted set."""
     if not len(s):
@@ -136,67 +126,76 @@ def _digest_columns(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def set_digests(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, d1, d2): sizes and digests of the sets."""
+def prefix_size(n, share: int = 1):
+    """How many of a set's first shingles, in any one order, hold ``share`` shingles of every set that it links with."""
+    return n - needed(n) + share
+
+
+def share_of(n: int) -> int:
+    """Shingles that a set of n and any linked set of at least its size have in common in their profiles."""
+    return max(1, n // SHARE)
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """(id, n_shingles, d1, d2, profile): sizes and digests of the sets, and each set's least hashes.
+
+    Two linked sets of a and b shingles share ``share_of(min(a, b))`` hashes of their profiles at least.
+    """
 
     def run(batches):
         for batch, texts in text_chunks(batches, limit=1_000_000):
             all_, offsets = shingles(texts)
             found = [_digest_columns(all_[a:b]) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array([d[0] for d in found], pa.int64()), pa.array([d[1] for d in found], pa.int64())], ["id", "n_shingles", "d1", "d2"])
-
-    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long")
+            n = np.diff(offsets)
+            kept = np.array([prefix_size(k, share_of(k)) if k else 0 for k in n.tolist()], np.int64)
+            place = np.arange(len(all_)) - np.repeat(offsets[:-1], n)
+            own = all_[place < np.repeat(kept, n)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array([d[0] for d in found], pa.int64()), pa.array([d[1] for d in found], pa.int64()), lists], ["id", "n_shingles", "d1", "d2", "profile"])
 
+    return rows.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, profile array<long>")
 
-def sketch_frequent(docs: DataFrame) -> np.ndarray | None:
-    """Which of the sketch's 2 ** SKETCH_BITS counters are far above their mean, over all sets of ``docs``.
 
-    Tasks add their own counters up and pass on the sketch in slices; it has a fixed size.
-    """
-    slices, width = 64, (1 << SKETCH_BITS) // 64
-
-    def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, texts in text_chunks(batches, limit=1_000_000):
-            all_, _ = shingles(texts)
-            total += np.bincount((all_ >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            rows = total.reshape(slices, width).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([r.tobytes() for r in rows])], ["slice", "counts"])
-
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[k] = held.get(k, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()])], ["slice", "counts"])
-
-    rows = docs.mapInArrow(count, "slice int, counts binary").repartition(16, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros((slices, width), np.int64)
-    for r in rows:
-        total[r["slice"]] = np.frombuffer(r["counts"], "<i8")
-    total = total.reshape(-1)
-    frequent = total > max(FREQUENT, FREQUENT * total.mean())
-    return frequent if frequent.any() else None
-
-
-def prefixes(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """(id, shingle): each set's prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)  # 2 MB
+def every_shingle(rows: DataFrame) -> DataFrame:
+    """(id, shingle) of whole sets."""
 
     def run(batches):
         for batch, texts in text_chunks(batches, limit=1_000_000):
             all_, offsets = shingles(texts)
-            parts, ids = [], []
-            for doc, a, b in zip(batch.column(0).to_pylist(), offsets, offsets[1:]):
-                if n := int(b - a):
-                    parts.append(reordered(all_[a:b], held.value)[: n - needed(n) + 1])
-                    ids.append(np.full(len(parts[-1]), doc, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(parts).view(np.int64))], ["id", "shingle"])
+            ids = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(all_.view(np.int64))], ["id", "shingle"])
+
+    return rows.mapInArrow(run, "id long, shingle long")
+
+
+def sharing(found: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id) of the sets that share enough of their profile with others to link with any; ``copies``: ids to leave out."""
+    rows = found.where("n_shingles > 0").join(copies, "id", "left_anti").select("id", F.explode("profile").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle")
+    hits = rows.join(shared, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    # the least set that links with one of n has needed(n) shingles
+    least = F.ceil(F.col("n_shingles") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))
+    enough = F.greatest(F.lit(1), F.floor(least / F.lit(SHARE)))
+    return hits.join(found.select("id", "n_shingles"), "id").where(F.col("hits") >= enough).select("id")
+
 
-    return docs.mapInArrow(run, "id long, shingle long")
+def stars(texts: DataFrame) -> DataFrame:
+    """(a, b): each set with the least id that shares a shingle of its prefix; sets are in the order of how many have a shingle.
+
+    Rarest first, a shingle that no other set has fills a place of the prefix, so passages that
+    documents share chain only those that consist of little else.
+    """
+    rows = every_shingle(texts)
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))  # within tasks: a set's rows come from one
+    listed = rows.join(common, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))  # of one text
+    lone = F.col("n") - F.size("shared")
+    least = F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))
+    room = (F.col("n") - least + 1 - lone).cast("int")
+    prefix = listed.join(sizes, "id").where(room > 0).select("id", F.explode(F.slice("shared", F.lit(1), room)).alias("s")).select("id", "s.shingle")
+    prefix = materialise(prefix, "prefixes")
+    heads = prefix.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("shingle", "a")
+    return prefix.join(heads, "shingle").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -208,10 +207,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u <> v").distinct(), "large")
+        old = e
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = materialise(small.where("u <> v").distinct(), "small")
+        discard(old, large)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == sums:
             break
@@ -222,85 +223,95 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 class Trie:
-    """Sets in the global order, as a radix tree in arrays: a node is a run of shingles shared by all sets below.
+    """Sets in one order, as a radix tree in arrays: a node is a run of codes shared by all sets below.
 
-    Runs lie one after another in ``flat`` (as positions in ``codes``), nodes by level, so that a
-    probe's overlap with every run is one sum, and its overlap with a path is carried from
-    parent to child, level by level.
+    ``sets`` are sorted codes, ``sizes`` count the shingles that no other set has too. Nodes are
+    numbered by level and a node's children are neighbours, so a walk keeps a frontier of live
+    nodes, and below a node that is given up nothing is read.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        self.codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        self.sets = np.split(flat, np.cumsum(self.sizes)[:-1])
-        keys = [s.astype(">u4").tobytes() for s in self.sets]
-        ranked = sorted(range(len(sets)), key=keys.__getitem__)
-        self.node_of = np.zeros(len(sets), np.int64)
-        parents, runs, lows, highs, level = [], [], [], [], [(0, len(ranked), 0, -1)]
-        self.levels: list[slice] = []
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.sets, self.sizes = sets, sizes
+        keys = [s.astype(">u4").tobytes() for s in sets]
+        self.ranked = np.array(sorted(range(len(sets)), key=keys.__getitem__))
+        lengths = np.array([len(s) for s in sets])
+        nodes, runs, level = [], [], [(0, len(sets), 0)]
         while level:
-            following, begun = [], len(parents)
-            for lo, hi, depth, parent in level:
-                one, other = self.sets[ranked[lo]], self.sets[ranked[hi - 1]]
+            following = []
+            base = len(nodes) + len(level)  # the number of the next level's first node
+            for lo, hi, depth in level:
+                one, other = sets[self.ranked[lo]], sets[self.ranked[hi - 1]]
                 n = min(len(one), len(other))
                 unlike = np.flatnonzero(one[depth:n] != other[depth:n])
-                end, node, mid = depth + int(unlike[0]) if len(unlike) else n, len(parents), lo
-                sizes = self.sizes[ranked[lo:hi]]
-                parents.append(parent), runs.append(one[depth:end]), lows.append(sizes.min()), highs.append(sizes.max())
-                while mid < hi and self.sizes[ranked[mid]] == end:
-                    self.node_of[ranked[mid]] = node
+                end, mid = depth + int(unlike[0]) if len(unlike) else n, lo
+                below = self.ranked[lo:hi]
+                while mid < hi and lengths[self.ranked[mid]] == end:
                     mid += 1
+                born = base + len(following)
                 if mid < hi:
-                    heads = np.array([self.sets[k][end] for k in ranked[mid:hi]])
+                    heads = np.array([sets[k][end] for k in self.ranked[mid:hi]])
                     cuts = np.append(np.flatnonzero(np.append(True, heads[1:] != heads[:-1])), hi - mid) + mid
-                    following += [(int(x), int(y), end, node) for x, y in zip(cuts, cuts[1:])]
-            self.levels.append(slice(begun, len(parents)))
+                    following += [(int(x), int(y), end) for x, y in zip(cuts, cuts[1:])]
+                run = one[depth:end]
+                runs.append(run)
+                nodes.append((sizes[below].min(), sizes[below].max(), lengths[below].max(), depth, end, lo, mid, born, base + len(following), run[0] if len(run) else 0, run[-1] if len(run) else -1))
             level = following
-        self.parent, self.low, self.high = np.array(parents), np.array(lows), np.array(highs)
-        ends = np.cumsum([len(r) for r in runs])
-        self.ends, self.starts = ends, ends - [len(r) for r in runs]
-        self.depth = self.starts * 0
-        for at in self.levels:
-            above = np.where(self.parent[at] >= 0, self.depth[self.parent[at]], 0)
-            self.depth[at] = above + self.ends[at] - self.starts[at]
+        self.low, self.high, self.reach, self.depth, self.end, self.sets_from, self.sets_to, self.born, self.bred, self.first, self.last = np.array(nodes).T
+        self.starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
         self.flat = np.concatenate(runs)
+        self.read = 0  # codes that walks have looked at
 
     def links(self, i: int) -> np.ndarray:
         """The sets that link with set i (itself among them)."""
-        size = int(self.sizes[i])
-        least, most = needed(size), size * DENOMINATOR // NUMERATOR
-        member = np.zeros(len(self.codes), np.int32)
-        member[self.sets[i]] = 1
-        sums = np.concatenate([[0], np.cumsum(member[self.flat])])
-        overlap = sums[self.ends] - sums[self.starts]
-        alive = (self.high >= least) & (self.low <= most)
-        wanted = overlap_needed(size, np.maximum(self.low, least))
-        for at in self.levels[:1]:  # the root has no parent
-            alive[at] &= overlap[at] + np.minimum(self.high[at] - self.depth[at], size - overlap[at]) >= wanted[at]
-        for at in self.levels[1:]:
-            up = self.parent[at]
-            overlap[at] += overlap[up]
-            # what is still to come below, and what the probe has left, bound the overlap
-            alive[at] &= alive[up] & (overlap[at] + np.minimum(self.high[at] - self.depth[at], size - overlap[at]) >= wanted[at])
-            if not alive[at].any():
-                alive[at.stop :] = False
+        probe, size = self.sets[i], int(self.sizes[i])
+        least, most, n = needed(size), size * DENOMINATOR // NUMERATOR, len(probe)
+        node, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        while len(node):
+            # what is still to come below, and what the probe has left from here on, bound the overlap
+            left = n - np.searchsorted(probe, self.first[node])
+            wanted = overlap_needed(size, np.maximum(self.low[node], least))
+            live = (self.high[node] >= least) & (self.low[node] <= most) & (overlap + np.minimum(self.reach[node] - self.depth[node], left) >= wanted)
+            node, overlap, wanted = node[live], overlap[live], wanted[live]
+            if not len(node):
                 break
-        found = overlap[self.node_of]
-        return np.flatnonzero(alive[self.node_of] & (self.sizes >= least) & (self.sizes <= most) & (found >= overlap_needed(size, self.sizes)))
+            lengths = self.end[node] - self.depth[node]
+            ends = np.cumsum(lengths)
+            codes = self.flat[_ranges(self.starts[node], lengths)]
+            self.read += len(codes)
+            at = np.searchsorted(probe, codes)
+            hits = np.concatenate([[0], np.cumsum(probe[np.minimum(at, n - 1)] == codes)])
+            overlap = overlap + hits[ends] - hits[ends - lengths]
+            here = self.sets_to[node] - self.sets_from[node]
+            done = self.ranked[_ranges(self.sets_from[node], here)]
+            found.append(done[np.repeat(overlap, here) >= overlap_needed(size, self.sizes[done])])
+            left = n - np.searchsorted(probe, self.last[node], "right")
+            live = overlap + np.minimum(self.reach[node] - self.end[node], left) >= wanted
+            children = (self.bred[node] - self.born[node]) * live
+            node, overlap = _ranges(self.born[node], children), np.repeat(overlap, children)
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
 def narrowed(codes: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[list[int]]]:
-    """Sets held together in the order of their own document frequencies, and the groups within which links can be.
+    """Sets held together, as codes in the order of how many sets have them, and the groups within which links can be.
 
-    ``codes``: the sets one after another, as numbers. Rarest first is a total order too, and
-    a sharp one: a shingle that no other set here has fills a place of the prefix.
+    ``codes``: the sets one after another, as numbers. Codes that no other set has fill the first
+    places of the prefix and are left out of the sets then.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     df = np.bincount(codes)
-    order = np.lexsort((codes, df[codes], owner))
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    lone = int((df == 1).sum())
+    codes = rank[codes]
+    order = np.lexsort((codes, owner))
     codes = codes[order]  # owner is in order already
     place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    prefix = (place < (sizes + NUMERATOR * -sizes // DENOMINATOR + 1)[owner]) & (df[codes] > 1)
+    prefix = (place < prefix_size(sizes)[owner]) & (codes >= lone)
     marks, at = codes[prefix], owner[prefix]
     by = np.lexsort((at, marks))
     marks, at = marks[by], at[by]
@@ -322,32 +333,39 @@ def narrowed(codes: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], li
     groups: dict[int, list[int]] = {}
     for i in range(len(sizes)):
         groups.setdefault(find(i), []).append(i)
-    return np.split(codes, np.cumsum(sizes)[:-1]), [g for g in groups.values() if len(g) > 1]
+    kept = codes >= lone
+    cuts = np.cumsum(np.bincount(owner[kept], minlength=len(sizes)))[:-1]
+    return np.split(codes[kept].astype(np.int32), cuts), [g for g in groups.values() if len(g) > 1]
 
 
-def link_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets``, group by group of those that can link at all."""
+def link_sets(ids: list[int], sets: list[np.ndarray], labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of ``sets``, group by group of those that can link at all.
+
+    Sets with equal ``labels`` are connected already.
+    """
     sizes = np.array([len(s) for s in sets])
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     ordered, groups = narrowed(codes, sizes)
-    return [x for g in groups for x in link_group([ids[i] for i in g], [ordered[i] for i in g])]
+    named = np.unique(labels, return_inverse=True)[1] if labels is not None else np.arange(len(sets))
+    return [x for g in groups for x in link_group([ids[i] for i in g], [ordered[i] for i in g], sizes[g], named[g])]
 
 
-def link_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def link_group(ids: list[int], sets: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
     """Links that span the components of a group.
 
-    Sets whose shingles are the most common walk the trie first, as the middle of a group of
+    Sets whose codes are the most common walk the trie first, as the middle of a group of
     copies connects it at once; a set is passed over once all sets of fitting size are
     connected with it.
     """
-    trie = Trie(sets)
-    counts = np.bincount(np.concatenate(trie.sets), minlength=len(trie.codes))
-    common = np.array([counts[s].mean() for s in trie.sets])
-    own = np.arange(len(sets))
-    out = []
+    own, out = labels.copy(), []
+    if (own == own[0]).all():
+        return out
+    trie = Trie(sets, sizes)
+    counts = np.bincount(np.concatenate(sets))
+    common = np.array([counts[s].sum() for s in sets]) / sizes
     for i in np.argsort(-common, kind="stable"):
-        size = int(trie.sizes[i])
-        fitting = (trie.sizes >= needed(size)) & (trie.sizes <= size * DENOMINATOR // NUMERATOR)
+        size = int(sizes[i])
+        fitting = (sizes >= needed(size)) & (sizes <= size * DENOMINATOR // NUMERATOR)
         if (own[fitting] == own[i]).all():
             continue
         for j in trie.links(int(i)):
@@ -357,74 +375,124 @@ def link_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def linked(docs: DataFrame, candidates: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that span the components of the link graph. ``candidates``: (id, component)."""
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    placed = candidates.join(sizes, "component").withColumn("blocks", blocks)
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # with one block: one task; with more: every pair of blocks, a block's own pairs within the pair (k, k)
-    pairs = F.when(F.col("blocks") == 1, F.array(F.lit("0-0"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws("-", F.least(o, F.col("mine")), F.greatest(o, F.col("mine"))))
-    )
-    placed = placed.select("id", "component", F.explode(pairs).alias("pair"))
-    placed = materialise(placed, "placed")
-    rows = maybe_in(docs, "id", placed).join(placed, "id").select("component", "pair", "id", "text")
-    n = shuffle_partitions(docs.sparkSession)
+def sets_of(texts: list[str], limit: int = 500_000) -> list[np.ndarray]:
+    """The sets of many texts; the arrays behind them take 60 bytes a character, so they are made ``limit`` characters at a time."""
+    sets, chunk, size = [], [], 0
+    for k, t in enumerate(texts):
+        chunk.append(t)
+        size += len(t)
+        if size > limit or k == len(texts) - 1:
+            all_, offsets = shingles(chunk)
+            sets += [all_[a:b] for a, b in zip(offsets, offsets[1:])]
+            chunk, size = [], 0
+    return sets
+
+
+def joined_blocks(rows: DataFrame, block_chars: int) -> DataFrame:
+    """(a, b): links that span the labels within each (component, block); ``rows``: component, block, probe, id, label, text.
+
+    A task holds one block's members and as many probes at once; probes pass by.
+    """
 
     def run(batches):
-        key, ids, texts = None, [], []
-
-        def done():
-            if len(ids) > 1:
-                sets = []
-                chunk, size = [], 0
-                for k, t in enumerate(texts):
-                    chunk.append(t)
-                    size += len(t)
-                    if size > 500_000 or k == len(texts) - 1:  # the arrays behind shingles take 60 bytes a character
-                        all_, offsets = shingles(chunk)
-                        sets += [all_[a:b] for a, b in zip(offsets, offsets[1:])]
-                        chunk, size = [], 0
-                texts.clear()
-                yield from link_sets(ids, sets)
-
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-        for b in batches:
-            for component, pair, doc, text in zip(*(c.to_pylist() for c in b.columns)):
-                if (component, pair) != key:
-                    if found := list(done()):
-                        yield batch_of(found)
-                    key, ids, texts = (component, pair), [], []
-                ids.append(doc)
-                texts.append(text or "")
-        if found := list(done()):
-            yield batch_of(found)
-
-    return rows.repartition(n, "component", "pair").sortWithinPartitions("component", "pair", "id").mapInArrow(run, "a long, b long")
-
-
-def components_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(_id, n_shingles, component_id): one row per document id."""
+        key, members, probes, size = None, [], [], 0
+
+        def compare():
+            both = members + probes
+            probes.clear()
+            if len(both) < 2:
+                return
+            found = link_sets([r[0] for r in both], sets_of([r[2] for r in both]), [r[1] for r in both])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        waiting = False
+        for batch in batches:
+            for component, block, probe, doc, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (component, block) != key:
+                    if waiting:
+                        yield from compare()
+                    key, size, waiting = (component, block), 0, False
+                    members.clear()
+                (probes if probe else members).append((doc, label, text or ""))
+                waiting = True
+                size += len(text or "") if probe else 0
+                if size > block_chars:
+                    yield from compare()
+                    size, waiting = 0, False
+        if waiting:
+            yield from compare()
+
+    placed = rows.select("component", "block", "probe", "id", "label", "text")
+    n = shuffle_partitions(rows.sparkSession)
+    return placed.repartition(n, "component", "block").sortWithinPartitions("component", "block", "probe", "id").mapInArrow(run, "a long, b long")
+
+
+def linked(texts: DataFrame, candidates: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(a, b): links that span the components of the link graph. ``texts``: stored (id, text); ``candidates``: (id, component).
+
+    A component of up to ``block_chars`` characters is joined by one task. A larger one is dealt into
+    blocks by a hash: each block is joined in itself and with a few hubs of the component, which
+    connects groups of copies; then the documents that are not connected with most of the
+    component visit every block. So a block is bounded in bytes, and rows grow with the documents
+    that are like the others but linked with few.
+    """
+    placed = texts.select("id", F.length("text").alias("chars")).join(candidates, "id")
+    sizes = placed.groupBy("component").agg(F.sum(F.col("chars") + 1).alias("chars"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.select("component", F.ceil(F.col("chars") / F.lit(block_chars)).cast("int").alias("blocks"))
+    hashed = F.xxhash64("id")
+    placed = materialise(placed.select("id", "component").join(sizes, "component").withColumn("block", F.pmod(hashed, F.col("blocks")).cast("int")), "placed")
+    many = placed.where("blocks > 1")
+    hubs = many.groupBy("component", "blocks").agg(F.min_by(F.struct("id", "block"), hashed).alias("h"), F.max_by(F.struct("id", "block"), hashed).alias("g"))
+    hubs = hubs.select("component", "blocks", F.explode(F.array("h", "g")).alias("h")).select("component", F.col("h.id").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("h.block").alias("own"))
+    hubs = hubs.where("block <> own").drop("own")
+    own = placed.select("component", "id", "block").unionByName(hubs).withColumns({"probe": F.lit(0), "label": F.col("id")})
+    inner = joined_blocks(own.join(texts, "id"), block_chars)
+    if many.isEmpty():
+        return inner
+    inner = materialise(inner, "inner")
+    label = F.coalesce("top", "id")
+    labelled = many.join(components(inner).withColumnRenamed("component", "top"), "id", "left").select("id", "component", "blocks", "block", label.alias("label"))
+    labelled = materialise(labelled, "labelled")
+    most = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    apart = labelled.join(most, "component").where("label <> main")
+    visits = apart.select("component", "id", "label", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> own").drop("own")
+    rows = labelled.select("component", "id", "label", "block").withColumn("probe", F.lit(0)).unionByName(visits.withColumn("probe", F.lit(1)))
+    return inner.unionByName(joined_blocks(rows.join(texts, "id"), block_chars))
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with an id of its own for each row, and (id, doc) of documents with several rows.
+
+    Where doc_id is unique it is the row's id. Else different texts of one doc_id become rows of a stored table.
+    """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE_ID)).alias("id"), "text")
-    sets = materialise(set_digests(keyed), "sets")
-    # a class of equal sets: its least id stands for it; empty sets stand alone
-    own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.lit(0))
-    classed = sets.groupBy("d1", "d2", "n_shingles", own.alias("alone")).agg(F.min("id").alias("rep"))
-    members = materialise(sets.withColumn("alone", own).join(classed, ["d1", "d2", "n_shingles", "alone"]).select("id", "rep", "n_shingles"), "members")
-    reps = members.where("n_shingles > 0").select(F.col("rep").alias("id")).distinct()
-    frequent = sketch_frequent(keyed)
-    by_shingle = Window.partitionBy("shingle").orderBy("id")  # a running frame: no group is held
-    stars = prefixes(keyed, frequent).select("id", F.first("id").over(by_shingle).alias("a")).where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    candidates = components(stars).join(reps, "id", "left_semi")
-    links = linked(keyed, materialise(candidates, "candidates"), block)
-    same_id = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))  # an id with two texts joins two classes
-    found = materialise(links.unionByName(same_id), "links")
-    top = components(found).withColumnRenamed("component", "top")
-    per_id = sets.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
-    return per_id.join(top, "id", "left").select(F.col("id").alias("_id"), "n_shingles", F.coalesce("top", "id").alias("component_id"))
+    if keyed.groupBy("id").count().where("count > 1").isEmpty():
+        return keyed, None
+    rows = keyed.distinct().select(F.col("id").alias("doc"), "text")
+    rows = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    return rows.select("id", "text"), rows.select("id", "doc")
+
+
+def components_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(_id, n_shingles, component_id): one row per document id."""
+    rows, owners = with_rows(docs)
+    found = materialise(profiles(rows), "profiles")
+    # a class of equal sets: its least id stands for it; empty sets are in none
+    filled = found.where("n_shingles > 0").select("id", "n_shingles", "d1", "d2")
+    classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialise(filled.join(classes, ["d1", "d2", "n_shingles"]).where("id <> rep").select("id", "rep"), "copies")
+    few = materialise(sharing(found, small(copies.select("id"))), "sharing")
+    texts = materialise(maybe_in(rows, "id", few).join(small(few), "id", "left_semi"), "texts")
+    candidates = components(stars(texts))
+    sizes = found.select("id", "n_shingles")
+    links = linked(texts, materialise(candidates, "candidates"), block_chars).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    if owners is not None:
+        a, b = owners.select(F.col("id").alias("a"), F.col("doc").alias("x")), owners.select(F.col("id").alias("b"), F.col("doc").alias("y"))
+        links = links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        sizes = sizes.join(owners, "id").groupBy(F.col("doc").alias("id")).agg(F.max("n_shingles").alias("n_shingles"))
+    top = components(links).withColumnRenamed("component", "top")
+    return sizes.join(top, "id", "left").select(F.col("id").alias("_id"), "n_shingles", F.coalesce("top", "id").alias("component_id"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

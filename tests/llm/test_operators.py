@@ -127,11 +127,37 @@ def test_components_equal_brute_force(spark, documents, odd, nothing):
     rows = jaccard.query(spark, docs).collect()
     assert len(rows) == docs.count()
     assert all(back(want[jaccard.NONE_ID if r.doc_id is None else r.doc_id]) == r.component_id for r in rows)
-    blocks = {r._id: r.component_id for r in jaccard.components_of(docs, block=16).collect()}
+    blocks = {r._id: r.component_id for r in jaccard.components_of(docs, block_chars=20_000).collect()}
     assert blocks == want
     assert jaccard.query(spark, nothing).count() == 0
 
 
+def test_rows_with_one_id_and_odd_columns(spark, odd):
+    docs = odd.select("doc_id", "text")
+    want = brute_components([(r.doc_id, r.text) for r in docs.collect()])
+    back = lambda x: None if x == jaccard.NONE_ID else x
+    rows = jaccard.query(spark, docs).collect()
+    assert len(rows) == docs.count() and all(back(want[jaccard.NONE_ID if r.doc_id is None else r.doc_id]) == r.component_id for r in rows)
+    kept = jaccard.stage(odd)
+    assert kept.columns == odd.columns and sorted(r.text or "" for r in kept.collect()) == sorted(r.text or "" for r in odd.where("doc_id IS NULL OR doc_id <> 11").collect())
+
+
+def test_trie_leaves_pruned_subtrees_unread():
+    """Walks of groups of random sets read a share of the trie that falls as groups are added."""
+    rng, reads = np.random.default_rng(1), []
+    for groups in (20, 40, 80):
+        pool = [np.sort(rng.choice(500_000, 100, False)) for _ in range(groups)]
+        sets = [np.unique(np.concatenate([g[rng.permutation(100)[:95]], [0, 1, 2]])).astype(np.int32) for g in pool for _ in range(5)]
+        sizes = np.array([len(s) for s in sets])
+        trie = jaccard.Trie(sets, sizes)
+        plain = [set(s.tolist()) for s in sets]
+        for i in range(0, len(sets), 7):
+            want = {j for j in range(len(sets)) if 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])}
+            assert set(trie.links(i).tolist()) == want
+        reads.append(trie.read / len(range(0, len(sets), 7)) / sum(sizes))
+    assert reads[2] < 0.5
+
+
 def test_link_sets_in_blocks_of_random_sets():
     rng = np.random.default_rng(0)
     for _ in range(20):
