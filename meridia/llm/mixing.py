@@ -10,18 +10,20 @@ being kept is its cell's weight over the largest weight, so that all of the cell
 largest weight stays; documents are sampled by a hash of their id, so a run repeats.
 
 Targets by default temper the corpus' own margins: a share in proportion to the tokens to
-the power ``TEMPER``, in the stage ``STAGE_TEMPER`` (1 leaves the mixture as it is, 0 makes
-all parts equal). Explicit
+the power ``TEMPER`` (1 leaves the mixture as it is, 0 makes all parts equal). Explicit
 targets may be given for any margin; parts without a target keep none of their weight.
+``margins`` reports what shares the weights reach.
 
-Cells are aggregated with partial sums before any shuffle, so a source with a third of all
-rows costs a row a task and cell. Raking runs over the cells only, and as DataFrame
-windows; the driver gets one number, the largest error, each three rounds.
+Texts are read once: their topics and tokens are stored with the documents' ids (the stage
+stores the documents with them), and cells and sampling read that table. Cells are aggregated
+with partial sums before any shuffle, so a source with a third of all rows costs a row a task
+and cell. Raking runs over the cells only, and as DataFrame windows; the driver gets one
+number, the largest error, each three rounds.
 
 Edge cases: null source, language or text count as '', '' and no tokens; documents without
 tokens follow their cell; a cell without tokens has weight 1; repeated rows with one
-doc_id are kept or dropped together; an empty table gives no rows; columns of the input
-that clash with those added are replaced.
+doc_id are kept or dropped together; an empty table gives no rows; ``mix`` replaces columns of
+the input that clash with those it adds, the stage returns the input's own columns.
 """
 
 from __future__ import annotations
@@ -34,35 +36,50 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from meridia.llm.common import materialise, small, sql_unit
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS = 6
-TEMPER = 0.97
-STAGE_TEMPER = 0.9
+ROUNDS = 9
+TEMPER = 0.9
 TOLERANCE = 1e-6
 
 # Topics by the plainest sign of a text's form, first match wins.
 TOPICS = (("tabular", "|", 20), ("promotional", "!", 20), ("symbolic", "&", 40), ("numeric", "0", 400))
 
 
+def _less(text, part: str, by: str = ""):
+    return F.replace(text, F.lit(part), F.lit(by))
+
+
 def topic_of(text):
     """A coarse topic: a text with at least one sign in so many characters has the sign's topic, else 'prose'."""
     text = F.coalesce(text, F.lit(""))
     out = F.lit("prose")
     for name, sign, one_in in reversed(TOPICS):
-        n = F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+        n = F.octet_length(text) - F.octet_length(_less(text, sign))  # signs are of one byte
         out = F.when(n * one_in > F.length(text), F.lit(name)).otherwise(out)
     return out
 
 
 def tokens_of(text):
-    """White-space separated tokens, counted without splitting."""
-    text = F.trim(F.translate(F.coalesce(text, F.lit("")), "\n\t\r\f\x0b", "     "))
-    squeezed = F.regexp_replace(text, "  +", " ")
-    return F.when(text == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """White-space separated tokens, counted without splitting; plain replacements squeeze all but the longest runs."""
+    text = F.coalesce(text, F.lit(""))
+    for c in "\n\t\r\f\x0b":
+        text = _less(text, c, " ")
+    for run in (8, 4, 2, 2):
+        text = _less(text, " " * run, " ")
+    text = F.trim(text)
+    text = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, "  +", " ")).otherwise(text)
+    return F.when(text == "", F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(_less(text, " ")) + 1).cast("long")
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    keyed = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source", "lang")], topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
-    return keyed.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+def keyed(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """``docs`` with source, lang, topic and tokens as the cells have them; ``prefix`` parts their names from the input's."""
+    text = F.col("text")
+    return docs.withColumns({f"{prefix}source": F.coalesce("source", F.lit("")), f"{prefix}lang": F.coalesce("lang", F.lit("")), f"{prefix}topic": topic_of(text), f"{prefix}tokens": tokens_of(text)})
+
+
+def cells_of(counted: DataFrame, prefix: str = "") -> DataFrame:
+    """(source, lang, topic, tokens, docs) of a frame that ``keyed`` made."""
+    cells = counted.groupBy(*[F.col(f"{prefix}{m}").alias(m) for m in MARGINS])
+    return cells.agg(F.sum(f"{prefix}tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
 def targets_of(cells: DataFrame, margin: str, temper: float = TEMPER) -> DataFrame:
@@ -104,21 +121,41 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     return raked
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, tolerance: float | None = None) -> DataFrame:
-    """``docs`` with topic, tokens, weight, probability and kept."""
-    cells = materialise(cells_of(docs), "cells")
-    raked = rake(cells, targets, rounds, temper, tolerance)
+def margins(raked: DataFrame) -> DataFrame:
+    """(margin, part, target, reached): a row a part of each margin."""
+    share = F.sum(F.col("tokens") * F.col("weight")) / F.when(F.max("_total") > 0, F.max("_total"))
+    return reduce(DataFrame.union, [raked.groupBy(F.col(m).alias("part")).agg(F.max(f"target_{m}").alias("target"), share.alias("reached")).select(F.lit(m).alias("margin"), "part", "target", "reached") for m in MARGINS])
+
+
+def chances_of(raked: DataFrame) -> DataFrame:
+    """(source, lang, topic, weight, probability) of the cells."""
     top = raked.where("tokens > 0").agg(F.max("weight").alias("_top"))
-    chances = raked.join(F.broadcast(top)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("weight").alias("weight"), F.round(F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.col("weight") / F.col("_top")).otherwise(F.lit(1.0))), 9).alias("probability"))
-    own = docs.drop("topic", "tokens", "weight", "probability", "kept", "_source", "_lang", "_topic")
-    keyed = own.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))})
-    chances = small(materialise(chances, "chances"), 100_000)
-    joined = keyed.join(chances, ["_source", "_lang", "_topic"], "left").withColumnRenamed("_topic", "topic").drop("_source", "_lang")
-    return joined.withColumn("kept", sql_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("probability"))
+    p = F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.col("weight") / F.col("_top")).otherwise(F.lit(1.0)))
+    return raked.join(F.broadcast(top)).select(*MARGINS, "weight", F.round(p, 9).alias("probability"))  # one row is broadcast
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    return mix(docs, temper=STAGE_TEMPER, tolerance=TOLERANCE).where("kept").select(*docs.columns)
+def _sampled(counted: DataFrame, raked: DataFrame, prefix: str) -> DataFrame:
+    """``counted`` with weight, probability and kept, all named with ``prefix``."""
+    chances = small(materialise(chances_of(raked), "chances")).select(*[F.col(m).alias(f"{prefix}{m}") for m in MARGINS], F.col("weight").alias(f"{prefix}weight"), F.col("probability").alias(f"{prefix}probability"))
+    unit = sql_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return counted.join(chances, [f"{prefix}{m}" for m in MARGINS], "left").withColumn(f"{prefix}kept", unit < F.col(f"{prefix}probability"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, tolerance: float | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, weight, probability, kept), a row a document; source and lang are never null."""
+    counted = materialise(keyed(docs.select("doc_id", "source", "lang", "text")).drop("text"), "counted")
+    raked = rake(materialise(cells_of(counted), "cells"), targets, rounds, temper, tolerance)
+    return _sampled(counted, raked, "").select("doc_id", *MARGINS, "tokens", "weight", "probability", "kept")
+
+
+def stage(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, tolerance: float = TOLERANCE) -> DataFrame:
+    """The sampled rows of ``docs``, with all its columns."""
+    prefix = "_mix_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    counted = materialise(keyed(docs, prefix), "counted")
+    raked = rake(materialise(cells_of(counted, prefix), "cells"), targets, temper=temper, tolerance=tolerance)
+    return _sampled(counted, raked, prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -250,17 +250,29 @@ def test_mixing_meets_margins(spark, documents, odd, nothing):
 def test_stage_meets_its_own_targets(spark, documents):
     hot = documents.where("doc_id % 3 = 0").withColumn("source", F.lit("hot"))
     docs = documents.where("doc_id % 3 <> 0").unionByName(hot)
-    mixed = mixing.mix(docs, temper=mixing.STAGE_TEMPER, tolerance=mixing.TOLERANCE).toPandas().fillna({"source": "", "lang": ""})
+    mixed = mixing.mix(docs, temper=mixing.TEMPER, tolerance=mixing.TOLERANCE).toPandas().fillna({"source": "", "lang": ""})
     w = mixed.tokens * mixed.weight
     for m in mixing.MARGINS:
         own = mixed.groupby(m).tokens.sum()
-        share = own**mixing.STAGE_TEMPER
+        share = own**mixing.TEMPER
         assert abs(w.groupby(mixed[m]).sum() / w.sum() - share / share.sum()).max() < 2 * mixing.TOLERANCE
     before = mixed.tokens[mixed.source == "hot"].sum() / mixed.tokens.sum()
     assert w[mixed.source == "hot"].sum() / w.sum() < before - 0.02
     assert sorted(r.doc_id for r in mixing.stage(docs).select("doc_id").collect()) == sorted(mixed.doc_id[mixed.kept])
 
 
+def test_production_parameters_rake_and_keep_columns(spark, documents, odd, nothing):
+    raked = mixing.rake(mixing.cells_of(mixing.keyed(documents)))
+    assert mixing.margin_error(raked) < mixing.TOLERANCE
+    reached = mixing.margins(raked).toPandas()
+    assert abs(reached.target - reached.reached).max() < mixing.TOLERANCE and set(reached.margin) == set(mixing.MARGINS)
+    clashing = odd.withColumns({c: F.lit("own") for c in ("topic", "tokens", "weight", "probability", "kept", "_mix_topic", "_source")})
+    kept = mixing.stage(clashing, temper=1.0)
+    assert kept.columns == clashing.columns and kept.count() > 0
+    assert {tuple(r) for r in kept.select("topic", "tokens", "weight", "probability", "kept", "_mix_topic", "_source").collect()} == {("own",) * 7}
+    assert mixing.stage(nothing).count() == 0
+
+
 def test_raking_ends_where_targets_clash(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10, 1), ("b", "y", "t", 10, 1)], "source string, lang string, topic string, tokens long, docs long")
     share = lambda m, p, q, n: spark.createDataFrame([(p, n), (q, 1 - n)], f"{m} string, target_{m} double")
