@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 from array import array
 
@@ -31,7 +33,7 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SPECIAL = "<|endoftext|>"
-GROUP_ROWS = 20_000  # pieces of one length ranked by one task
+GROUP_ROWS = 1_000  # pieces of one length that are ranked together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Words in the tokenizer's own sense, the commonest kinds first (no other kind can start as they do).
@@ -69,16 +71,24 @@ class Encoder:
         return [b"".join(map(cache.__getitem__, w)) if p else self.whole(t) for t, w, p in zip(texts, words, plain)]
 
 
+def encoder(path: str) -> Encoder:
+    """The process' encoder for a tokenizer file; tasks that a worker runs one after another share its words."""
+    held = sys.modules.setdefault("meridia_encoders", types.ModuleType("meridia_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: its document, number, start, length and CRC-32 of its ids."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch, texts in text_chunks(batches, limit=1_000_000):
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(texts)):
                 ids = ids + END_ID.to_bytes(4, "little")
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
@@ -163,9 +173,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     keys = table[:, 0] * top + table[:, 1]
     order = np.argsort(keys, kind="stable")
     keys, table = keys[order], table[order]
-    groups = max(1, -(-top // group_rows))
 
-    salted = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    # each length has as many groups as it needs, so a length with a third of all pieces is spread like the rest
+    shares = pieces.sparkSession.createDataFrame([(k, -(-n // group_rows)) for k, n in counts.items()], "length long, _groups long")
+    salted = pieces.join(F.broadcast(shares), "length")  # at most `capacity` rows are broadcast
+    salted = salted.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_groups")).cast("int")).drop("_groups")
     sizes = salted.groupBy("length", "_g").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32")) - 1)
