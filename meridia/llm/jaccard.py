@@ -481,6 +481,7 @@ def components_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     # a class of equal sets: its least id stands for it; empty sets are in none
     filled = found.where("n_shingles > 0").select("id", "n_shingles", "d1", "d2")
     classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = small(materialise(classes, "classes"))
     copies = materialise(filled.join(classes, ["d1", "d2", "n_shingles"]).where("id <> rep").select("id", "rep"), "copies")
     few = materialise(sharing(found, small(copies.select("id"))), "sharing")
     texts = materialise(maybe_in(rows, "id", few).join(small(few), "id", "left_semi"), "texts")
