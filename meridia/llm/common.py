@@ -63,17 +63,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def text_chunks(batches, column: str = "text", limit: int = 4_000_000):
-    """(batch slice, list of texts) pairs of at most about ``limit`` characters; null is empty."""
+    """(batch slice, list of texts) pairs of at most about ``limit`` characters; null is empty.
+
+    Only the texts of one chunk are Python strings at a time. At the end of a task the worker's
+    free memory goes back to the system, as the worker stays for other operators' tasks.
+    """
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        cells = batch.column(batch.schema.get_field_index(column))
+        start, size, texts = 0, 0, []
+        for i in range(0, len(cells), 64):
+            for t in cells.slice(i, 64).to_pylist():
+                t = t or ""
+                if size and size + len(t) > limit:
+                    yield batch.slice(start, len(texts)), texts
+                    start, size, texts = start + len(texts), 0, []
+                texts.append(t)
+                size += len(t)
+        if texts:
+            yield batch.slice(start), texts
+    release()
+
+
+def release() -> None:
+    """Give free memory of this process back to the system where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # no such function here
 
 
 def maybe_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 20) -> DataFrame:

@@ -33,6 +33,7 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SPECIAL = "<|endoftext|>"
+CACHED = 250_000  # words that make a generation of the encoder's cache
 GROUP_ROWS = 1_000  # pieces of one length that are ranked together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -45,15 +46,17 @@ UNUSUAL = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿Ͱ-ͳͶ
 
 
 class Encoder:
-    """Token ids as little-endian uint32 bytes, with a cache of words.
+    """Token ids as little-endian uint32 bytes, with a cache of words in two generations.
 
-    Byte-level BPE never merges across words, so a text's ids are its words' ids in turn.
+    Byte-level BPE never merges across words, so a text's ids are its words' ids in turn. When
+    the younger generation has ``cached`` words it becomes the elder and the elder goes; words
+    in use move over, so common words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
+        self.tokenizer, self.cached, self.young, self.elder = Tokenizer.from_file(path), cached, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,10 +65,13 @@ class Encoder:
         """Ids of each text. Words new to the cache are encoded together first."""
         plain = [SPECIAL not in t and (t.isascii() or not UNUSUAL.search(t)) for t in texts]
         words = [(ASCII_WORDS if t.isascii() else WORDS).findall(t) if p else () for t, p in zip(texts, plain)]
-        cache = self.cache
-        if len(cache) > self.cached:
-            cache.clear()
-        new = list(set().union(*words).difference(cache))
+        if len(self.young) > self.cached:
+            self.young, self.elder = {}, self.young
+        cache, elder = self.young, self.elder
+        new = set().union(*words).difference(cache)
+        known = new & elder.keys()
+        cache.update((w, elder[w]) for w in known)
+        new = list(new - known)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             cache[w] = array("I", e.ids).tobytes()
         return [b"".join(map(cache.__getitem__, w)) if p else self.whole(t) for t, w, p in zip(texts, words, plain)]
