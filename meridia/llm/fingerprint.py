@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meridia.llm.common import MULT, code_points, mix64, shuffle_partitions
 
 BINS = 64
-LEVELS = 12
 EMPTY = 0xFFFF
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -102,15 +101,15 @@ def sketches(texts: list[str]) -> np.ndarray:
     least = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, np.uint64)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
     symbols = points.astype(np.uint64)
-    for level in range(1, LEVELS + 1):
+    level = 0
+    while len(symbols):  # a level has fewer symbols than the one before; the last phrase of a text leaves
+        level += 1
         symbols, owner = parse_level(symbols, owner)
         more = np.bincount(owner, minlength=len(texts)) > 1  # a text that is one phrase is done
         going_on = more[owner]
         named = ~going_on if level == 1 else slice(None)  # at level one, of texts that have no higher level
         np.minimum.at(least, owner[named] * BINS + (symbols[named] >> np.uint64(58)).astype(np.int64), symbols[named] & np.uint64((1 << 58) - 1))
         symbols, owner = symbols[going_on], owner[going_on]
-        if not len(symbols):
-            break
     kept = least != np.iinfo(np.uint64).max
     out.reshape(-1)[kept] = (mix64(least[kept]) % np.uint64(EMPTY)).astype(np.uint16)
     return out
