@@ -45,14 +45,16 @@ BLOCK_TAGS = frozenset("address article aside blockquote body button caption cen
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - frozenset(["body", "html", "head", "title", "button", "label", "option", "caption", "td", "th", "tr", "li", "dd", "dt"])
 SIBLINGS = {"li": "li", "dd": "dd dt", "dt": "dd dt", "option": "option", "tr": "tr td th", "td": "td th", "th": "td th"}
-HIDDEN_TAGS = "script style noscript template svg iframe object canvas math audio video textarea title head"
+RAW_TAGS = "script style textarea title"  # end with their end tag only
+EMBEDDED_TAGS = "noscript template svg iframe object canvas audio video"
 OFF_TAGS = frozenset("nav header footer aside form menu button select label dialog option legend".split())
 OFF_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 ON_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
-SKIPPED = "|".join(x for x in HIDDEN_TAGS.split() if x not in ("head", "title"))
+RAW, EMBEDDED = "|".join(RAW_TAGS.split()), "|".join(EMBEDDED_TAGS.split())
+# An embedded element without an end tag, or closed in its own tag, hides nothing but the tag.
 PART = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED}|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<({EMBEDDED})\b(?:[^>]*/>|[^>]*>.*?</\2\s*>|[^>]*>)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -94,19 +96,19 @@ def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], int]]:
     for m in PART.finditer(html):
         put(html[at : m.start()])
         at = m.end()
-        tag = m.group(3)
+        tag = m.group(4)
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br" or tag in ("hr", "img") and not m.group(2):
+        if tag == "br" or tag in ("hr", "img") and not m.group(3):
             if tag == "hr":
                 flush()
             else:
                 put(" ")
         elif tag == "a":
-            state[0] = 0 if m.group(2) else 1
+            state[0] = 0 if m.group(3) else 1
         elif tag in BLOCK_TAGS:
-            if m.group(2):
+            if m.group(3):
                 if any(t == tag for t, _ in stack):
                     pop_to((tag,))
                 else:
@@ -119,7 +121,7 @@ def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             elif tag in SIBLINGS:
                 pop_to(tuple(SIBLINGS[tag].split()), ("ul", "ol", "dl", "table", "select"))
             entries = [tag]
-            for a in ATTRIBUTE.finditer(m.group(4) or ""):
+            for a in ATTRIBUTE.finditer(m.group(5) or ""):
                 entries += [f".{w}" for w in WORDS.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())]
             stack.append((tag, tuple(entries)))
     put(html[at:])
@@ -268,7 +270,7 @@ def train(pages: list[str], steps: int = STEPS, seed: int = SEED) -> Labeller:
     caches: tuple[dict, dict] = ({}, {})
     items = []
     for html in pages + [disguised(h, rng, texts) for h in pages]:
-        if blocks := blocks_of(html)[:200]:
+        if blocks := blocks_of(html):
             items.append((vectors(blocks, caches), np.array([convention(path, text, linked) for text, path, linked in blocks], np.float32)))
     if not items:
         return net
