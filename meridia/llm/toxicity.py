@@ -12,7 +12,7 @@ Fitting uses a bounded sample of labelled rows: at most about ``TRAIN_ROWS`` doc
 chosen by a hash of doc_id among those with crc32(doc_id) mod 5 <> 0; repeated texts count
 once. The trigrams come from all documents, labelled or not: each task counts a table of
 fixed size, which Spark sums. Words are counted by Spark over the sample; the driver gets
-``FEATURES`` words, the trigram table and the sampled rows' feature numbers. Scoring reads every whole
+those that tell toxic rows apart (``EVIDENCE``), the trigram table and the sampled rows' words. Scoring reads every whole
 text and holds nothing that grows with the corpus.
 
 Edge cases: null and empty texts get the intercept's score; a null id is held out (its
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meridia.llm.common import code_points, materialise, table, text_chunks
 
 TRAIN_ROWS = 20_000
-FEATURES = 400
+EVIDENCE = 6.0  # twice the log-likelihood ratio that a word must have
 LEAST_TOXIC = 3
 READINGS = 4
 CACHED = 40  # characters; readings of longer tokens are not kept
@@ -214,21 +214,23 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[Ch
     a, m = F.col("a").cast("double"), F.col("m").cast("double")
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = term(a, m * t / n) + term(m - a, m * (n - t) / n)
-    chosen = by_word.where((F.col("a") >= min(LEAST_TOXIC, t)) & (a / m > 2 * t / n)).orderBy(g.desc(), "word").limit(FEATURES).collect()
+    chosen = by_word.where((F.col("a") >= min(LEAST_TOXIC, t)) & (a / m > 2 * t / n)).where(2 * g >= EVIDENCE).orderBy("word").collect()  # no more words than the bounded sample has
     number = {r["word"]: i for i, r in enumerate(chosen)}
     if not number:
         return model, {}, bias
-    each = rows.select("toxic", F.filter("words", lambda w: w.isin(list(number))).alias("words")).collect()  # the bounded sample's few chosen words
-    x = np.zeros((len(each), len(number)), np.float32)
-    for i, r in enumerate(each):
-        x[i, [number[w] for w in r["words"]]] = 1
-    y = np.array([r["toxic"] for r in each], np.float32)
-    w, b = np.zeros(len(number), np.float32), np.float32(bias)
-    speed = 4.0
+    lookup = rows.sparkSession.createDataFrame(list(number.items()), "word string, k int")
+    pairs = rows.select("doc_id", "toxic", F.explode("words").alias("word")).join(F.broadcast(lookup), "word").groupBy("doc_id", "toxic").agg(F.collect_list("k").alias("k")).collect()  # the bounded sample's few chosen words
+    held = [(r["toxic"], r["k"]) for r in sorted(pairs, key=lambda r: r["doc_id"])]
+    bare = Counter({0: n - t, 1: t}) - Counter(toxic for toxic, _ in held)  # rows without a chosen word
+    y = np.array([toxic for toxic, _ in held] + [0, 1], float)
+    times = np.array([1.0] * len(held) + [bare[0], bare[1]])
+    row = np.repeat(np.arange(len(held)), [len(k) for _, k in held])
+    column = np.array([i for _, k in held for i in k])
+    w, b, speed = np.zeros(len(number)), bias, 4.0
     for _ in range(400):
-        z = 1 / (1 + np.exp(-(x @ w + b)))
-        e = (z - y) / len(y)
-        w -= speed * 10 * (x.T @ e + 2e-5 * w)
+        z = 1 / (1 + np.exp(-(np.bincount(row, w[column], len(y)) + b)))
+        e = times * (z - y) / n
+        w -= speed * 10 * (np.bincount(column, e[row], len(w)) + 2e-5 * w)
         b -= speed * e.sum()
     return model, {k: float(w[i]) for k, i in number.items()}, float(b)
 
