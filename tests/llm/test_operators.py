@@ -200,6 +200,14 @@ def test_recurring_lines(spark, odd, nothing):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == texts and "shard" in kept.columns
 
 
+def test_dropping_lines_keeps_clashing_columns(spark):
+    line = "one line that is found in more than enough documents of the table and has twenty words or even more of them"
+    docs = spark.createDataFrame([(i, f"text {i}\n{line}", "k", 7, [1]) for i in range(6)], "doc_id long, text string, _key string, _dropped int, _gone array<int>")
+    rows = linededup.stage(docs).orderBy("doc_id").collect()
+    assert [(r._key, r._dropped, r._gone) for r in rows] == [("k", 7, [1])] * 6
+    assert [r.text for r in rows] == [f"text 0\n{line}", *[f"text {i}" for i in range(1, 6)]]
+
+
 def test_lines_that_two_documents_share(spark):
     passage = "The committee met in the old town hall and agreed that the bridge over the river should be mended before winter came"
     near = passage.replace("old", "new")
@@ -377,6 +385,20 @@ def test_blocks_and_training(spark):
         assert got[p.page_id].text == "\n".join(filter(None, want)) and got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
+def test_embedded_elements_hide_no_more_than_they_hold(spark, nothing):
+    texts = lambda h: [b[0] for b in html_text.blocks_of(h)]
+    for tag in html_text.EMBEDDED_TAGS.split():
+        assert texts(f"<p>a one</p><{tag} x='1'/><p>b two</p>") == ["a one", "b two"], tag
+        assert texts(f"<p>a one</p><{tag}><p>b two</p>") == ["a one", "b two"], tag
+        assert texts(f"<p>a one</p><{tag} x='1'>hidden</{tag}><p>b two</p>") == ["a one", "b two"], tag
+    assert texts("<article><p>sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> done</p></article>") == ["sum x+y done"]
+    assert texts("<p>a</p><script>if (a < b) x</script><p>b</p>") == ["a", "b"]
+    pages = spark.createDataFrame([(1, "u", "<article><p>Words of one page stand here.</p></article>", "x")] * 2 + [(2, None, None, "x"), (None, "u", "", "x"), (3, "u", "<article>" + "<p>A long page has many blocks.</p>" * 20_000 + "</article>", "x")], "page_id long, url string, html string, text string")
+    rows = html_text.query(spark, pages).collect()
+    assert len(rows) == 5 and len({r.text for r in rows if r.page_id == 1}) == 1 and all(r.text == "" for r in rows if r.page_id in (2, None))
+    assert html_text.query(spark, pages.limit(0)).count() == 0
+
+
 def test_vectors_see_all_words_and_classes():
     many = " ".join(f"u{i}" for i in range(12))
     (block,) = html_text.blocks_of(f"<div class='{many} cookie'>some text</div>")
