@@ -4,12 +4,14 @@ The model is an interpolated modified Kneser-Ney model of characters, one per la
 Spark counts every n-gram of every text: tasks count their own n-grams, a shuffle adds
 them up by n-gram, and the lower orders' continuation counts, the discounts and the
 probabilities are DataFrame queries over those tables. The result is stored as arrays of
-hashes in order (an n-gram of characters packs into 60 bits, so the hash has no
-collisions among the first 3840 code points; rarer ones share 256 symbols).
+hashes in order: an n-gram packs into 60 bits. A language's alphabet is its ``ALPHABET`` most
+used characters, counted over all texts; its rarer ones are one unknown symbol, as are
+those that another language's texts bring.
 
 Scoring: while the model has at most ``BROADCAST_ENTRIES`` entries (96 MB), tasks hold the
 arrays and look n-grams up by binary search; a larger model stays distributed, and texts'
-n-gram counts are joined with it instead. Both ways give the same scores.
+n-gram counts are joined with it instead. Log-probabilities are stored in units of
+2 ** -20 and added as whole numbers, so both ways give the same scores to the last bit.
 
 A text's score is its log-perplexity a letter: the negated log-probability of all its
 characters over the number of its letters, so that symbols cost and earn nothing. For each
@@ -35,6 +37,9 @@ from meridia.llm.common import code_points, materialise, small, text_chunks
 
 ORDER = 5
 BITS = 12
+ALPHABET = 4094  # of a language's alphabet; symbol 0 stands before a text, the last one is unknown
+UNKNOWN = ALPHABET + 1
+UNIT = 1 << 20  # of a stored log-probability of 1
 BROADCAST_ENTRIES = 6_000_000
 TASK_ENTRIES = 3_000_000  # distinct n-grams a task holds before it passes them on
 BAND_LOW, BAND_HIGH = 8.0, 6.0
@@ -88,19 +93,52 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     return np.maximum(total[offsets[1:]] - total[offsets[:-1]], 1)
 
 
-# -- n-grams --------------------------------------------------------------------------
+# -- alphabets ------------------------------------------------------------------------
+
+
+def alphabets(docs: DataFrame) -> dict[str, np.ndarray]:
+    """For each language, the symbol of each code point up to its alphabet's last (numbers of a symbol at most a language)."""
+
+    def count(batches):
+        for batch, texts in text_chunks(batches, limit=1_000_000):
+            langs = np.array(batch.column(1).to_pylist(), object)
+            points, offsets = code_points(texts)
+            for lang in set(langs):
+                mine = np.repeat(langs == lang, np.diff(offsets))
+                n = np.bincount(points[mine]) if mine.any() else np.zeros(0, np.int64)
+                some = np.flatnonzero(n)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "point", "n"])
+
+    counted = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(count, "lang string, point int, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "point"))  # there are 1.1 million code points
+    found: dict[str, list[int]] = {}
+    for r in counted.withColumn("k", rank).where(F.col("k") <= ALPHABET).select("lang", "point").collect():
+        found.setdefault(r["lang"], []).append(r["point"])
+    out = {}
+    for lang, points in found.items():
+        table = np.full(max(points) + 1, UNKNOWN, np.uint16)
+        table[sorted(points)] = np.arange(1, len(points) + 1)
+        out[lang] = table
+    return out
+
+
+def fold(points: np.ndarray, alphabet: np.ndarray | None) -> np.ndarray:
+    """Code points as symbols of an alphabet."""
+    if alphabet is None:
+        return np.full(len(points), UNKNOWN, np.uint64)
+    out = alphabet[np.minimum(points, len(alphabet) - 1)].astype(np.uint64)
+    out[points >= len(alphabet)] = UNKNOWN
+    return out
 
 
-def fold(points: np.ndarray) -> np.ndarray:
-    """Code points as 12-bit symbols; 0 stands before a text."""
-    top = np.uint32(3840)
-    return np.where(points < top - 1, points + np.uint32(1), top + points % np.uint32(256)).astype(np.uint64)
+# -- n-grams --------------------------------------------------------------------------
 
 
-def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str], alphabet: np.ndarray | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each character (padded before the text), and text offsets."""
     points, offsets = code_points(texts)
-    out = fold(points)
+    out = fold(points, alphabet)
     symbols, at = out.copy(), np.arange(len(points)) - np.repeat(offsets[:-1], np.diff(offsets))
     for k in range(1, order):
         before = np.zeros_like(symbols)
@@ -110,12 +148,12 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     return out, offsets
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
+def count_grams(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
     """(lang, gram, n): how often each n-gram of the highest order occurs; nothing is left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)  # up to ALPHABET entries a language
 
     def run(batches):
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
 
         def merged(parts):
             keys = np.concatenate([k for k, _ in parts])
@@ -133,18 +171,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(counts[i : i + 100_000])], ["lang", "gram", "n"])
             held.clear()
 
-        for batch, texts in text_chunks(batches, limit=2_000_000):
+        for batch, texts in text_chunks(batches, limit=1_000_000):
             langs = batch.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang and t]
                 if own:
-                    keys, counts = np.unique(grams(own)[0], return_counts=True)
+                    keys, counts = np.unique(grams(own, shared.value.get(lang))[0], return_counts=True)
                     parts = held.setdefault(lang, [])
                     parts.append((keys, counts.astype(np.int64)))
-                    if len(parts) == 4:
+                    if len(parts) == 8:
                         held[lang] = [merged(parts)]
-            size = sum(len(k) for parts in held.values() for k, _ in parts)
-            if size > TASK_ENTRIES:
+            if sum(len(k) for parts in held.values() for k, _ in parts) > TASK_ENTRIES:
                 held = {lang: [merged(parts)] for lang, parts in held.items()}
                 if sum(len(p[0][0]) for p in held.values()) > TASK_ENTRIES:
                     yield from flush()
@@ -159,7 +196,7 @@ def _mask(order: int) -> int:
 
 
 def model_tables(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, k, gram, logp, logb) of all orders: log-probability of a gram given its context,
+    """(lang, k, gram, logp, logb) of all orders, in whole ``UNIT``s: log-probability of a gram given its context,
     and the log back-off weight of a gram as the context of the next order (0 where it is none).
 
     Modified Kneser-Ney: counts of the highest order, continuation counts below; three
@@ -201,7 +238,8 @@ def model_tables(counts: DataFrame, order: int = ORDER) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("lang", "k", "gram").agg(F.max("logp").alias("logp"), F.coalesce(F.max("logb"), F.lit(0.0)).alias("logb"))
+    whole = lambda c: F.round(F.max(c) * UNIT).cast("long")
+    return out.groupBy("lang", "k", "gram").agg(whole("logp").alias("logp"), F.coalesce(whole("logb"), F.lit(0)).alias("logb"))
 
 
 class Model:
@@ -218,7 +256,7 @@ class Model:
             for b in batches:
                 lang, k = b.column(0).to_pylist(), b.column(1).to_numpy()
                 gram = b.column(2).to_numpy()
-                logp, logb = (np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False), nan=-99.0).astype("<f4") for c in (3, 4))
+                logp, logb = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype("<i4") for c in (3, 4))  # no text has a gram without logp
                 of = np.array(lang, object)
                 for x in set(lang):
                     for o in set(k[of == x].tolist()):
@@ -234,8 +272,8 @@ class Model:
             cells = list(zip(*parts.pop(key)))
             gram = np.frombuffer(b"".join(cells[0]), "<u8")
             order = np.argsort(gram)
-            arrays[key] = gram[order], *(np.frombuffer(b"".join(c), "<f4")[order] for c in cells[1:])
-        none = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+            arrays[key] = gram[order], *(np.frombuffer(b"".join(c), "<i4")[order] for c in cells[1:])
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         return cls({(x, o): arrays.get((x, o), none) for x in {x for x, _ in arrays} for o in range(orders + 1)}, orders)
 
     def _find(self, lang: str, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,8 +285,8 @@ class Model:
         return i, own[i] == keys
 
     def log_probabilities(self, lang: str, g: np.ndarray) -> np.ndarray:
-        """Of each n-gram's last symbol given the others."""
-        out = np.zeros(len(g), np.float32)
+        """Of each n-gram's last symbol given the others, in whole units."""
+        out = np.zeros(len(g), np.int64)
         rest = np.arange(len(g))
         for k in range(self.order, 0, -1):
             keys = g[rest] & np.uint64(_mask(k))
@@ -263,13 +301,14 @@ class Model:
         return out
 
 
-def score_held(docs: DataFrame, model: Model) -> DataFrame:
+def score_held(docs: DataFrame, model: Model, tables: dict[str, np.ndarray]) -> DataFrame:
     """Base counts and log-perplexity with the model held by every task."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.arrays)
+    shared = docs.sparkSession.sparkContext.broadcast((model.arrays, tables))
     order = model.order
 
     def run(batches):
-        m = Model(shared.value, order)
+        arrays, folds = shared.value
+        m = Model(arrays, order)
         for batch, texts in text_chunks(batches, limit=1_000_000):
             langs = batch.column(2).to_pylist()
             logppl: list[float | None] = [None] * len(texts)
@@ -277,9 +316,9 @@ def score_held(docs: DataFrame, model: Model) -> DataFrame:
                 at = [i for i, x in enumerate(langs) if x == lang and texts[i]]
                 if at:
                     own = [texts[i] for i in at]
-                    g, offsets = grams(own)
-                    sums = np.add.reduceat(m.log_probabilities(lang, g).astype(np.float64), offsets[:-1])
-                    for i, v in zip(at, -sums / letter_counts(own)):
+                    g, offsets = grams(own, folds.get(lang))
+                    sums = np.add.reduceat(m.log_probabilities(lang, g), offsets[:-1])
+                    for i, v in zip(at, -sums / UNIT / letter_counts(own)):
                         logppl[i] = float(v)
             counts = list(zip(*map(base_counts, texts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(langs), pa.array(logppl, pa.float64())], [x.split()[0] for x in BASE.split(", ")] + ["lang", "logppl"])
@@ -287,7 +326,7 @@ def score_held(docs: DataFrame, model: Model) -> DataFrame:
     return _inputs(docs).mapInArrow(run, BASE + ", lang string, logppl double")
 
 
-def score_joined(docs: DataFrame, tables: DataFrame, order: int = ORDER) -> DataFrame:
+def score_joined(docs: DataFrame, tables: DataFrame, folds: dict[str, np.ndarray], order: int = ORDER) -> DataFrame:
     """The same with the model left distributed: the corpus' distinct n-grams are scored by joins,
     order by order, then each text's n-gram counts are joined with the scores."""
 
@@ -296,17 +335,25 @@ def score_joined(docs: DataFrame, tables: DataFrame, order: int = ORDER) -> Data
             counts = list(zip(*map(base_counts, texts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), batch.column(2), batch.column(3), pa.array(letter_counts(texts))], [x.split()[0] for x in BASE.split(", ")] + ["lang", "row", "letters"])
 
+    shared = docs.sparkSession.sparkContext.broadcast(folds)
+
     def own_grams(batches):
         for batch, texts in text_chunks(batches, limit=500_000):
-            g, offsets = grams(texts)
-            for i in range(len(texts)):
-                keys, counts = np.unique(g[offsets[i] : offsets[i + 1]], return_counts=True)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(3)[i].as_py()] * n, pa.int64()), pa.array([batch.column(2)[i].as_py()] * n, pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["row", "lang", "gram", "n"])
+            langs = np.array(batch.column(2).to_pylist(), object)
+            rows = batch.column(3).to_numpy()
+            for lang in set(langs):
+                at = np.flatnonzero(langs == lang)
+                g, offsets = grams([texts[i] for i in at], shared.value.get(lang))
+                row = np.repeat(rows[at], np.diff(offsets))
+                order = np.lexsort((g, row))
+                g, row = g[order], row[order]
+                new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (row[1:] != row[:-1]))) if len(g) else np.zeros(0, np.int64)
+                counts = np.diff(np.append(new, len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array([lang] * len(new), pa.string()), pa.array(g[new].astype(np.int64)), pa.array(counts)], ["row", "lang", "gram", "n"])
 
     numbered = materialise(_inputs(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
     texts_grams = materialise(numbered.mapInArrow(own_grams, "row long, lang string, gram long, n long"), "grams")
-    todo = texts_grams.select("lang", "gram").distinct().withColumn("sum", F.lit(0.0))
+    todo = texts_grams.select("lang", "gram").distinct().withColumn("sum", F.lit(0).cast("long"))
     done = None
     for k in range(order, 0, -1):
         p = tables.where(F.col("k") == k).select("lang", F.col("gram").alias("key"), "logp")
@@ -315,12 +362,12 @@ def score_joined(docs: DataFrame, tables: DataFrame, order: int = ORDER) -> Data
         hit = tried.where("logp is not null").select("lang", "gram", (F.col("sum") + F.col("logp")).alias("sum"))
         done = hit if done is None else done.unionByName(hit)
         missed = tried.where("logp is null").withColumn("ctx", F.shiftright("key", BITS)).join(b, ["lang", "ctx"], "left")
-        todo = missed.select("lang", "gram", (F.col("sum") + F.coalesce("logb", F.lit(0.0))).alias("sum"))
+        todo = missed.select("lang", "gram", (F.col("sum") + F.coalesce("logb", F.lit(0))).alias("sum"))
     unknown = tables.where("k = 0").select("lang", "logp")
     done = done.unionByName(todo.join(F.broadcast(unknown), "lang").select("lang", "gram", (F.col("sum") + F.col("logp")).alias("sum")))
     score = texts_grams.join(done, ["lang", "gram"]).groupBy("row").agg((-F.sum(F.col("sum") * F.col("n"))).alias("total"))
     based = numbered.mapInArrow(base, BASE + ", lang string, row long, letters long")
-    return based.join(score, "row", "left").withColumn("logppl", F.col("total") / F.col("letters")).drop("row", "letters", "total")
+    return based.join(score, "row", "left").withColumn("logppl", F.col("total") / F.lit(UNIT) / F.col("letters")).drop("row", "letters", "total")
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -338,11 +385,12 @@ def bands(scored: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """Base columns, lang, logppl, base_failed, low, high and kept; one row per input row."""
-    tables = materialise(model_tables(materialise(count_grams(docs), "counts")), "model")
+    folds = alphabets(docs)
+    tables = materialise(model_tables(materialise(count_grams(docs, folds), "counts")), "model")
     if tables.count() <= broadcast_entries:
-        scored = score_held(docs, Model.collect(tables))
+        scored = score_held(docs, Model.collect(tables), folds)
     else:
-        scored = score_joined(docs, tables)
+        scored = score_joined(docs, tables, folds)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     scored = materialise(scored.withColumn("base_failed", failed), "scored")
     within = F.col("logppl").between(F.col("low"), F.col("high"))

@@ -29,11 +29,11 @@ def test_base_counts():
     assert quality.base_counts("") == (0, 0, 0, 0, 0)
 
 
-def brute_model(texts, order):
+def brute_model(texts, order, alphabet):
     """Interpolated modified Kneser-Ney, one language, written out plainly."""
     counts = {order: Counter()}
     for t in texts:
-        s = [0] * (order - 1) + quality.fold(np.array([ord(c) for c in t], np.uint32)).tolist()
+        s = [0] * (order - 1) + quality.fold(np.array([ord(c) for c in t], np.uint32), alphabet).tolist()
         counts[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -66,14 +66,27 @@ def test_model_equals_brute_force(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("aab c.é") for _ in range(rng.randint(1, 60))) for _ in range(30)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    tables = quality.model_tables(quality.count_grams(docs))
+    alphabet = quality.alphabets(docs)["en"]
+    tables = quality.model_tables(quality.count_grams(docs, {"en": alphabet}))
     model = quality.Model.collect(tables)
-    p = brute_model(texts, quality.ORDER)
+    p = brute_model(texts, quality.ORDER, alphabet)
     for t in ("abc a é", "zz ab", texts[0]):
-        g, _ = quality.grams([t])
-        s = [0] * (quality.ORDER - 1) + quality.fold(np.array([ord(c) for c in t], np.uint32)).tolist()
+        g, _ = quality.grams([t], alphabet)
+        s = [0] * (quality.ORDER - 1) + quality.fold(np.array([ord(c) for c in t], np.uint32), alphabet).tolist()
         want = [log(p(tuple(s[i : i + quality.ORDER]), quality.ORDER)) for i in range(len(t))]
-        assert model.log_probabilities("en", g).tolist() == pytest.approx(want, abs=1e-4)
+        assert (model.log_probabilities("en", g) / quality.UNIT).tolist() == pytest.approx(want, abs=1e-4)
+
+
+def test_alphabets_tell_all_scripts_apart(spark, monkeypatch):
+    texts = ["漢字仮名交じり文", "한국어 문장", "ქართული ენა", "plain words", None, ""]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    table = quality.alphabets(docs)["xx"]
+    known = sorted({ord(c) for t in texts if t for c in t})
+    assert quality.fold(np.array(known, np.uint32), table).tolist() == list(range(1, len(known) + 1))
+    assert quality.fold(np.array([0x10FFFF, ord("z")], np.uint32), table).tolist() == [quality.UNKNOWN] * 2
+    monkeypatch.setattr(quality, "ALPHABET", 3)
+    few = quality.alphabets(docs)["xx"]
+    assert (few[few != quality.UNKNOWN]).tolist() == [1, 2, 3] and few[ord(" ")] == 1
 
 
 def test_both_ways_agree_and_odd_rows(spark, odd, nothing):
@@ -84,7 +97,7 @@ def test_both_ways_agree_and_odd_rows(spark, odd, nothing):
     key = lambda r: (str(r.doc_id), r.n_words, r.lang, r.logppl or 0)
     for a, b in zip(sorted(held, key=key), sorted(joined, key=key)):
         assert a.n_words == b.n_words and a.kept == b.kept
-        assert (a.logppl is None) == (b.logppl is None) and (a.logppl is None or abs(a.logppl - b.logppl) < 1e-4)
+        assert (a.logppl is None) == (b.logppl is None) and (a.logppl is None or a.logppl == b.logppl)
     assert all(r.base_failed and not r.kept for r in held if r.n_words == 0)
     assert quality.query(spark, nothing).count() == 0
 
