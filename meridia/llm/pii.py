@@ -159,12 +159,22 @@ def reliable_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` (doc_id, text) with base, an array of base spans, and spans, an array of all."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    """(doc_id, base, spans): arrays of the base spans and of all spans, a row for each row of ``docs``."""
+    return find_in(numbered(docs), rounds).drop("row")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A stored (row, doc_id, text): each row of ``docs`` has a number of its own, whatever its id and text."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialise(keyed.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def find_in(keyed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(row, doc_id, base, spans) of a table that ``numbered`` stored."""
     based = keyed.select("doc_id", "row", base_spans(F.col("text")).alias("base"))
     based = materialise(based, "base")
-    by_row = based.where(F.size("base") > 0).groupBy("row").agg(F.first("base").alias("base"))
-    found = materialise(candidates(keyed).dropDuplicates(["row", "start"]), "candidates")
+    by_row = based.where(F.size("base") > 0).select("row", "base")
+    found = materialise(candidates(keyed), "candidates")
     overlapping = F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
     seeded = found.join(by_row, "row", "left").withColumn("inside", F.coalesce(overlapping, F.lit(False))).drop("base")
     seeded = materialise(seeded.withColumn("seed", F.col("inside") | F.col("key")), "seeded")
@@ -172,7 +182,7 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     outside = seeded.where(~F.col("inside")).select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
     more = outside.select("row", "start", "end").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("ctx").alias("kind"), "start", "end"))).alias("more"))  # of one text
     more = small(materialise(more, "more"))
-    return based.join(more, "row", "left").select("doc_id", "base", F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
+    return based.join(more, "row", "left").select("row", "doc_id", "base", F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
 
 def _joined(spans):
@@ -180,9 +190,9 @@ def _joined(spans):
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span replaced by its kind in angle brackets."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = find(docs).groupBy("doc_id").agg(F.first("spans").alias("spans"))
+    """(doc_id, text) with every span replaced by its kind in angle brackets, a row for each row of ``docs``."""
+    keyed = numbered(docs)
+    found = find_in(keyed).select("row", "spans")
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["end"] - b["end"]))
     out = F.aggregate(
         ordered,
@@ -191,10 +201,10 @@ def mask(docs: DataFrame) -> DataFrame:
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out"))
         ),
     )
-    whole = keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]), "left").select(keyed["doc_id"], "text", out.alias("o"))
+    whole = keyed.join(found, "row").select("doc_id", "text", out.alias("o"))
     return whole.select("doc_id", F.when(F.col("o").isNull(), F.col("text")).otherwise(F.concat("o.out", F.expr("substring(text, o.at + 1)"))).alias("text"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return find(docs).select("doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return find(docs).select("doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_ctx"))

@@ -77,6 +77,15 @@ def test_identifiers_of_several_tokens(spark):
     assert pii.candidates(spark.createDataFrame([(1, "1 " * 20_000)], "row long, text string")).select("start", "end").collect() == [(0, 39_999)]
 
 
+def test_masking_goes_by_row(spark):
+    rows = [(1, "write to a.b@example.org now"), (1, "nothing to see here, friend q@rr.ss"), (None, "card 4111 1111 1111 1111"), (None, None), (1, "write to a.b@example.org now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in pii.mask(docs).collect())
+    assert got == Counter([(1, "write to <email> now"), (1, "write to <email> now"), (1, "nothing to see here, friend <email>"), (None, "card <card>"), (None, "")])
+    counts = pii.query(spark, docs).collect()
+    assert len(counts) == 5 and sum(r.n_email for r in counts) == 3 and all(r.n_ctx == r.spans.count("ctx:") for r in counts)
+
+
 def test_three_certain_instances_are_reliable(spark):
     rows = [(i, i, [7], True) for i in range(pii.MIN_INSTANCES)] + [(i, i, [8], True) for i in range(pii.MIN_INSTANCES - 1)]
     found = spark.createDataFrame(rows, "row long, instance long, patterns array<long>, seed boolean")
