@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -98,10 +99,28 @@ def fire(evals: DataFrame, rule: Rule) -> DataFrame:
     """Alerts of one rule: crossings that its cooldown lets through."""
     own = evals.where((F.col("rule") == rule.name) & F.col("crossed"))
     own = own.withColumn("fires", F.lit(True)) if not rule.cooldown_secs else greedy_cooldown(own, ["rule", "symbol", "exchange"], "end_ns", rule.cooldown_secs * NS)
-    values = F.map_filter(F.map_concat(F.create_map(F.lit("value"), "value", F.lit("threshold"), F.lit(rule.condition.threshold), F.lit("last_price"), "last_price"), "info"), lambda _, v: v.isNotNull())
-    return own.where("fires").select(
-        alert_id(F.col("rule"), F.col("symbol"), F.col("end_ns"), F.col("exchange")).alias("alert_id"), F.col("rule").alias("rule_name"), "symbol", F.lit(rule.severity).alias("severity"), F.col("end_ns").alias("window_end_ns"), message(rule).alias("message"), values.alias("values"), "exchange"
-    )
+    return own.where("fires").select(*alert_columns((rule,)))
+
+
+def alert_columns(rules: tuple[Rule, ...]) -> list[Column]:
+    """The columns of alerts over fired evaluations (rule, symbol, end_ns, exchange, value, info, last_price)."""
+
+    def by_rule(column: Callable[[Rule], Column]) -> Column:
+        out = column(rules[-1])
+        for r in reversed(rules[:-1]):
+            out = F.when(F.col("rule") == r.name, column(r)).otherwise(out)
+        return out
+
+    threshold = by_rule(lambda r: F.lit(float(r.condition.threshold)))
+    values = F.map_filter(F.map_concat(F.create_map(F.lit("value"), "value", F.lit("threshold"), threshold, F.lit("last_price"), "last_price"), "info"), lambda _, v: v.isNotNull())
+    ident = alert_id(F.col("rule"), F.col("symbol"), F.col("end_ns"), F.col("exchange")).alias("alert_id")
+    return [ident, F.col("rule").alias("rule_name"), F.col("symbol"), by_rule(lambda r: F.lit(r.severity)).alias("severity"), F.col("end_ns").alias("window_end_ns"), by_rule(message).alias("message"), values.alias("values"), F.col("exchange")]
+
+
+def at_least(alerts: DataFrame, severity: str) -> DataFrame:
+    """Alerts of a severity or a graver one."""
+    order = ["INFO", "WARN", "CRITICAL"]
+    return alerts.where(F.col("severity").isin(order[order.index(severity) :]))
 
 
 def alerts(metrics: DataFrame, rules: RuleSet) -> DataFrame:

@@ -7,6 +7,7 @@ rounded on both sides.
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -102,12 +103,16 @@ def _(spark, d):
     return r.select("trade_id", N.validation_error(t, F.col("recv_time_ns"), None).alias("error"))
 
 
-@query("prj_dead_letters_by_reason", f"WITH {RAW} SELECT 'validation' AS reason, exchange, count(*) AS n FROM raw WHERE size <= 0 GROUP BY exchange")
-def _(spark, d):
+def _stamp():
+    secs = F.timestamp_seconds(F.floor(F.col("event_time_ns") / NS))
+    return F.concat(F.date_format(secs, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad((F.col("event_time_ns") % NS).cast("string"), 9, "0"), F.lit("Z"))
+
+
+def _messages(spark, d) -> DataFrame:
+    """Events as one venue's messages, a trade each."""
     r = T.events_as_raw(spark, d)
-    t = F.struct("symbol", "trade_id", "price", "size", "event_time_ns", "side")
-    bad = r.where(N.validation_error(t, F.col("recv_time_ns"), None).isNotNull())
-    return bad.groupBy(F.lit("validation").alias("reason"), "exchange").agg(F.count(F.lit(1)).alias("n"))
+    m = F.to_json(F.struct(F.lit("match").alias("type"), F.col("trade_id").cast("long").alias("trade_id"), F.col("symbol").alias("product_id"), F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"), "side", _stamp().alias("time")))
+    return r.select(F.lit("raw.trades.coinbase").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), F.col("symbol").alias("key"), m.alias("value"), F.lit("").alias("exchange"), "recv_time_ns")
 
 
 @query(
@@ -116,16 +121,34 @@ def _(spark, d):
 )
 def _(spark, d):
     """Events written as venue messages, then decoded, validated and deduplicated; redeliveries go."""
-    r = T.events_as_raw(spark, d)
-    secs = F.timestamp_seconds(F.floor(F.col("event_time_ns") / NS))
-    stamp = F.concat(F.date_format(secs, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad((F.col("event_time_ns") % NS).cast("string"), 9, "0"), F.lit("Z"))
-    m = F.to_json(F.struct(F.lit("match").alias("type"), F.col("trade_id").cast("long").alias("trade_id"), F.col("symbol").alias("product_id"), F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"), "side", stamp.alias("time")))
-    f = r.select(F.lit("raw.trades.coinbase").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), F.col("symbol").alias("key"), m.alias("value"), F.lit("").alias("exchange"), "recv_time_ns")
+    f = _messages(spark, d)
     again = f.where("offset % 7 = 0").withColumn("offset", F.col("offset") + 1_000_000)
     good, _dead = N.normalise(f.unionByName(again))
     return good.select("exchange", "symbol", "trade_id", "event_time_ns", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), "side")
 
 
+@query("prj_dead_letters_by_reason", f"""WITH {RAW}, kinds AS (SELECT CASE WHEN off % 11 = 0 THEN 'unknown_exchange' WHEN off % 13 = 0 THEN 'parse' WHEN size <= 0 THEN 'validation' END AS reason,
+  CASE WHEN off % 11 = 0 THEN 'unknown exchange nowhere' WHEN off % 13 = 0 THEN 'coinbase parse error' ELSE 'size: not a positive decimal' END AS error FROM raw) SELECT reason, error, count(*) AS n FROM kinds WHERE reason IS NOT NULL GROUP BY ALL""")
+def _(spark, d):
+    """Messages of an unknown venue, cut messages and trades without size, through the whole decoder."""
+    f = _messages(spark, d)
+    f = f.withColumn("topic", F.when(F.col("offset") % 11 == 0, "raw.trades.nowhere").otherwise(F.col("topic"))).withColumn("value", F.when(F.col("offset") % 13 == 0, F.substring("value", 1, 20)).otherwise(F.col("value")))
+    return N.normalise(f)[1].groupBy("reason", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prj_normalise_batches", f"""WITH {GOOD}, sent AS (SELECT off, max(CASE WHEN size <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY off // 3) AS bad FROM raw)
+ SELECT 'kraken' AS exchange, symbol, trade_id, t AS event_time_ns, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size, side FROM good JOIN sent USING (off) WHERE bad = 0""")
+def _(spark, d):
+    """Three trades a message in the other venue's format; one bad trade rejects its message."""
+    r = T.events_as_raw(spark, d)
+    one = F.struct(F.regexp_replace("symbol", "-", "/").alias("symbol"), "side", "price", F.col("size").alias("qty"), F.col("trade_id").cast("long").alias("trade_id"), _stamp().alias("timestamp"))
+    g = r.groupBy(F.floor(F.col("kafka_offset") / 3).alias("offset")).agg(F.array_sort(F.collect_list(F.struct("kafka_offset", one.alias("x")))).alias("xs"), F.max("recv_time_ns").alias("recv_time_ns"))  # three rows a group
+    value = F.to_json(F.struct(F.lit("trade").alias("channel"), F.lit("update").alias("type"), F.transform("xs", lambda x: x["x"]).alias("data")))
+    f = g.select(F.lit("raw.trades.kraken").alias("topic"), F.lit(0).alias("partition"), "offset", F.lit(None).cast("string").alias("key"), value.alias("value"), F.lit("").alias("exchange"), "recv_time_ns")
+    good, _dead = N.normalise(f)
+    return good.select("exchange", "symbol", "trade_id", "event_time_ns", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), "side")
+
+
 @query("prj_side_mapping", f"WITH {GOOD} SELECT side, CASE side WHEN 'buy' THEN 'sell' ELSE 'buy' END AS taker, count(*) AS n FROM good GROUP BY side")
 def _(spark, d):
     return trades(spark, d).groupBy("side", F.when(F.col("side") == "buy", "sell").otherwise("buy").alias("taker")).agg(F.count(F.lit(1)).alias("n"))
@@ -338,7 +361,23 @@ def _(spark, d):
     return a.select("symbol", "window_end_ns", v("value", 4), v("threshold"), v("median"), v("current"), v("last_price"), "message")
 
 
-@query("rule_all_alerts_count")
+def greedy_sql(name: str, rows: str, secs: int) -> str:
+    """CTE ``name`` (symbol, exchange, end_ns): the greedy cooldown over ``rows`` of the same columns."""
+    return f"""{name} AS (SELECT symbol, exchange, min(end_ns) AS end_ns FROM {rows} GROUP BY ALL
+    UNION ALL (SELECT symbol, exchange, end_ns FROM (SELECT c.symbol, c.exchange, c.end_ns, row_number() OVER (PARTITION BY c.symbol, c.exchange ORDER BY c.end_ns) AS k FROM {rows} c JOIN {name} f ON c.symbol = f.symbol AND c.exchange = f.exchange AND c.end_ns - f.end_ns >= {secs * NS}) WHERE k = 1))"""
+
+
+STALE_CTE = f"""firsts AS (SELECT symbol, min(window_start_ns) AS seen, min(window_end_ns) AS end_ns FROM base GROUP BY symbol),
+  known AS (SELECT symbol, exchange, s + w * {NS} AS end_ns, last_t AS seen FROM venue WHERE w = {HOUR} UNION ALL SELECT symbol, x, end_ns, seen FROM firsts, (VALUES ('click'), ('ghost')) e(x)),
+  since AS (SELECT symbol, exchange, min(end_ns) AS since FROM known GROUP BY ALL), ats AS (SELECT symbol, exchange, end_ns, max(seen) AS seen FROM known GROUP BY ALL),
+  joined AS (SELECT b.symbol, b.window_end_ns AS end_ns, s.exchange, a.seen FROM base b JOIN since s ON s.symbol = b.symbol AND b.window_end_ns >= s.since LEFT JOIN ats a ON a.symbol = b.symbol AND a.exchange = s.exchange AND a.end_ns = b.window_end_ns),
+  stale AS (SELECT symbol, exchange, end_ns, (end_ns - max(seen) OVER (PARTITION BY symbol, exchange ORDER BY end_ns)) / 1e9 AS value FROM joined)"""
+
+
+@query("rule_all_alerts_count", f"""WITH RECURSIVE {METRICS}, {Z_CTE}, {M_CTE.partition(', ')[2]}, {STALE_CTE},
+ c1 AS (SELECT symbol, '' AS exchange, end_ns FROM zs WHERE value > 2), {greedy_sql('f1', 'c1', 4 * HOUR)}, c2 AS (SELECT symbol, '' AS exchange, end_ns FROM ms WHERE value > 2.5), {greedy_sql('f2', 'c2', 6 * HOUR)},
+ c3 AS (SELECT symbol, '' AS exchange, window_end_ns AS end_ns FROM base WHERE venues >= 2 AND abs(xex_spread_bps) > 9000), {greedy_sql('f3', 'c3', 3 * HOUR)}, c4 AS (SELECT symbol, exchange, end_ns FROM stale WHERE value > 10800), {greedy_sql('f4', 'c4', 6 * HOUR)}
+ SELECT 'price_jump' AS rule_name, 'WARN' AS severity, count(*) AS n FROM f1 UNION ALL SELECT 'volume_spike', 'WARN', count(*) FROM f2 UNION ALL SELECT 'divergence', 'CRITICAL', count(*) FROM f3 UNION ALL SELECT 'stale_feed', 'CRITICAL', count(*) FROM f4""")
 def _(spark, d):
     return R.alerts(metrics(spark, d), RULES).groupBy("rule_name", "severity").agg(F.count(F.lit(1)).alias("n"))
 
@@ -434,7 +473,15 @@ def _(spark, d):
     return B.walk_forward(metrics(spark, d), ZSCORE, _options(spark, d)).select("fold", "tuned", "train_f1")
 
 
-@query("walk_forward_total")
+TEST = TUNE.replace("end_ns >= train_from AND end_ns < test_from", "end_ns >= test_from AND end_ns < test_to")
+for _cte in ("grid", "hits", "fired", "marked", "counted", "rated", "scored"):  # the same steps over the test side, under other names
+    TEST = re.sub(rf"\b{_cte}\b", f"t_{_cte}", TEST)
+
+
+@query("walk_forward_total", f"""WITH RECURSIVE {METRICS}, {Z_CTE}, {LABELS}, {FOLDS}, {TUNE}, {TEST}, best AS (SELECT fold, arg_max(threshold, {{'f': f1, 't': threshold}}) AS threshold FROM scored GROUP BY fold),
+ sums AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM t_scored JOIN best USING (fold, threshold)),
+ rates AS (SELECT *, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS p, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS r FROM sums)
+ SELECT 'price_jump' AS rule, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(p AS DOUBLE) AS "precision", CAST(r AS DOUBLE) AS recall, CAST(round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS DOUBLE) AS f1 FROM rates""")
 def _(spark, d):
     return B.total(B.walk_forward(metrics(spark, d), ZSCORE, _options(spark, d)))
 
@@ -471,14 +518,18 @@ def _(spark, d):
     return s.select("symbol", "trades", r("hit_rate", 6), r("mean_return_bps", 3), r("std_return_bps", 3), r("sharpe_per_trade", 5), r("trades_per_day", 6))
 
 
-SMALL_RETURN = "least(greatest(net_return, -0.5), 0.5) / 10"
+@query("equity_curve", f"""WITH RECURSIVE {METRICS}, {BARS}, {TAKEN}, run AS (SELECT symbol, exit_ns, product(1 + net_return) OVER (PARTITION BY symbol ORDER BY exit_ns) AS equity FROM taken),
+  peaks AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS peak FROM run)
+  SELECT symbol, exit_ns, CAST(sign(equity) AS INTEGER) AS side, round(ln(abs(equity)), 6) AS log_equity, round(ln(peak), 6) AS log_peak FROM peaks""")
+def _(spark, d):
+    e = B.equity_curve(taken(spark, d).withColumn("run", F.col("symbol")), ["run"])
+    return e.select("symbol", "exit_ns", F.signum("equity").cast("int").alias("side"), F.round(F.log(F.abs("equity")), 6).alias("log_equity"), F.round(F.log("peak"), 6).alias("log_peak"))
 
 
-@query("equity_curve", f"""WITH RECURSIVE {METRICS}, {BARS}, {TAKEN}, run AS (SELECT symbol, exit_ns, exp(sum(ln(1 + {SMALL_RETURN})) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS equity FROM taken),
-  peaks AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_ns)) AS peak FROM run) SELECT symbol, exit_ns, round(equity + 1e-6, 3) AS equity, round(1 - equity / peak + 1e-6, 3) AS drawdown FROM peaks""")
+@query("tune_signal_folds")
 def _(spark, d):
-    t = taken(spark, d).withColumn("net_return", F.least(F.greatest("net_return", F.lit(-0.5)), F.lit(0.5)) / 10)
-    return B.equity_curve(t.withColumn("run", F.col("symbol")), ["run"]).select("symbol", "exit_ns", F.round(F.col("equity") + 1e-6, 3).alias("equity"), F.round(F.col("drawdown") + 1e-6, 3).alias("drawdown"))
+    """The tuned entry threshold of each fold; a fold without a trusted setting has none."""
+    return B.tune_signal(metrics(spark, d), _options(spark, d))[0]
 
 
 @query("equity_downsample", f"""WITH {METRICS}, {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY end_ns) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS len FROM bars),
