@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meridia.sources.staging import discard, shared_dir, stored
 
-__all__ = ["MULT", "code_points", "discard", "materialise", "maybe_in", "mix64", "shared_dir", "shuffle_partitions", "small", "sql_unit", "table", "text_chunks"]
+__all__ = ["MULT", "code_points", "discard", "held", "limit_batches", "materialise", "maybe_in", "mix64", "shared_dir", "shuffle_partitions", "small", "sql_unit", "table", "text_chunks"]
 MULT = np.uint64(0x9E3779B97F4A7C15)
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +66,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_chunks(batches, column: str = "text", limit: int = 4_000_000):
+def limit_batches(spark: SparkSession) -> None:
+    """From here on the session passes rows to Python workers in batches of at most about ``BATCH_BYTES``.
+
+    Both sides of the pipe hold whole batches, and 10,000 texts take tens of MB on each. A row goes
+    whole whatever its size; a lower limit that the session has already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def held(key: str | None, build=None):
+    """What ``build`` made for ``key``, kept in the worker for its next tasks; what it has for other keys goes."""
+    own = sys.modules.setdefault("meridia_held", types.ModuleType("meridia_held")).__dict__.setdefault("held", {})
+    for other in own.keys() - {key}:
+        del own[other]
+    if build is not None and key not in own:
+        own[key] = build()
+    return own.get(key)
+
+
+def text_chunks(batches, column: str = "text", limit: int = 4_000_000, keep: str | None = None):
     """(batch slice, list of texts) pairs of at most about ``limit`` characters; null is empty.
 
-    Only the texts of one chunk are Python strings at a time. At the end of a task the worker's
+    Only the texts of one chunk are Python strings at a time. What the worker holds for tasks of
+    other operators, under keys other than ``keep``, goes first. At the end of a task the worker's
     free memory goes back to the system, as the worker stays for other operators' tasks.
     """
+    held(keep)
     for batch in batches:
         cells = batch.column(batch.schema.get_field_index(column))
         start, size, texts = 0, 0, []

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meridia.llm.common import MULT, code_points, discard, materialise, maybe_in, mix64, shuffle_partitions, small, text_chunks
+from meridia.llm.common import MULT, code_points, discard, limit_batches, materialise, maybe_in, mix64, shuffle_partitions, small, text_chunks
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -476,6 +476,7 @@ def with_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def components_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(_id, n_shingles, component_id): one row per document id."""
+    limit_batches(docs.sparkSession)
     rows, owners = with_rows(docs)
     found = materialise(profiles(rows), "profiles")
     # a class of equal sets: its least id stands for it; empty sets are in none

@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 import zlib
 from array import array
 
@@ -27,7 +25,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from meridia.llm.common import materialise, text_chunks
+from meridia.llm.common import held, limit_batches, materialise, text_chunks
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,20 +77,18 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The process' encoder for a tokenizer file; tasks that a worker runs one after another share its words."""
-    held = sys.modules.setdefault("meridia_encoders", types.ModuleType("meridia_encoders")).__dict__
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    return held(path, lambda: Encoder(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: its document, number, start, length and CRC-32 of its ids."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
+    limit_batches(docs.sparkSession)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         own = encoder(path)
-        for batch, texts in text_chunks(batches, limit=1_000_000):
+        for batch, texts in text_chunks(batches, limit=1_000_000, keep=path):
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), own.encode(texts)):
                 ids = ids + END_ID.to_bytes(4, "little")

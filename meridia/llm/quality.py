@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from meridia.llm.common import code_points, materialise, small, text_chunks
+from meridia.llm.common import code_points, limit_batches, materialise, small, text_chunks
 
 ORDER = 5
 BITS = 12
@@ -41,6 +41,7 @@ ALPHABET = 4094  # of a language's alphabet; symbol 0 stands before a text, the
 UNKNOWN = ALPHABET + 1
 UNIT = 1 << 20  # of a stored log-probability of 1
 BROADCAST_ENTRIES = 6_000_000
+CHUNK = 250_000  # characters that a task works on at a time
 TASK_ENTRIES = 3_000_000  # distinct n-grams a task holds before it passes them on
 BAND_LOW, BAND_HIGH = 8.0, 6.0
 LEAST_SPREAD = 0.02
@@ -100,7 +101,7 @@ def alphabets(docs: DataFrame) -> dict[str, np.ndarray]:
     """For each language, the symbol of each code point up to its alphabet's last (numbers of a symbol at most a language)."""
 
     def count(batches):
-        for batch, texts in text_chunks(batches, limit=1_000_000):
+        for batch, texts in text_chunks(batches, limit=CHUNK):
             langs = np.array(batch.column(1).to_pylist(), object)
             points, offsets = code_points(texts)
             for lang in set(langs):
@@ -171,7 +172,7 @@ def count_grams(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(counts[i : i + 100_000])], ["lang", "gram", "n"])
             held.clear()
 
-        for batch, texts in text_chunks(batches, limit=1_000_000):
+        for batch, texts in text_chunks(batches, limit=CHUNK):
             langs = batch.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang and t]
@@ -179,7 +180,7 @@ def count_grams(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
                     keys, counts = np.unique(grams(own, shared.value.get(lang))[0], return_counts=True)
                     parts = held.setdefault(lang, [])
                     parts.append((keys, counts.astype(np.int64)))
-                    if len(parts) == 8:
+                    if len(parts) == 32:
                         held[lang] = [merged(parts)]
             if sum(len(k) for parts in held.values() for k, _ in parts) > TASK_ENTRIES:
                 held = {lang: [merged(parts)] for lang, parts in held.items()}
@@ -309,7 +310,7 @@ def score_held(docs: DataFrame, model: Model, tables: dict[str, np.ndarray]) ->
     def run(batches):
         arrays, folds = shared.value
         m = Model(arrays, order)
-        for batch, texts in text_chunks(batches, limit=1_000_000):
+        for batch, texts in text_chunks(batches, limit=CHUNK):
             langs = batch.column(2).to_pylist()
             logppl: list[float | None] = [None] * len(texts)
             for lang in set(langs):
@@ -385,6 +386,7 @@ def bands(scored: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """Base columns, lang, logppl, base_failed, low, high and kept; one row per input row."""
+    limit_batches(docs.sparkSession)
     folds = alphabets(docs)
     tables = materialise(model_tables(materialise(count_grams(docs, folds), "counts")), "model")
     if tables.count() <= broadcast_entries:
