@@ -216,10 +216,11 @@ def model_tables(counts: DataFrame, order: int = ORDER) -> DataFrame:
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
         between = lambda x, i: F.greatest(F.lit(0.1 * i), F.least(x, F.lit(0.9 * i)))
         d = d.select("lang", *[between(F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)), i).alias(f"d{i}") for i in (1, 2, 3)])
-        c = c.join(F.broadcast(d), "lang")  # a row a language
+        # small tables are stored, as each level's plan reads them twice
+        c = c.join(F.broadcast(materialise(d, f"discounts{k}")), "lang")  # a row a language
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         c = c.withColumn("ctx", F.shiftright("gram", BITS)).withColumn("cut", cut)
-        context = c.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.count(F.lit(1)).alias("kinds"))
+        context = materialise(c.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.count(F.lit(1)).alias("kinds")), f"contexts{k}")
         c = c.join(context, ["lang", "ctx"])
         if k == 1:
             c = c.withColumn("plow", 1.0 / (F.col("kinds") + 1))
@@ -303,7 +304,7 @@ class Model:
 
 
 def score_held(docs: DataFrame, model: Model, tables: dict[str, np.ndarray]) -> DataFrame:
-    """Base counts and log-perplexity with the model held by every task."""
+    """Base counts and log-perplexity with the model held by every task; the rows are stored, then the model goes."""
     shared = docs.sparkSession.sparkContext.broadcast((model.arrays, tables))
     order = model.order
 
@@ -324,7 +325,9 @@ def score_held(docs: DataFrame, model: Model, tables: dict[str, np.ndarray]) ->
             counts = list(zip(*map(base_counts, texts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(langs), pa.array(logppl, pa.float64())], [x.split()[0] for x in BASE.split(", ")] + ["lang", "logppl"])
 
-    return _inputs(docs).mapInArrow(run, BASE + ", lang string, logppl double")
+    out = materialise(_inputs(docs).mapInArrow(run, BASE + ", lang string, logppl double"), "scored")
+    shared.destroy()
+    return out
 
 
 def score_joined(docs: DataFrame, tables: DataFrame, folds: dict[str, np.ndarray], order: int = ORDER) -> DataFrame:
@@ -392,9 +395,9 @@ def score(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFr
     if tables.count() <= broadcast_entries:
         scored = score_held(docs, Model.collect(tables), folds)
     else:
-        scored = score_joined(docs, tables, folds)
+        scored = materialise(score_joined(docs, tables, folds), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    scored = materialise(scored.withColumn("base_failed", failed), "scored")
+    scored = scored.withColumn("base_failed", failed)
     within = F.col("logppl").between(F.col("low"), F.col("high"))
     return scored.join(F.broadcast(bands(scored)), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
 
