@@ -189,3 +189,14 @@ def fingerprint(rows: DataFrame, line, order, block) -> DataFrame:
     lined = rows.select(block.alias("b"), F.struct(order.alias("o"), line.alias("line")).alias("x"))
     each = lined.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n"), 256).alias("digest"))
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("fingerprint"))
+
+
+def fingerprint_tree(rows: DataFrame, line: Column, order: Column, at: Column, spans: tuple[int, ...]) -> DataFrame:
+    """As ``fingerprint``, in levels: rows are digested by the smallest span of ``at``, those digests by the next one, and so on."""
+    level = rows.select(at.alias("at"), F.struct(order.alias("o"), line.alias("line")).alias("x"))
+    for span in spans:
+        start = (F.col("at") - F.pmod(F.col("at"), F.lit(span))).alias("at")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+        each = level.groupBy(start).agg(F.sha2(joined, 256).alias("line"))
+        level = each.select("at", F.struct(F.col("at").alias("o"), "line").alias("x"))
+    return level.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n"), 256).alias("fingerprint"))

@@ -5,11 +5,34 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meridia.functions.scalars import NS, alert_sort_key
+from meridia.sources import schemas
 
 TTL_DAYS = 30
+WINDOWS = (1, 10, 60)
+
+
+class BadRequest(ValueError):
+    """An argument that no lookup can answer."""
+
+
+class NotFound(LookupError):
+    """A symbol or run that is not there."""
+
+
+def checked(symbol: str, known: list[str], window_secs: int | str | None = None, windows=WINDOWS) -> tuple[str, int]:
+    """(symbol, window size) of a request's arguments; the size defaults to the middle one."""
+    try:
+        secs = windows[len(windows) // 2] if window_secs in (None, "") else int(window_secs)
+    except ValueError as e:
+        raise BadRequest(f"window {window_secs!r} is no number") from e
+    if secs not in windows:
+        raise BadRequest(f"window must be one of {', '.join(map(str, windows))}")
+    if symbol not in known:
+        raise NotFound(f"unknown symbol {symbol}")
+    return symbol, secs
 
 
 def clamp(n: int | None, least: int, most: int, default: int) -> int:
@@ -54,6 +77,11 @@ def last_n(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
+def kept_history(rows: DataFrame, keys: list[str], arrival: str, at: str, most: int = 600) -> DataFrame:
+    """What a store holds that takes only rows beyond all before and keeps the last ``most`` a key."""
+    return last_n(monotone(rows, keys, arrival, at), keys, at, most)
+
+
 def monotone(rows: DataFrame, keys: list[str], arrival: str, at: str) -> DataFrame:
     """Rows in arrival order whose ``at`` is beyond all before."""
     w = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
@@ -89,6 +117,27 @@ def symbols_with_health(symbols: DataFrame, health: DataFrame) -> DataFrame:
     return symbols.join(feeds, "symbol", "left").select("symbol", F.coalesce("feeds", none).alias("feeds"))
 
 
+def emission_order(metrics: DataFrame) -> DataFrame:
+    return metrics.orderBy("window_end_ns", "window_secs", "symbol")
+
+
+def first_windows(metrics: DataFrame, arrival: str) -> DataFrame:
+    """The first arrived copy of each window; partial aggregation, no sort."""
+    keys = ["symbol", "window_secs", "window_end_ns"]
+    rest = [c for c in metrics.columns if c not in keys]
+    return metrics.groupBy(*keys).agg(F.min_by(F.struct(*rest), arrival).alias("_r")).select(*keys, "_r.*").select(*metrics.columns)
+
+
+def alert_board(alerts: DataFrame, most: int = 200) -> DataFrame:
+    """The newest alerts, each id once; of copies with one id the newest counts."""
+    return newest(alerts, ["alert_id"], "window_end_ns").orderBy(F.col("window_end_ns").desc(), F.col("alert_id").desc()).limit(most)
+
+
+def health_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All stored feed health rows."""
+    return spark.read.schema(schemas.FEED_HEALTH).parquet(path)
+
+
 def envelope(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*rows.columns).alias("data"))).alias("value"))
 

@@ -187,3 +187,10 @@ def watermark_windows(stream: DataFrame, secs: int, lateness: str = "500 millise
     return grouped.agg(
         F.sum(F.col("price") * F.col("size")).alias("spq"), F.sum("size").alias("sq"), F.count(F.lit(1)).alias("trade_count"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("last_price")
     ).select("symbol", F.lit(secs).alias("window_secs"), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), vwap(F.col("spq"), F.col("sq")).alias("vwap"), F.col("sq").alias("volume"), "trade_count", "high", "low", "last_price")
+
+
+def with_clock(metrics: DataFrame, clock: str = "event") -> DataFrame:
+    """``metrics`` with ``emitted_at_ns`` by the ``event`` clock (the closing watermark, repeatable) or the ``wall`` clock."""
+    if clock not in ("event", "wall"):
+        raise ValueError("the clock is event or wall")
+    return metrics if clock == "event" else metrics.withColumn("emitted_at_ns", F.unix_micros(F.current_timestamp()) * 1000)

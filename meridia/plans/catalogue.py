@@ -11,9 +11,10 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from meridia.functions import scalars as S
+from meridia.functions import display as X, scalars as S
 from meridia.functions.dsl import Rule, RuleSet, load_rules, parse_condition
-from meridia.operators import asof, backtest as B, normalise as N, rules as R, sequential as Q, serve as V, windows as W
+from meridia.operators import asof, backtest as B, monitor as M, normalise as N, rules as R, sequential as Q, serve as V, windows as W
+from meridia.plans import runs
 from meridia.sources import archive as A, tables as T
 from meridia.sources.staging import stored
 
@@ -204,9 +205,18 @@ def _(spark, d):
 @query("fn_archive_key", f"""WITH {GOOD} SELECT 'trades/exchange=' || exchange || '/symbol=' || symbol || '/date=' || strftime(make_timestamp(t // 1000), '%Y-%m-%d') || '/hour=' || strftime(make_timestamp(t // 1000), '%H') || '/part-' || lpad(CAST(min(off) AS VARCHAR), 20, '0') || '-' || lpad(CAST(max(off) AS VARCHAR), 20, '0') || '.parquet' AS key, count(*) AS n
 FROM good GROUP BY exchange, symbol, strftime(make_timestamp(t // 1000), '%Y-%m-%d'), strftime(make_timestamp(t // 1000), '%H')""")
 def _(spark, d):
-    date, hour = S.hour_parts(F.col("event_time_ns"))
-    g = trades(spark, d).groupBy("exchange", "symbol", date.alias("date"), hour.alias("hour")).agg(F.min("kafka_offset").alias("a"), F.max("kafka_offset").alias("b"), F.count(F.lit(1)).alias("n"))
-    return g.select(F.format_string("trades/exchange=%s/symbol=%s/date=%s/hour=%s/part-%020d-%020d.parquet", "exchange", "symbol", "date", "hour", "a", "b").alias("key"), "n")
+    return _parts(spark, d).select("key", "n")
+
+
+def _parts(spark, d) -> DataFrame:
+    g = trades(spark, d).groupBy("exchange", "symbol", S.align(F.col("event_time_ns"), HOUR).alias("at")).agg(F.min("kafka_offset").alias("a"), F.max("kafka_offset").alias("b"), F.count(F.lit(1)).alias("n"))
+    return g.select(A.archive_key(*map(F.col, ("exchange", "symbol", "at", "a", "b"))).alias("key"), "n")
+
+
+@query("fn_archive_key_parse", f"""WITH {GOOD} SELECT exchange, symbol, strftime(make_timestamp(t // 1000), '%Y-%m-%d') AS date, strftime(make_timestamp(t // 1000), '%H') AS hour, min(off) AS first, max(off) AS last, count(*) AS n
+FROM good GROUP BY ALL""")
+def _(spark, d):
+    return _parts(spark, d).select(A.parse_archive_key(F.col("key")).alias("k"), "n").select("k.*", "n")
 
 
 # -- windows ------------------------------------------------------------------------------
@@ -647,3 +657,99 @@ def _(spark, d):
 def _(spark, d):
     m = W.window_metrics(T.trades_from_lineitem(spark, d), (10 * DAY,), LATE, flush=True, in_order=True)
     return m.select("symbol", "window_start_ns", "trade_count", F.col("volume").cast("double").alias("volume"), F.round(F.col("high").cast("double"), 1).alias("high"), F.round(F.col("low").cast("double"), 1).alias("low"))
+
+
+# -- whole runs, monitoring ---------------------------------------------------------------------
+
+
+def _copies(spark, d) -> DataFrame:
+    """Windows delivered twice, the second copy with another count."""
+    m = metrics(spark, d)
+    return m.withColumn("arrival", F.lit(1)).unionByName(m.withColumn("trade_count", F.col("trade_count") + 1000).withColumn("arrival", F.lit(2)))
+
+
+@query("run_from_metrics_alerts", ORACLES["rule_all_alerts_count"])
+def _(spark, d):
+    return runs.run_from_metrics(_copies(spark, d), RULES, "arrival").alerts.groupBy("rule_name", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("run_pipeline_evals", f"WITH {MESSY_METRICS}, {Z_CTE}, {M_CTE.partition(', ')[2]} SELECT 'price_jump' AS rule, count(*) AS n, count(value) AS defined FROM zs UNION ALL SELECT 'volume_spike', count(*), count(value) FROM ms UNION ALL SELECT 'divergence', count(*), count(*) FILTER (venues >= 2) FROM base")
+def _(spark, d):
+    """A run over trades out of order and delivered twice: evaluations of the scored rules."""
+    run = runs.run_pipeline(T.messy_trades(spark, d), RULES, SIZES, LATE, flush=True)
+    return run.evals.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if("defined").alias("defined"))
+
+
+@query("set_first_windows", f"WITH {METRICS} SELECT symbol, CAST(window_secs AS INTEGER) AS window_secs, window_end_ns, trade_count FROM metrics")
+def _(spark, d):
+    return V.first_windows(_copies(spark, d), "arrival").select("symbol", "window_secs", "window_end_ns", "trade_count")
+
+
+@query("srt_emission_order", f"WITH {METRICS} SELECT symbol, CAST(window_secs AS INTEGER) AS window_secs, window_end_ns FROM metrics ORDER BY window_end_ns, window_secs, symbol")
+def _(spark, d):
+    return V.emission_order(metrics(spark, d)).select("symbol", "window_secs", "window_end_ns")
+
+
+@query("srt_trades_by_exit", f"WITH RECURSIVE {METRICS}, {BARS}, {TAKEN} SELECT symbol, exit_ns, CAST(side AS INTEGER) AS side FROM taken ORDER BY exit_ns, symbol")
+def _(spark, d):
+    return runs.trades_by_exit(taken(spark, d)).select("symbol", "exit_ns", "side")
+
+
+@query("srt_alert_board", f"WITH {MESSY}, ids AS (SELECT DISTINCT symbol, trade_id AS alert_id, t AS window_end_ns FROM delivered) SELECT * FROM ids ORDER BY window_end_ns DESC, alert_id DESC LIMIT 200")
+def _(spark, d):
+    return V.alert_board(T.messy_trades(spark, d).select("symbol", F.col("trade_id").alias("alert_id"), F.col("event_time_ns").alias("window_end_ns"))).select("symbol", "alert_id", "window_end_ns")
+
+
+@query("srv_kept_history", f"""WITH {MESSY}, n AS (SELECT symbol, off, t, max(t) OVER (PARTITION BY symbol ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM delivered),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS k FROM n WHERE before IS NULL OR t > before) SELECT symbol, off AS kafka_offset, t AS event_time_ns FROM kept WHERE k <= 600""")
+def _(spark, d):
+    return V.kept_history(T.messy_trades(spark, d).select("symbol", "kafka_offset", "event_time_ns"), ["symbol"], "kafka_offset", "event_time_ns")
+
+
+@query("agg_distinct_symbols", f"WITH {GOOD} SELECT DISTINCT symbol FROM good ORDER BY symbol")
+def _(spark, d):
+    return M.distinct_symbols(trades(spark, d))
+
+
+GAPS = "g AS (SELECT exchange, (t - lag(t) OVER (PARTITION BY exchange ORDER BY t, off)) / 1e6 AS secs FROM good)"
+
+
+def _gaps(spark, d) -> DataFrame:
+    w = Window.partitionBy("exchange").orderBy("event_time_ns", "kafka_offset")
+    return trades(spark, d).select("exchange", ((F.col("event_time_ns") - F.lag("event_time_ns").over(w)) / F.lit(1e6)).alias("secs"))
+
+
+@query("agg_latency_histogram", f"WITH {GOOD}, {GAPS}, les AS (SELECT 0.0005::DOUBLE * (1 << i) AS le FROM range(0, 16) r(i) UNION ALL SELECT 'infinity'::DOUBLE) SELECT exchange, CAST(round(log2(le / 0.0005::DOUBLE)) AS VARCHAR) AS bucket, count(*) FILTER (secs / 1e6 <= le) AS n FROM g, les WHERE le < 1e9 GROUP BY ALL")
+def _(spark, d):
+    h = M.latency_buckets(_gaps(spark, d), ["exchange"], F.col("secs") / F.lit(1e6)).where("le < 1e9")
+    return h.select("exchange", F.format_string("%.1f", F.round(F.log2(F.col("le") / F.lit(0.0005)))).alias("bucket"), "n")
+
+
+@query("agg_latency_percentiles", f"WITH {GOOD}, {GAPS} SELECT exchange, round(quantile_cont(secs, 0.5), 3) AS p50, round(quantile_cont(secs, 0.95), 3) AS p95, round(quantile_cont(secs, 0.99), 3) AS p99 FROM g GROUP BY exchange")
+def _(spark, d):
+    q = M.latency_quantiles(_gaps(spark, d), ["exchange"], F.col("secs"), exact=True)
+    return q.select("exchange", *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query("agg_rate_by_exchange", f"WITH {GOOD} SELECT exchange, t - t % {SIX * NS} AS start_ns, count(*) AS n, round(count(*) / {SIX}.0, 8) AS per_sec FROM good GROUP BY ALL")
+def _(spark, d):
+    return M.increase(trades(spark, d), ["exchange"], "event_time_ns", SIX).withColumn("per_sec", F.round("per_sec", 8))
+
+
+@query("fn_point_a_second", f"WITH {GOOD} SELECT symbol, (t + {NS // 2}) // {NS} AS time, CAST(arg_max(price, {{'t': t, 'o': off}}) AS DOUBLE) AS value FROM good GROUP BY ALL")
+def _(spark, d):
+    t = trades(spark, d).withColumn("price", F.col("price").cast("double"))
+    return M.point_a_second(t, ["symbol"], "event_time_ns", "price", ["event_time_ns", "kafka_offset"])
+
+
+@query("fn_display_clock_age", f"WITH {GOOD}, final AS (SELECT max(t) AS now FROM good), a AS (SELECT trade_id, t, CAST(floor((now - t) / {NS}.0 + 0.5) AS BIGINT) AS s FROM good, final) SELECT trade_id, strftime(make_timestamp(t // 1000), '%H:%M:%S') AS clock, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' ELSE s // 3600 || 'h ago' END AS age FROM a")
+def _(spark, d):
+    t = trades(spark, d)
+    now = t.agg(F.max("event_time_ns")).first()[0] or 0
+    return t.select("trade_id", X.clock(F.col("event_time_ns")).alias("clock"), X.age(F.col("event_time_ns"), F.lit(now)).alias("age"))
+
+
+@query("agg_input_fingerprint", f"""WITH {GOOD}, lines AS (SELECT t, exchange, trade_id, t // {NS} AS s, t // {HOUR * NS} AS h, '{{"event_time_ns":' || t || ',"exchange":"' || exchange || '","price":' || price || ',"recv_time_ns":' || (t + 1000000) || ',"side":"' || side || '","size":' || size || ',"symbol":"' || symbol || '","trade_id":"' || trade_id || '"}}' AS line FROM good),
+ secs AS (SELECT h, s, sha256(string_agg(line, chr(10) ORDER BY t, exchange, trade_id)) AS line FROM lines GROUP BY h, s), hours AS (SELECT h, sha256(string_agg(line, chr(10) ORDER BY s)) AS line FROM secs GROUP BY h) SELECT sha256(string_agg(line, chr(10) ORDER BY h)) AS fingerprint FROM hours""")
+def _(spark, d):
+    return runs.input_fingerprint(trades(spark, d))

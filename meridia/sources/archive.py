@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meridia.functions.scalars import NS, canonical_decimal, hour_parts
 from meridia.sources import schemas
@@ -24,19 +24,36 @@ def to_trades(rows: DataFrame) -> DataFrame:
     return rows.select("exchange", "symbol", "trade_id", "event_time_ns", "recv_time_ns", dec("price"), dec("size"), "side", F.lit(0).alias("kafka_partition"), "kafka_offset")
 
 
-def write_archive(trades: DataFrame, path: str, mode: str = "append", files_per_hour: int = 1) -> None:
-    """Sorted zstd files by (exchange, symbol, date, hour).
+def archive_key(exchange: Column, symbol: Column, at_ns: Column, first: Column, last: Column) -> Column:
+    """The key of the part that holds offsets ``first`` to ``last`` of a venue's symbol in the hour of ``at_ns``."""
+    date, hour = hour_parts(at_ns)
+    return F.format_string("trades/exchange=%s/symbol=%s/date=%s/hour=%s/part-%020d-%020d.parquet", exchange, symbol, date, hour, first, last)
 
-    A busy hour can be spread over several files; each is sorted, and replay orders across.
+
+def parse_archive_key(key: Column) -> Column:
+    """struct(exchange, symbol, date, hour, first, last) of a key, or null if it is none."""
+    shape = r"^trades/exchange=([^/]+)/symbol=([^/]+)/date=(\d{4}-\d{2}-\d{2})/hour=([01]\d|2[0-3])/part-(\d{20})-(\d{20})\.parquet$"
+    part = lambda i: F.regexp_extract(key, shape, i)
+    day = part(3).try_cast("date")
+    return F.when(key.rlike(shape) & day.isNotNull(), F.struct(part(1).alias("exchange"), part(2).alias("symbol"), day.cast("string").alias("date"), part(4).alias("hour"), part(5).try_cast("long").alias("first"), part(6).try_cast("long").alias("last")))
+
+
+def write_archive(trades: DataFrame, path: str, files_per_hour: int = 1) -> None:
+    """Sorted zstd files by (exchange, symbol, date, hour) and the range of offsets that a call writes there.
+
+    A repeated call with the same trades has the same ranges and overwrites its own files, so
+    a batch that is written again doubles nothing. A busy hour can be spread over several
+    files; each is sorted, and replay orders across. ``trades`` is read twice.
     """
     rows = to_rows(trades).withColumn("_file", F.pmod(F.xxhash64("trade_id"), F.lit(files_per_hour)))
-    rows = rows.repartition(*PARTITIONS, "_file").sortWithinPartitions(*PARTITIONS, *REPLAY_ORDER[:1], "trade_id").drop("_file")
-    rows.write.mode(mode).option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
+    ranges = rows.groupBy(*PARTITIONS).agg(F.format_string("%020d-%020d", F.min("kafka_offset"), F.max("kafka_offset")).alias("part"))  # a row an hour
+    rows = rows.join(ranges, list(PARTITIONS)).repartition(*PARTITIONS, "_file").sortWithinPartitions(*PARTITIONS, *REPLAY_ORDER[:1], "trade_id").drop("_file")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PARTITIONS, "part").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str, symbols: list[str] | None = None, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
     """Archive rows of [from, to). The range also prunes date and hour directories, which Catalyst cannot derive."""
-    rows = spark.read.schema(schemas.ARCHIVE).parquet(path)
+    rows = spark.read.schema(f"{schemas.ARCHIVE}, part string").parquet(path).drop("part")
     if symbols is not None:
         rows = rows.where(F.col("symbol").isin(list(symbols)))
     stamp = lambda ns: datetime.fromtimestamp(ns // NS, timezone.utc).strftime("%Y-%m-%d %H")

@@ -27,12 +27,16 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    fs, target = _file_system(spark, path)
+    fs.deleteOnExit(target)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet and read back; ``discard`` deletes it, the end of the application at the latest."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meridia-{what}-{uuid.uuid4().hex}"
-    fs, target = _file_system(spark, path)
-    fs.deleteOnExit(target)
+    delete_at_end(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = out, path
