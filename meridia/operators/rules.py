@@ -127,6 +127,13 @@ def alerts(metrics: DataFrame, rules: RuleSet) -> DataFrame:
     return reduce(DataFrame.unionByName, [fire(evaluate_rule(metrics, r, rules.expected_exchanges), r) for r in rules.rules])
 
 
+def alert_counts(alerts: DataFrame, rules: RuleSet) -> DataFrame:
+    """(rule_name, severity, n): a row for each rule, with 0 where it has no alert."""
+    n = alerts.groupBy("rule_name", "severity").agg(F.count(F.lit(1)).alias("n"))
+    names = alerts.sparkSession.createDataFrame([(r.name, r.severity) for r in rules.rules], "rule_name string, severity string")
+    return names.join(n, ["rule_name", "severity"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def feed_gaps(frames: DataFrame, symbols: list[str], least_ns: int = 2 * NS) -> DataFrame:
     """One ``feed_gap`` alert a symbol where an exchange's receive times leave a gap."""
     at = F.col("recv_time_ns")
