@@ -217,6 +217,13 @@ def test_dropping_lines_keeps_clashing_columns(spark):
     assert [r.text for r in rows] == [f"text 0\n{line}", *[f"text {i}" for i in range(1, 6)]]
 
 
+def test_positions_go_by_document_at_every_size(spark, documents, monkeypatch):
+    marked, own = [], linededup.small
+    monkeypatch.setattr(linededup, "small", lambda table, *limit: marked.append(table.columns) or own(table, *limit))
+    out = linededup.query(spark, documents)
+    assert out.where("n_dropped > 0").count() > 0 and not any("_gone" in c for c in marked)
+
+
 def test_lines_that_two_documents_share(spark):
     passage = "The committee met in the old town hall and agreed that the bridge over the river should be mended before winter came"
     near = passage.replace("old", "new")
