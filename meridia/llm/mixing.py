@@ -39,6 +39,7 @@ MARGINS = ("source", "lang", "topic")
 ROUNDS = 9
 TEMPER = 0.9
 TOLERANCE = 1e-6
+FEW_CELLS = 100_000  # so many rows of three short names and a few numbers are raked by one task
 
 # Topics by the plainest sign of a text's form, first match wins.
 TOPICS = (("tabular", "|", 20), ("promotional", "!", 20), ("symbolic", "&", 40), ("numeric", "0", 400))
@@ -101,11 +102,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
 
     With ``tolerance``, as many rounds as the margins need to hold; else ``rounds``.
     """
+    # few cells are raked by one task, without an exchange a margin and round, whose plans and threads fill the driver
+    few = cells.count() <= FEW_CELLS
+    whole = lambda stored: stored.coalesce(1) if few else stored
+    cells = whole(cells)
     total = cells.agg(F.sum("tokens").cast("double").alias("_total"))
     raked = cells.join(F.broadcast(total))  # one row
     for m in MARGINS:
         raked = raked.join((targets or {}).get(m) or targets_of(cells, m, temper), m, "left").fillna({f"target_{m}": 0.0})
-    raked = materialise(raked.withColumn("weight", F.lit(1.0)), "cells")
+    raked = whole(materialise(raked.withColumn("weight", F.lit(1.0)), "cells"))
     k, error = 0, math.inf
     while tolerance is not None or k < rounds:
         for m in MARGINS:
@@ -113,7 +118,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
             raked = raked.withColumn("_have", have).withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.col(f"target_{m}") * F.col("_total") / F.col("_have")).otherwise(F.col("weight"))).drop("_have")
         k += 1
         if k % 3 == 0:
-            raked = materialise(raked, "raked")
+            raked = whole(materialise(raked, "raked"))
             if tolerance is not None:
                 before, error = error, margin_error(raked)
                 if error <= tolerance or error > 0.999 * before:

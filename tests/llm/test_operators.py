@@ -297,6 +297,17 @@ def test_production_parameters_rake_and_keep_columns(spark, documents, odd, noth
     assert mixing.stage(nothing).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_few_cells_are_raked_without_exchanges(spark, documents, monkeypatch, few):
+    plans, own = [], mixing.materialise
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    monkeypatch.setattr(mixing, "materialise", lambda df, what: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or own(df, what))
+    cells = own(mixing.cells_of(mixing.keyed(documents)), "cells")
+    raked = mixing.rake(cells)
+    assert raked.count() == cells.count() and mixing.margin_error(raked) < 1e-6
+    assert ["Exchange hashpartitioning" in p for what, p in plans if what == "raked"] == [few == 0] * 3
+
+
 def test_raking_ends_where_targets_clash(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10, 1), ("b", "y", "t", 10, 1)], "source string, lang string, topic string, tokens long, docs long")
     share = lambda m, p, q, n: spark.createDataFrame([(p, n), (q, 1 - n)], f"{m} string, target_{m} double")
