@@ -15,6 +15,7 @@ often as they occur; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -32,6 +33,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 CACHED = 250_000  # words that make a generation of the encoder's cache
+MERGED_BYTES = 48  # longer words are left to the tokenizer one by one
 GROUP_ROWS = 1_000  # pieces of one length that are ranked together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,6 +45,84 @@ WORDS = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\w\s]|_)+|
 UNUSUAL = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿Ͱ-ͳͶͷͻ-ͽΆ-ϿЀ-ҁҊ-ԯ]")
 
 
+class Merges:
+    """The tokenizer's byte pair merges, applied to many words at a time.
+
+    Words of as many ids stand in one matrix. In each row the pair of least rank, the leftmost of
+    equals, becomes one id, as in the tokenizer, and the row goes on with one id less; rows
+    without a pair that merges are done.
+    """
+
+    NONE = np.uint32(0xFFFFFFFF)
+    BITS = 18  # of the pairs' table
+
+    def __init__(self, model: dict):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary shows as they are
+        names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)}.difference(shown)))}
+        vocab = model["vocab"]
+        self.first = np.array([vocab[names[b]] for b in range(256)], np.uint32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.result = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        keys = self._keys(*(np.array([vocab[p[i]] for p in pairs], np.uint32) for i in (0, 1)))
+        self.table = np.full(1 << self.BITS, self.NONE, np.uint64)  # key and rank; a rank of NONE marks a free slot
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slots(keys).tolist())):
+            while self.table[slot] != self.NONE:
+                slot = (slot + 1) % len(self.table)
+            self.table[slot] = key << 32 | rank
+
+    @staticmethod
+    def fits(spec: dict) -> bool:
+        """Whether a tokenizer file says nothing that these merges don't do."""
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        bytewise = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        return model["type"] == "BPE" and plain and bytewise and not spec["normalizer"] and len(model["vocab"]) < 1 << 16 and len(model["merges"]) < 1 << Merges.BITS - 1
+
+    @staticmethod
+    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left << np.uint32(16) | right
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.BITS)
+
+    def ranks(self, ids: np.ndarray) -> np.ndarray:
+        """The rank of each pair of neighbours in a row, or NONE."""
+        keys = self._keys(ids[:, :-1], ids[:, 1:]).ravel()
+        slots = self._slots(keys)
+        found = self.table[slots]
+        ranks = found.astype(np.uint32)  # the lower half
+        other = np.flatnonzero(((found >> np.uint64(32)).astype(np.uint32) != keys) & (ranks != self.NONE))
+        while other.size:  # another pair has the slot: on to the next
+            slots[other] = (slots[other] + np.uint32(1)) & np.uint32(len(self.table) - 1)
+            found = self.table[slots[other]]
+            ranks[other] = found
+            other = other[((found >> np.uint64(32)).astype(np.uint32) != keys[other]) & (ranks[other] != self.NONE)]
+        return ranks.reshape(len(ids), ids.shape[1] - 1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words), np.uint8)
+        out = [b""] * len(words)
+        ids, who = np.zeros((0, 0), np.uint32), np.zeros(0, np.int64)
+        for n in range(int(lengths.max(initial=0)), 0, -1):
+            fresh = np.flatnonzero(lengths == n)
+            ids = np.concatenate([ids.reshape(-1, n), self.first[data[starts[fresh, None] + np.arange(n)]]])
+            who = np.concatenate([who, fresh])
+            ranks = self.ranks(ids) if n > 1 else np.full((len(ids), 1), self.NONE)
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(ids)), at]
+            done = least == self.NONE
+            ended = ids[done].astype("<u4").tobytes()
+            for k, i in enumerate(who[done].tolist()):
+                out[i] = ended[4 * n * k : 4 * n * (k + 1)]
+            ids, who, at, rows = ids[~done], who[~done], at[~done], np.arange(len(ids) - int(done.sum()))
+            ids[rows, at] = self.result[least[~done]]
+            left = np.ones(ids.shape, bool)
+            left[rows, at + 1] = False
+            ids = ids[left]
+        return out
+
+
 class Encoder:
     """Token ids as little-endian uint32 bytes, with a cache of words in two generations.
 
@@ -55,10 +135,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached, self.young, self.elder = Tokenizer.from_file(path), cached, {}, {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.merges = Merges(spec["model"]) if Merges.fits(spec) else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word."""
+        raw = {w: b for w in words if len(b := w.encode()) <= MERGED_BYTES} if self.merges else {}
+        out = dict(zip(raw, self.merges.encode(list(raw.values())))) if raw else {}
+        rest = [w for w in words if w not in raw]
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Words new to the cache are encoded together first."""
         plain = [SPECIAL not in t and (t.isascii() or not UNUSUAL.search(t)) for t in texts]
@@ -69,9 +159,7 @@ class Encoder:
         new = set().union(*words).difference(cache)
         known = new & elder.keys()
         cache.update((w, elder[w]) for w in known)
-        new = list(new - known)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = array("I", e.ids).tobytes()
+        cache.update(self.words(list(new - known)))
         return [b"".join(map(cache.__getitem__, w)) if p else self.whole(t) for t, w, p in zip(texts, words, plain)]
 
 

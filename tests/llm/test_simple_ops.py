@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,3 +148,33 @@ def test_equal_substrings_share_phrases():
         level, _ = fingerprint.parse_level(level, owner)
         names.append(set(level.tolist()))
     assert len(names[0] & names[1]) > 0.95 * len(names[0]) and len(names[0] & names[2]) > 0.95 * len(names[0])
+
+
+def test_words_are_merged_together_as_the_tokenizer_does():
+    rng = np.random.default_rng(5)
+    letters = list("abcdeinorst éßñαд漢😀.,!019'")
+    texts = ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 200, 300)]
+    texts += [x * n for x in ("a", "ab", "=", " =-", "0", "é") for n in range(1, 80)]
+    own = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    words = list(dict.fromkeys(w for t in texts for w in packing.WORDS.findall(t)))
+    tokenizer, asked = own.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **options):
+            asked.extend(batch)
+            return tokenizer.encode_batch_fast(batch, **options)
+
+    own.tokenizer = Counting()
+    got = own.words(words)
+    assert got == {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False))}
+    assert asked and all(len(w.encode()) > packing.MERGED_BYTES for w in asked)  # only long words go to the tokenizer
+    own.merges = None
+    assert own.words(words) == got and own.words([]) == {}
+
+
+def test_merges_refuse_other_tokenizers():
+    spec = json.loads(packing.Encoder(public_tokenizers.path(packing.TOKENIZER)).tokenizer.to_str())
+    assert packing.Merges.fits(spec)
+    assert not packing.Merges.fits(spec | {"normalizer": {"type": "Lowercase"}})
+    assert not packing.Merges.fits(spec | {"model": spec["model"] | {"ignore_merges": True}})
+    assert not packing.Merges.fits(spec | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}})
