@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -467,3 +468,19 @@ def test_pipeline(spark, tmp_path):
             docs = spark.read.parquet(str(tmp_path / name))
             assert docs.count() > 20
     assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_driver_holds_no_stored_frames(spark):
+    from meridia.llm.common import discard, materialise
+    from meridia.sources import staging
+
+    first, second = materialise(spark.range(3), "held"), materialise(spark.range(4), "held")
+    path = staging._paths[second]
+    assert staging._file_system(spark, path)[0].exists(staging._file_system(spark, path)[1])
+    before = len(staging._paths)
+    del first
+    gc.collect()
+    assert len(staging._paths) == before - 1  # its plan and settings go with it
+    discard(second)
+    assert not staging._file_system(spark, path)[0].exists(staging._file_system(spark, path)[1])
+    assert staging.trim_driver(spark) in (True, False)
