@@ -484,3 +484,17 @@ def test_driver_holds_no_stored_frames(spark):
     discard(second)
     assert not staging._file_system(spark, path)[0].exists(staging._file_system(spark, path)[1])
     assert staging.trim_driver(spark) in (True, False)
+
+
+def test_whole_line_query_finds_every_family(spark, documents, nothing):
+    from meridia.llm import queries
+
+    names = "Ann Bob Cem Dee Eva Fay Gus Hal".split()
+    texts = [f"{OWN[i]}\nthis page was sent to you by {x}\nthis page was made for all who {x}" for i, x in enumerate(names)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    part = {r.doc_id: r.n_dropped for r in linededup.query(spark, docs).collect()}
+    rows = {r.doc_id: (r.n_dropped, r.n_left, r.text_sha256) for r in linededup.query(spark, docs, whole=True).collect()}
+    want = {i: (2 if i else 0, len(t := OWN[i] if i else texts[0]), hashlib.sha256(t.encode()).hexdigest()) for i in range(8)}
+    assert rows == want and sum(part.values()) == 7  # the SQL's rule has one reference a leaf
+    assert linededup.query(spark, nothing, whole=True).count() == 0
+    assert {"op7_line_templates", "op7_line_templates_whole"} <= queries.queries().keys() and "op7_line_templates_whole" not in queries.oracle_sql()
