@@ -7,6 +7,7 @@ from meridia.functions import display as X, dsl
 from meridia.operators import backtest as B, monitor as M, normalise as N, serve as V, windows as W
 from meridia.plans import runs
 from meridia.sources import archive as A, tables as T
+from meridia.sources import staging
 from meridia.sources.settings import Settings
 from meridia.streaming import landing as L
 
@@ -145,3 +146,19 @@ def test_run_and_report(spark, tmp_path):
     for bad in ("", "a/b", "..", "a b"):
         with pytest.raises(V.BadRequest):
             runs.check_run_id(bad)
+
+
+def test_stored_tables_are_data_files_only(spark):
+    """Each checksum file or mark of success costs the writing JVM a process; row groups are held whole by who reads them."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(400, numPartitions=1).select("id", F.expr("array_join(transform(sequence(1, 1600), i -> sha2(concat(id, chr(95), i), 256)), chr(95))").alias("text"))
+    out = staging.stored(df, "files")
+    path = staging._paths[out].removeprefix("file://")
+    names = os.listdir(path)
+    assert names and all(n.startswith("part-") for n in names)
+    assert sum(pq.ParquetFile(f"{path}/{n}").metadata.num_row_groups for n in names) > 1
+    assert out.count() == 400 and out.exceptAll(df).isEmpty()
+    assert staging.stored(df.limit(0), "files").count() == 0
