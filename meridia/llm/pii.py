@@ -146,16 +146,15 @@ def reliable_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # a pattern with a single instance can neither be reliable nor inform its instance
     wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_INSTANCES).select("pattern")
     edges = materialise(edges.join(wide, "pattern", "left_semi"), "graph")
-    likely = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("p"))
-    seeds = likely
-    patterns = None
-    for _ in range(rounds):
+    likely = seeds = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("p"))
+    for k in range(rounds):
         scored = edges.join(likely, "instance").groupBy("pattern").agg(F.sum("p").alias("true"), F.count(F.lit(1)).alias("n"))
-        patterns = materialise(scored.select("pattern", (F.col("true") / (F.col("n") + F.lit(PRIOR_FALSE))).alias("r"), "n"), "patterns")
+        patterns = scored.select("pattern", (F.col("true") / (F.col("n") + F.lit(PRIOR_FALSE))).alias("r"), "n")
+        if k == rounds - 1:
+            return patterns.where((F.col("r") >= RELIABLE) & (F.col("n") >= MIN_INSTANCES)).select("pattern")
         by_instance = edges.join(patterns.where(F.col("r") > 0), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("r"), F.lit(1e-6)))))).alias("q"))
         # a seed stays certain; the rest have what their patterns say
         likely = materialise(seeds.join(by_instance, "instance", "left").select("instance", F.greatest("p", F.coalesce("q", F.lit(0.0))).alias("p")), "instances")
-    return patterns.where((F.col("r") >= RELIABLE) & (F.col("n") >= MIN_INSTANCES)).select("pattern")
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -174,9 +173,8 @@ def find_in(keyed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     based = keyed.select("doc_id", "row", base_spans(F.col("text")).alias("base"))
     based = materialise(based, "base")
     by_row = based.where(F.size("base") > 0).select("row", "base")
-    found = materialise(candidates(keyed), "candidates")
     overlapping = F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    seeded = found.join(by_row, "row", "left").withColumn("inside", F.coalesce(overlapping, F.lit(False))).drop("base")
+    seeded = candidates(keyed).join(by_row, "row", "left").withColumn("inside", F.coalesce(overlapping, F.lit(False))).drop("base")
     seeded = materialise(seeded.withColumn("seed", F.col("inside") | F.col("key")), "seeded")
     good = small(materialise(reliable_patterns(seeded, rounds), "reliable"))
     outside = seeded.where(~F.col("inside")).select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")

@@ -93,6 +93,14 @@ def test_three_certain_instances_are_reliable(spark):
     assert [r.pattern for r in pii.reliable_patterns(found).collect()] == [7]
 
 
+def test_pii_stores_only_what_is_read_again(spark, monkeypatch):
+    stored, keep = [], pii.materialise
+    monkeypatch.setattr(pii, "materialise", lambda df, what: stored.append(what) or keep(df, what))
+    docs = spark.createDataFrame([(i, f"your badge number is X{i}Y-77 and key {i:032x} now") for i in range(5)], "doc_id long, text string")
+    assert pii.query(spark, docs).count() == 5
+    assert Counter(stored) == Counter(["rows", "base", "seeded", "edges", "graph", *["instances"] * (pii.ROUNDS - 1), "reliable", "more"])
+
+
 # -- near duplicates -----------------------------------------------------------------------
 
 
